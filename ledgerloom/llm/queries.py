@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.packing import pack
+from ledgerloom.llm.simhash import simhash_groups
+
+
+def tokenizer_path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pack(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -20,8 +32,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op4_simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op1_pack": op1_pack,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op4_simhash": op4_simhash,
+    }
 
 
 def oracle_sql():
