@@ -6,6 +6,7 @@ from ledgerloom.llm.common import table
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.simhash import simhash_groups
+from ledgerloom.llm.substring_dedup import remove_repeats
 
 
 def tokenizer_path(name):
@@ -32,6 +33,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def queries():
     return {
         "op1_pack": op1_pack,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
     }
 
