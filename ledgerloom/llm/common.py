@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,9 +33,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     readers survive lost executors, and Spark knows the true size of what it reads."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ledgerloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    # Spark drops the shuffle files of a finished step when the driver has collected its plan.
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 

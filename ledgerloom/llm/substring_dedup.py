@@ -78,12 +78,22 @@ def anchors(data: bytes, length: int, k: int) -> Iterator[tuple[int, int, int]]:
         yield tuple(held)
 
 
-def _halves(digest: bytes) -> tuple[int, int]:
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+SUFFIX_COLUMNS = ["rid", "lo", "n", "g", "c"]
+SUFFIXES = "rid long, lo long, n long, g long, c long"
+
+
+def _rank(data: bytes, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
+
+
+def _suffix_row(rid: int, data: bytes, lo: int, n: int, head: int, size: int, length: int) -> tuple:
+    """g ranks the `size` bytes at `head`, which all windows from lo on share; c ranks all bytes that the
+    windows cover, with the place of the head in them."""
+    return rid, lo, n, _rank(data[head : head + size]), _rank(data[lo : lo + n - 1 + length], (head - lo) * 4096 + n)
 
 
 def sampled_suffixes(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """A row for each anchor: the rank of its k bytes (g), and that of all bytes its windows cover (c1, c2)."""
+    """A row for each anchor, with the rank of its k bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,44 +103,78 @@ def sampled_suffixes(rows: DataFrame, length: int, k: int) -> DataFrame:
                 if len(data) < length:
                     continue
                 for a, lo, n in anchors(data, length, k):
-                    c1, c2 = _halves(xxhash.xxh3_128_digest(data[lo : lo + n - 1 + length]))
-                    # The anchor's place in its span is part of the context.
-                    out.append((rid, lo, n, xxhash.xxh3_64_intdigest(data[a : a + k]) - (1 << 63), c1 ^ ((a - lo) * 0x9E3779B1 + n), c2))
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=SUFFIX_COLUMNS)
-                    out = []
+                    out.append(_suffix_row(rid, data, lo, n, a, k, length))
+                    if len(out) >= 50_000:
+                        yield pd.DataFrame(out, columns=SUFFIX_COLUMNS)
+                        out = []
             yield pd.DataFrame(out, columns=SUFFIX_COLUMNS)
 
     return rows.select("rid", "text").mapInPandas(run, SUFFIXES)
 
 
-SUFFIX_COLUMNS = ["rid", "lo", "n", "g", "c1", "c2"]
-SUFFIXES = "rid long, lo long, n long, g long, c1 long, c2 long"
+def longer_suffixes(rows: DataFrame, length: int, k: int, block: int) -> DataFrame:
+    """A row for each block of up to `block` windows of the open anchors (rid, text, open), with the rank of the
+    length - block + 1 bytes that all windows of the block share. Blocks are laid from the anchor, so
+    equal windows lie in equal blocks. The anchor of a span is found again from the span alone."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for rid, text, spans in zip(pdf["rid"].tolist(), pdf["text"], pdf["open"]):
+                data = text.encode("utf-8", "replace")
+                for s in spans:
+                    lo, n = s["lo"], s["n"]
+                    a = lo + next(anchors(data[lo : lo + length], length, k))[0]
+                    at = lo
+                    while at < lo + n:
+                        first = a - -(-(a - at) // block) * block  # of the block that holds `at`
+                        m = min(first + block, lo + n) - at
+                        out.append(_suffix_row(rid, data, at, m, first + block - 1, length - block + 1, length))
+                        at += m
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=SUFFIX_COLUMNS)
+                    out = []
+            yield pd.DataFrame(out, columns=SUFFIX_COLUMNS)
 
-def window_ranks(rows: DataFrame, length: int) -> DataFrame:
-    """A row for each window that is still open: (rid, pos) and its full-length rank (h1, h2)."""
+    return rows.select("rid", "text", "open").mapInPandas(run, SUFFIXES)
+
+
+def full_suffixes(rows: DataFrame, length: int) -> DataFrame:
+    """A row for each window of the open blocks (rid, text, open), with two ranks of all its bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rid, pos, h1, h2, held = [], [], [], [], 0
-            for r, text, spans in zip(pdf["rid"].tolist(), pdf["text"], pdf["spans"]):
+            out: list[tuple] = []
+            for rid, text, spans in zip(pdf["rid"].tolist(), pdf["text"], pdf["open"]):
                 data = text.encode("utf-8", "replace")
                 for s in spans:
-                    lo, n = s["lo"], s["n"]
-                    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[p : p + length]) for p in range(lo, lo + n)]), dtype="<i8").reshape(-1, 2)
-                    rid.append(np.full(n, r))
-                    pos.append(np.arange(lo, lo + n))
-                    h1.append(d[:, 0])
-                    h2.append(d[:, 1])
-                    held += n
-                if held > 200_000:
-                    yield pd.DataFrame({"rid": np.concatenate(rid), "pos": np.concatenate(pos), "h1": np.concatenate(h1), "h2": np.concatenate(h2)})
-                    rid, pos, h1, h2, held = [], [], [], [], 0
-            if held:
-                yield pd.DataFrame({"rid": np.concatenate(rid), "pos": np.concatenate(pos), "h1": np.concatenate(h1), "h2": np.concatenate(h2)})
+                    for p in range(s["lo"], s["lo"] + s["n"]):
+                        w = data[p : p + length]
+                        out.append((rid, p, 1, _rank(w), _rank(w, 1)))
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=SUFFIX_COLUMNS)
+                    out = []
+            yield pd.DataFrame(out, columns=SUFFIX_COLUMNS)
 
-    return rows.select("rid", "text", "spans").mapInPandas(run, "rid long, pos long, h1 long, h2 long")
+    return rows.select("rid", "text", "open").mapInPandas(run, SUFFIXES)
+
+
+def settle(found: DataFrame, name: str) -> DataFrame:
+    """What a round of ranks settles: (rid, lo, n, whole, open) of the rows whose rank g is not unique.
+    whole: the covered bytes c repeat too, so every window does. open: of each distinct c of a rank
+    that has several, one row, whose windows must be compared at a greater length."""
+    contexts = found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "lo")).alias("first"))
+    per_rank = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("total")).where("total > 1")
+    known = contexts.join(per_rank.hint("merge"), "g").select("g", "c", "m", "kinds", "first")
+    out = found.join(known.hint("merge"), ["g", "c"]).select(
+        "rid", "lo", "n", (F.col("m") > 1).alias("whole"), ((F.col("kinds") > 1) & (F.struct("rid", "lo") == F.col("first"))).alias("open")
+    )
+    return staged(out.where("whole OR open"), name)
+
+
+def spans_of(hits: DataFrame, which: str) -> DataFrame:
+    """One list of (lo, n) per document."""
+    return hits.where(which).groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias(which))
 
 
 def _covered(spans, length: int, n: int) -> list[tuple[int, int]]:
@@ -145,71 +189,91 @@ def _covered(spans, length: int, n: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def cut_out(rows: DataFrame, length: int) -> DataFrame:
-    """Per document what is left when the covered bytes are gone."""
+def _cut(data: bytes, spans, length: int) -> tuple[int, int, int, str]:
+    """n_bytes, n_removed, n_spans and the digest of what is left."""
+    runs = _covered([(s["lo"], s["n"]) for s in spans], length, len(data))
+    sha, at = hashlib.sha256(), 0
+    for a, b in runs:
+        sha.update(data[at:a])
+        at = b
+    sha.update(data[at:])
+    return len(data), sum(b - a for a, b in runs), len(runs), sha.hexdigest()
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def cut_or_carry(rows: DataFrame, length: int) -> DataFrame:
+    """Documents with nothing open are finished; of the others the text is carried on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-                data = text.encode("utf-8", "replace")
-                runs = _covered([(s["lo"], s["n"]) for s in spans] if spans is not None else [], length, len(data))
-                sha, at = hashlib.sha256(), 0
-                for a, b in runs:
-                    sha.update(data[at:a])
-                    at = b
-                sha.update(data[at:])
-                out.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), sha.hexdigest()))
+            for rid, doc_id, text, whole, more in zip(pdf["rid"], pdf["doc_id"], pdf["text"], pdf["whole"], pdf["open"]):
+                if more is None:
+                    out.append((doc_id, *_cut(text.encode("utf-8", "replace"), whole if whole is not None else [], length), None, None))
+                else:
+                    out.append((doc_id, None, None, None, None, rid, text))
+            res = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rid", "text"])
+            for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "rid"):
+                res[c] = pd.array(res[c], dtype="Int64")
+            yield res
+
+    return rows.select("rid", "doc_id", "text", "whole", "open").mapInPandas(run, RESULT + ", rid long, text string")
+
+
+def cut_out(rows: DataFrame, length: int) -> DataFrame:
+    """Per document (doc_id, text, spans) what is left when the covered bytes are gone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(doc_id, *_cut(text.encode("utf-8", "replace"), spans if spans is not None else [], length)) for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"])]
             res = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             res["doc_id"] = pd.array(res["doc_id"], dtype="Int64")
             yield res
 
-    return rows.select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans").mapInPandas(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, k: int = 32, block: int = 16) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts elsewhere.
 
     Plain prefix doubling would sort a (position, rank) pair for each byte in each round: over
     twenty times the input on disk. Here the positions are thinned first, without losing a match:
     each window of `length` bytes is dealt to the k-byte string of least hash in it, so equal windows
-    are dealt to equal strings at equal offsets. Ranks are then refined at growing lengths,
-    and positions leave as soon as they are settled:
-
-    1. k bytes at each anchor: an anchor that is unique settles all its windows as unique.
-    2. the bytes that an anchor's windows cover together: where they repeat as a whole, all its
-       windows are repeated; where all anchors of a rank agree, there is nothing more to compare.
-    3. `length` bytes at each window of the anchors still open: one for each distinct context.
-
-    Ranks past the first are 128-bit hashes of the bytes. Each step is a grouped count with partial
-    aggregation and a join on the rank, so a passage that a third of all documents share is counted
-    before it is shuffled. Null text is empty; texts shorter than `length` are kept whole; repeated
-    rows count as documents of their own; null ids pass through; other columns are ignored.
+    are dealt to equal strings at equal offsets. Ranks are then taken at growing lengths, and
+    positions leave as soon as they are settled:
+
+    1. k bytes at each anchor: an anchor whose rank is unique settles all its windows as unique.
+    2. length - block + 1 bytes, shared by a block of neighbouring windows, for the anchors whose
+       surroundings differ; again a unique rank settles the whole block.
+    3. `length` bytes at each window of the blocks still open.
+
+    In rounds 1 and 2 a row also ranks all bytes that its windows cover: where those repeat as a
+    whole, all its windows are repeated and nothing need be looked at more closely. Of equal
+    surroundings one row goes on. Each round is a grouped count with partial aggregation and a
+    join on the rank, so a passage that a third of all documents share is counted before it is
+    shuffled. Ranks are 64-bit hashes of the bytes, and a match needs two of them equal.
+
+    Null text is empty; texts shorter than `length` are kept whole; repeated rows count as documents
+    of their own; null ids pass through; other columns are ignored; an empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(base.withColumn("rid", F.monotonically_increasing_id()), "repeats-text")
     found = staged(sampled_suffixes(rows, length, k), "repeats-anchors")
-
-    contexts = found.groupBy("g", "c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "lo")).alias("first"))
-    contexts = staged(contexts, "repeats-contexts")
-    per_rank = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("total")).where("total > 1")
-    known = contexts.join(per_rank.hint("merge"), "g").select("g", "c1", "c2", "m", "kinds", "first")
-    hit = staged(
-        found.join(known.hint("merge"), ["g", "c1", "c2"]).select(
-            "rid", "lo", "n", (F.col("m") > 1).alias("whole"), ((F.col("kinds") > 1) & (F.struct("rid", "lo") == F.col("first"))).alias("open")
-        ),
-        "repeats-hits",
-    )
-    unstage(contexts)
-
-    def per_row(df: DataFrame) -> DataFrame:
-        return df.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-
-    texts = rows.select("rid", "text")
-    todo = per_row(hit.where("open"))
-    ranks = staged(window_ranks(texts.join(todo.hint("merge"), "rid"), length), "repeats-windows")
-    repeated = ranks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    single = ranks.join(repeated.hint("merge"), ["h1", "h2"], "left_semi").select("rid", F.col("pos").alias("lo"), F.lit(1).cast("long").alias("n"))
-    spans = staged(per_row(hit.where("whole").select("rid", "lo", "n").unionByName(single)), "repeats-spans")
-    return cut_out(rows.join(spans.hint("merge"), "rid", "left"), length)
+    hits = settle(found, "repeats-hits")
+    unstage(found)
+    joined = rows.join(spans_of(hits, "whole").hint("merge"), "rid", "left").join(spans_of(hits, "open").hint("merge"), "rid", "left")
+    first = staged(cut_or_carry(joined, length), "repeats-first")
+    unstage(rows)
+    done, rest = first.where("rid IS NULL").drop("rid", "text"), first.where("rid IS NOT NULL").select("rid", "doc_id", "text")
+
+    blocks = staged(longer_suffixes(rest.join(spans_of(hits, "open").hint("merge"), "rid"), length, k, block), "repeats-blocks")
+    more = settle(blocks, "repeats-hits")
+    windows = staged(full_suffixes(rest.join(spans_of(more, "open").hint("merge"), "rid"), length), "repeats-windows")
+    last = settle(windows, "repeats-hits")
+    # Of a row that went on for others of the same surroundings all windows are known to repeat already.
+    known = hits.where("whole").unionByName(more.where("whole")).unionByName(last.where("whole")).select("rid", "lo", "n")
+    spans = known.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return done.unionByName(cut_out(rest.join(spans.hint("merge"), "rid", "left"), length))

@@ -24,7 +24,7 @@ def brute(rows, length):
 
 def got(spark, rows, length, k):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rid int")
-    return sorted(((None if pd.isna(r[0]) else int(r[0]), *r[1:]) for r in remove_repeats(df, length, k).collect()), key=str)
+    return sorted(((None if pd.isna(r[0]) else int(r[0]), *r[1:]) for r in remove_repeats(df, length, k, 5).collect()), key=str)
 
 
 def test_matches_brute_force(spark):
