@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm.common import table
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import language_id, toxicity
+from ledgerloom.llm.common import doc_bucket, table
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.simhash import simhash_groups
@@ -41,12 +44,28 @@ def op4_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(doc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = language_id.train(docs, ~held_out)
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(doc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = toxicity.train(docs, labels, ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries():
     return {
         "op1_pack": op1_pack,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
+        "op5_language_id": op5_language_id,
+        "op9_toxicity": op9_toxicity,
     }
 
 
