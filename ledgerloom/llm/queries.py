@@ -8,6 +8,7 @@ from ledgerloom.llm import language_id, toxicity
 from ledgerloom.llm.common import doc_bucket, table
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.pii import pii_report
 from ledgerloom.llm.simhash import simhash_groups
 from ledgerloom.llm.substring_dedup import remove_repeats
 
@@ -51,6 +52,10 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii(spark, sf_dir):
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(doc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -65,6 +70,7 @@ def queries():
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
         "op5_language_id": op5_language_id,
+        "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
     }
 
