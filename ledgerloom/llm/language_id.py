@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ASCII_LETTER = re.compile("[A-Za-z]")
 HIDDEN = 8
 #: Bytes that the recurrent state runs over; longer texts are read in as many stretches as they need.
 STRETCH = 256
@@ -216,6 +219,43 @@ def train(docs: DataFrame, learn: Column | None = None, max_rows: int = 3000, ma
     return model
 
 
+def predict(model: ByteGRU | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of texts that have letters."""
+    lang, score = np.array(["und"] * len(texts), dtype=object), np.zeros(len(texts))
+    if model is None or not texts:
+        return lang, score
+    # So many documents at once as hold about 8 MB.
+    group = np.cumsum([len(t) for t in texts]) // 8_000_000
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        prob = model.pooled([texts[i].encode("utf-8", "replace") for i in own])
+        best = prob.argmax(axis=1)
+        lang[own] = np.array(model.classes, dtype=object)[best]
+        score[own] = np.clip(prob[np.arange(len(own)), best], 0, 1)
+    return lang, score
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (bool(ASCII_LETTER.search(text)) or any(c.isalpha() for c in text))
+
+
+def accept(docs: DataFrame, model: ByteGRU | None, min_score: float = 0.35) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text has a letter and whose best language scores
+    at least `min_score`. Null and empty texts go; with nothing learned every row goes; an empty
+    table stays empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            keep = np.array([has_letter(t) for t in texts], dtype=bool)
+            pick = np.flatnonzero(keep)
+            lang, score = predict(model, [texts[i] for i in pick])
+            keep[pick] = (lang != "und") & (score >= min_score)
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of (doc_id, text), from all bytes of the text.
 
@@ -227,17 +267,8 @@ def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lang, score = np.array(["und"] * len(pdf), dtype=object), np.zeros(len(pdf))
-            if model is not None:
-                pick = np.flatnonzero(pdf["letters"].to_numpy(dtype=bool))
-                size = pdf["text"].iloc[pick].str.len().to_numpy()
-                # So many documents at once as hold about 8 MB.
-                group = np.cumsum(size) // 8_000_000 if len(pick) else size
-                for g in np.unique(group):
-                    own = pick[group == g]
-                    prob = model.pooled([t.encode("utf-8", "replace") for t in pdf["text"].iloc[own]])
-                    best = prob.argmax(axis=1)
-                    lang[own] = np.array(model.classes, dtype=object)[best]
-                    score[own] = np.clip(prob[np.arange(len(own)), best], 0, 1)
+            pick = np.flatnonzero(pdf["letters"].to_numpy(dtype=bool))
+            lang[pick], score[pick] = predict(model, pdf["text"].iloc[pick].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": lang, "score": score})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
