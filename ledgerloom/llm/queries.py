@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import language_id, toxicity
 from ledgerloom.llm.common import doc_bucket, table
 from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.fingerprints import compare_with_edits
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import pii_report
 from ledgerloom.llm.simhash import simhash_groups
@@ -63,6 +64,10 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_fingerprints(spark, sf_dir):
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_pack": op1_pack,
@@ -72,6 +77,7 @@ def queries():
         "op5_language_id": op5_language_id,
         "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
