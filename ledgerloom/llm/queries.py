@@ -10,6 +10,7 @@ from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.fingerprints import compare_with_edits
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import pii_report
+from ledgerloom.llm.sentencepieces import digest_documents
 from ledgerloom.llm.simhash import simhash_groups
 from ledgerloom.llm.substring_dedup import remove_repeats
 
@@ -53,6 +54,10 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_sentencepiece(spark, sf_dir):
+    return digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_pii(spark, sf_dir):
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def queries():
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
         "op5_language_id": op5_language_id,
+        "op6_sentencepiece": op6_sentencepiece,
         "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
         "op10_fingerprints": op10_fingerprints,
