@@ -10,6 +10,7 @@ from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.fingerprints import compare_with_edits
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import pii_report
+from ledgerloom.llm.secrets import scan
 from ledgerloom.llm.sentencepieces import digest_documents
 from ledgerloom.llm.simhash import simhash_groups
 from ledgerloom.llm.substring_dedup import remove_repeats
@@ -58,6 +59,10 @@ def op6_sentencepiece(spark, sf_dir):
     return digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_secrets(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark, sf_dir):
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ def queries():
         "op4_simhash": op4_simhash,
         "op5_language_id": op5_language_id,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_secrets": op7_secrets,
         "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
         "op10_fingerprints": op10_fingerprints,
