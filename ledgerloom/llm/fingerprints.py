@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import staged
 
 #: A paragraph: up to so many words of one line.
-WORDS = 8
+WORDS = 24
 #: Entries (of both sides) that one subtable expects, and the cells of each of its three rows at the first try.
 LOAD, ROW = 16, 8
 #: Tries: each has four times the cells of the one before, under other hashes.
 TRIES = 6
 ROUNDS = 12
+#: Rounds of peeling that all tables get at once, before the few that are left over are tried singly.
+FIRST_ROUNDS = 5
 #: Cells in each of the three rows of the table that is written out.
 PRINTED = 4
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: inside a lambda an expression would be computed each time it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def paragraphs(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs."""
     found = F.regexp_extract_all(text, F.lit(r"(?:[^\s]++[^\S\n]*+){1,%d}+" % WORDS), F.lit(0))
@@ -56,17 +65,13 @@ def peeled(cells: Column, row: Column, seed: Column) -> Column:
     def step(s: Column, _: Column) -> Column:
         pure = F.filter(s["cells"], lambda c: (F.abs(c["c"]) == 1) & (c["y"] == F.xxhash64(c["x"], F.lit(17))))
         out = F.array_distinct(F.transform(pure, lambda c: _entry(c["x"], c["c"], row, seed)))
-        # The table is made anew for each round, so what is taken out is bound once, as a one-element array.
-        return F.element_at(
-            F.transform(
-                F.array(out),
-                lambda es: F.struct(
-                    F.transform(s["cells"], lambda c, i: _into(c, es, i, -1)).alias("cells"),
-                    (s["n"] + F.size(es)).alias("n"),
-                    F.size(es).alias("new"),
-                ),
+        return let(
+            out,
+            lambda es: F.struct(
+                F.when(F.size(es) == 0, s["cells"]).otherwise(F.transform(s["cells"], lambda c, i: _into(c, es, i, -1))).alias("cells"),
+                (s["n"] + F.size(es)).alias("n"),
+                F.size(es).alias("new"),
             ),
-            1,
         )
 
     return F.aggregate(
@@ -83,15 +88,18 @@ def differing(both: Column) -> Column:
     dealt into subtables by digest; one that fails is tried again with four times the cells."""
 
     def tried(v: Column, level: Column) -> Column:
-        row = (F.lit(ROW) * F.pow(F.lit(4), level)).cast("int")
-        entries = F.transform(v, lambda e: _entry(e["x"], e["c"], row, level))
-        return peeled(lookup_table(entries, row), row, level)
+        return let(
+            (F.lit(ROW) * F.pow(F.lit(4), level)).cast("int"),
+            lambda row: let(F.transform(v, lambda e: _entry(e["x"], e["c"], row, level)), lambda entries: peeled(lookup_table(entries, row), row, level)),
+        )
 
     def of(v: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(-1), lambda d, level: F.when(d >= 0, d).otherwise(tried(v, level)))
 
-    tables = F.greatest(F.lit(1), F.ceil(F.size(both) / LOAD)).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), tables - 1), F.lit(0), lambda acc, s: acc + of(F.filter(both, lambda e: F.pmod(F.shiftright(e["x"], 8), tables) == s)))
+    def total(tables: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), tables - 1), F.lit(0), lambda acc, s: acc + let(F.filter(both, lambda e: F.pmod(F.shiftright(e["x"], 8), tables) == s), of))
+
+    return let(F.greatest(F.lit(1), F.ceil(F.size(both) / LOAD)).cast("int"), total)
 
 
 def _signed(a: Column, b: Column) -> Column:
@@ -99,11 +107,54 @@ def _signed(a: Column, b: Column) -> Column:
     return F.concat(one(a, 1), one(b, -1))
 
 
+def _slots(x: Column, tables: Column) -> list[Column]:
+    """The three cells of a digest, numbered over all subtables: the same as those of `_entry` at the first try."""
+    h = F.xxhash64(x, F.lit(0))
+    table = F.pmod(F.shiftright(x, 8), tables).cast("long") * (4 * ROW)
+    return [table + ROW * j + F.pmod(F.shiftrightunsigned(h, 20 * j).bitwiseAND(F.lit(0xFFFFF)), F.lit(ROW)) for j in range(3)]
+
+
+def peel_together(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, de, dn): digests recovered between a and e, and between a and n, or -1 where a table could not be emptied.
+
+    `sets` has the arrays a, e, n and lies partitioned on `keys`. All tables of a partition are built and
+    peeled together as rows: cells are sums by slot; a round makes each cell with one entry name it, lets every name
+    count once, and adds it with the other sign to its three cells. Every grouping has the keys in it, so nothing is
+    shuffled.
+    """
+    side = lambda cmp, c, xs, ys: F.struct(F.lit(cmp).alias("cmp"), F.lit(c).alias("c"), F.greatest(F.lit(1), F.ceil((F.size("a") + F.size(ys)) / LOAD)).cast("long").alias("tables"), F.col(xs).alias("xs"))
+    sides = F.explode(F.array(side(0, 1, "a", "e"), side(0, -1, "e", "e"), side(1, 1, "a", "n"), side(1, -1, "n", "n")))
+    entries = sets.select(*keys, sides.alias("s")).select(*keys, (F.col("s.tables") * 2 + F.col("s.cmp")).alias("tag"), F.col("s.c").cast("long").alias("c"), F.col("s.tables").alias("tables"), F.explode("s.xs").alias("x"))
+    group = [*keys, "tag", "slot"]
+    full = (F.col("c") != 0) | (F.col("x") != 0) | (F.col("y") != 0) | (F.col("slot") < 0)
+    cells = (
+        entries.select(*keys, "tag", "c", "x", F.xxhash64("x", F.lit(17)).alias("y"), F.explode(F.array(*_slots(F.col("x"), F.col("tables")))).alias("slot"))
+        .groupBy(*group)
+        .agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        .where(full)
+        .withColumn("found", F.lit(0).cast("long"))
+    )
+    own = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), "c", "x", "y", "found")
+    put = lambda slot, c, x, y, found: F.struct(slot.alias("slot"), c.alias("c"), x.alias("x"), y.alias("y"), found.alias("found"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    for _ in range(FIRST_ROUNDS):
+        pure = (F.abs("c") == 1) & (F.col("y") == F.xxhash64("x", F.lit(17))) & (F.col("slot") >= 0)
+        named = cells.select(*keys, "tag", F.explode(F.when(pure, F.array(own(0, F.col("slot")), own(1, F.col("x")))).otherwise(F.array(own(0, F.col("slot"))))).alias("r")).select(*keys, "tag", "r.*")
+        # A digest that several cells name counts once.
+        once = named.groupBy(*keys, "tag", "kind", "at").agg(*[F.min(c).alias(c) for c in ("c", "x", "y", "found")])
+        taken = [put(s, -F.col("c"), F.col("x"), F.col("y"), zero) for s in _slots(F.col("x"), F.shiftright("tag", 1))]
+        out = F.when(F.col("kind") == 0, F.array(put(F.col("at"), F.col("c"), F.col("x"), F.col("y"), F.col("found")))).otherwise(F.array(put(F.lit(-1).cast("long"), zero, zero, zero, one), *taken))
+        cells = once.select(*keys, "tag", F.explode(out).alias("r")).select(*keys, "tag", "r.*").groupBy(*group).agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.sum("found").alias("found")).where(full)
+    of = lambda cmp: F.pmod("tag", F.lit(2)) == cmp
+    d = lambda cmp: F.when(F.count_if(of(cmp) & (F.col("slot") >= 0)) > 0, -1).otherwise(F.coalesce(F.sum(F.when(of(cmp), F.col("found"))), F.lit(0)))
+    return cells.groupBy(*keys).agg(d(0).cast("int").alias("de"), d(1).cast("int").alias("dn"))
+
+
 def printed(digests: Column) -> Column:
     """The table of one version as text: count, digests and checks of each cell."""
     row = F.lit(PRINTED)
     entries = F.transform(digests, lambda x: _entry(x, F.lit(1), row, F.lit(0)))
-    return F.array_join(F.transform(lookup_table(entries, row), lambda c: F.concat_ws(".", F.lower(F.hex(c["c"])), F.lower(F.hex(c["x"])), F.lower(F.hex(c["y"])))), "-")
+    return F.array_join(F.transform(let(entries, lambda es: lookup_table(es, row)), lambda c: F.concat_ws(".", F.lower(F.hex(c["c"])), F.lower(F.hex(c["x"])), F.lower(F.hex(c["y"])))), "-")
 
 
 def _likeness(a: str, b: str, d: str) -> Column:
@@ -112,53 +163,60 @@ def _likeness(a: str, b: str, d: str) -> Column:
 
 
 def ring(keys: DataFrame) -> DataFrame:
-    """(k, h, next_k, next_h): each distinct row key with the next one, by descending id (null last), then
-    digest; after the last comes the first. Ids are range-partitioned and led within partitions; only one
-    row for each partition meets in one task, to carry the lead over the borders."""
-    spread = keys.select("doc_id", "k", "h").distinct()
+    """(k1, k2, n1, n2): each distinct row key with the next one, by descending id (null last), then key; after the
+    last comes the first. Ids are range-partitioned and led within partitions; only one row for each partition meets
+    in one task, to carry the lead over the borders."""
+    spread = keys.select("doc_id", "k1", "k2").distinct()
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = staged(spread.repartitionByRange(n, F.desc_nulls_last("doc_id"), F.asc("h")).withColumn("part", F.spark_partition_id()), "ring-keys")
-    order = [F.desc_nulls_last("doc_id"), F.asc("h")]
+    order = [F.desc_nulls_last("doc_id"), F.asc("k1"), F.asc("k2")]
+    ranged = staged(spread.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ring-keys")
     w = Window.partitionBy("part").orderBy(*order)
-    here = F.struct("k", "h")
+    here = F.struct("k1", "k2")
     led = ranged.withColumn("next", F.lead(here).over(w)).withColumn("row", F.row_number().over(w))
     firsts = led.where("row = 1").select("part", here.alias("first"))
     parts = Window.orderBy("part")
     start = F.first("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     border = firsts.select("part", F.coalesce(F.lead("first").over(parts), start).alias("border"))
     out = led.join(border.hint("merge"), "part").withColumn("next", F.coalesce("next", "border"))
-    return out.select("k", "h", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
+    return out.select("k1", "k2", F.col("next.k1").alias("n1"), F.col("next.k2").alias("n2"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness.
 
     The edited text has the last third replaced by the beginning of the next document (descending
-    doc_id; after the last the first). Likeness is the share of paragraphs in common, from the number that
-    peeling the subtracted tables recovers.
+    doc_id, of equal ids by a hash; after the last the first). Likeness is the share of paragraphs in common, from
+    the number of digests that peeling the subtracted tables recovers; tables that can't be emptied are made
+    larger and tried again.
 
     Null text is empty; texts without a word have an empty table and are fully alike; rows that repeat
     id and text have the same next document; null ids come last; texts of any length are read whole;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result. Rows are known by 128 bits of id and text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("k"), F.md5("text").alias("h"), "text")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    keyed = rows.select("doc_id", F.xxhash64(name, "text").alias("k1"), F.xxhash64("text", name, F.lit("second")).alias("k2"), "text")
     after = staged(ring(keyed), "ring")
-    # Each text is sent to the document before it.
-    sent = keyed.select("k", "h", F.col("text").alias("next_text")).join(after.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h")).hint("merge"), ["k", "h"])
-    sent = sent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "next_text")
-    # Rows that repeat id and text send the same text twice.
-    repeated = Window.partitionBy("k", "h").orderBy(F.lit(1))
-    sent = sent.withColumn("_copy", F.row_number().over(repeated)).where("_copy = 1").drop("_copy")
-    pairs = keyed.join(sent.hint("merge"), ["k", "h"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    # Each text is sent to the document before it; rows that repeat id and text send it once.
+    sent = keyed.select("k1", "k2", F.col("text").alias("next_text")).join(after.select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("to1"), F.col("k2").alias("to2")).hint("merge"), ["k1", "k2"])
+    sent = sent.withColumn("_copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("to1"))).where("_copy = 1").select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("k1").alias("n1"), F.col("k2").alias("n2"), "next_text")
+    pairs = keyed.join(sent.hint("merge"), ["k1", "k2"]).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     kept = (F.col("n_chars") - third).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), kept), F.substr("next_text", F.lit(1), third))
-    sets = pairs.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited")).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"), paragraphs(F.col("next_text")).alias("n")
+    keys = ["k1", "k2", "n1", "n2"]
+    sets = pairs.select("doc_id", *keys, "n_chars", "text", edited.alias("edited")).select(
+        "doc_id", *keys, "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e")
     )
-    signed = sets.withColumn("ae", _signed(F.col("a"), F.col("e"))).withColumn("an", _signed(F.col("a"), F.col("n")))
-    out = signed.withColumn("de", differing(F.col("ae"))).withColumn("dn", differing(F.col("an")))
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), _likeness("a", "e", "de").alias("near_edited"), _likeness("a", "n", "dn").alias("near_next")
+    sets = staged(sets, "paragraphs")
+    # From here on only digests are read. Of repeated rows one is compared.
+    distinct = sets.withColumn("_copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("n1"))).where("_copy = 1").select(*keys, "a", "e")
+    following = distinct.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("a").alias("n"))
+    trio = distinct.join(following.hint("merge"), ["n1", "n2"])
+    peeled_ = staged(peel_together(trio.select("n1", "n2", "a", "e", "n"), ["n1", "n2"]), "peeled")
+    again = lambda d, other: F.when(F.coalesce(d, F.lit(0)) < 0, differing(_signed(F.col("a"), F.col(other)))).otherwise(F.coalesce(d, F.lit(0)))
+    known = trio.join(peeled_.hint("merge"), ["n1", "n2"], "left").withColumn("de", again(F.col("de"), "e")).withColumn("dn", again(F.col("dn"), "n"))
+    likely = known.select("k1", "k2", _likeness("a", "e", "de").alias("near_edited"), _likeness("a", "n", "dn").alias("near_next"))
+    return sets.join(likely.hint("merge"), ["k1", "k2"]).select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next"
     )

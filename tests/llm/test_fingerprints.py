@@ -3,8 +3,11 @@ import random
 import re
 
 import pytest
+import xxhash
 
-from ledgerloom.llm.fingerprints import WORDS, compare_with_edits
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.fingerprints import WORDS, _signed, compare_with_edits, differing
 
 
 def units(text):
@@ -17,7 +20,8 @@ def like(a, b):
 
 
 def brute(rows):
-    ring = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    signed = lambda r: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(r[1].encode(), xxhash.xxh64_intdigest(("none" if r[0] is None else str(r[0])).encode(), 42)))
+    ring = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r)))
     out = []
     for i, t in rows:
         t = t or ""
@@ -44,5 +48,6 @@ def test_against_sets(spark):
         prints.setdefault((x.doc_id, x.n_chars), set()).add(x.fingerprint)
     assert len(prints[504, 4]) == 1 and prints[500, 0] == prints[501, 0] == prints[503, 3]
     assert compare_with_edits(df.limit(0)).count() == 0
+    assert {d for (d,) in spark.createDataFrame([([1, 2, 3], [3, 4]), ([7], [7])], "a array<long>, b array<long>").select(differing(_signed(F.col("a"), F.col("b")))).collect()} == {3, 0}
     one = compare_with_edits(df.where("doc_id = 502")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"ono").hexdigest()
