@@ -36,13 +36,16 @@ class Pieces:
         self.byte = {int(names[i][3:-1], 16): i for i in range(len(names)) if m.is_byte(i)}
         self.longest = max(map(len, self.id))
         self.bytes = {i: names[i].replace(SPACE, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte.items()}
-        self.sorted = sorted(self.id)
+        # Pieces of one character need no search: they are what stands where no longer piece fits.
+        self.sorted = sorted(p for p in self.id if len(p) > 1)
+        self.names = self.sorted + sorted(p for p in self.id if len(p) == 1)
+        self.single = {p: k for k, p in enumerate(self.names) if len(p) == 1}
         lengths = np.array([len(p) for p in self.sorted])
         self.chars = np.zeros((len(self.sorted), self.longest), dtype=np.int64)
         for k, p in enumerate(self.sorted):
             self.chars[k, : len(p)] = [ord(c) for c in p]
         self.lengths = lengths
-        self.own = [array("I", [self.id[p]]).tobytes() for p in self.sorted]
+        self.own = [array("I", [self.id[p]]).tobytes() for p in self.names]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
@@ -110,8 +113,8 @@ class Pieces:
         """Encode distinct units: relax their edges from left to right.
 
         The encoding of a prefix ends in the one piece that fits behind the encoding of what is before
-        it. A character that no piece has stands for itself, as bytes. Runs of white space marks, whose
-        pieces tie in score, are merged plainly.
+        it; if no longer one does, in its last character. A character that no piece has is spelled in bytes.
+        Runs of white space marks, whose pieces tie in score, are merged plainly.
         """
         runs = [u for u in units if u.startswith(SPACE * 2)]
         for u in runs:
@@ -122,7 +125,7 @@ class Pieces:
         start, end, piece = self.edges(units)
         starts, ends, found = start.tolist(), end.tolist(), piece.tolist()
         at, k, total = 0, 0, len(ends)
-        names, pairs, many = self.sorted, self.pairs, len(self.sorted)
+        names, pairs, many, single = self.names, self.pairs, len(self.names), self.single
         if len(pairs) > 4 * MEMORY:
             pairs.clear()
         own = self.own
@@ -137,7 +140,9 @@ class Pieces:
                 s, p = starts[k] - at, found[k]
                 if s:
                     before = last[s]
-                    if before < 0:  # a character that no piece has, or several, stand for themselves
+                    if before < 0:
+                        before = single.get(u[s - 1], -1)
+                    if before < 0:  # a character that no piece has stands for itself and merges with nothing
                         fits = True
                     else:
                         fits = pairs.get(before * many + p)
