@@ -163,10 +163,10 @@ def _likeness(a: str, b: str, d: str) -> Column:
 
 
 def ring(keys: DataFrame) -> DataFrame:
-    """(k1, k2, n1, n2): each distinct row key with the next one, by descending id (null last), then key; after the
+    """(k1, k2, n_chars, n1, n2): each distinct row key and its text's length with the next one, by descending id (null last), then key; after the
     last comes the first. Ids are range-partitioned and led within partitions; only one row for each partition meets
     in one task, to carry the lead over the borders."""
-    spread = keys.select("doc_id", "k1", "k2").distinct()
+    spread = keys.select("doc_id", "k1", "k2", "n_chars").distinct()
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc_nulls_last("doc_id"), F.asc("k1"), F.asc("k2")]
     ranged = staged(spread.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ring-keys")
@@ -178,7 +178,7 @@ def ring(keys: DataFrame) -> DataFrame:
     start = F.first("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     border = firsts.select("part", F.coalesce(F.lead("first").over(parts), start).alias("border"))
     out = led.join(border.hint("merge"), "part").withColumn("next", F.coalesce("next", "border"))
-    return out.select("k1", "k2", F.col("next.k1").alias("n1"), F.col("next.k2").alias("n2"))
+    return out.select("k1", "k2", "n_chars", F.col("next.k1").alias("n1"), F.col("next.k2").alias("n2"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -196,17 +196,17 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
     keyed = rows.select("doc_id", F.xxhash64(name, "text").alias("k1"), F.xxhash64("text", name, F.lit("second")).alias("k2"), "text")
-    after = staged(ring(keyed), "ring")
-    # Each text is sent to the document before it; rows that repeat id and text send it once.
-    sent = keyed.select("k1", "k2", F.col("text").alias("next_text")).join(after.select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("to1"), F.col("k2").alias("to2")).hint("merge"), ["k1", "k2"])
-    sent = sent.withColumn("_copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("to1"))).where("_copy = 1").select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("k1").alias("n1"), F.col("k2").alias("n2"), "next_text")
+    after = staged(ring(keyed.withColumn("n_chars", F.char_length("text"))), "ring")
+    # Each document sends the one before it as much of its beginning as that one replaces; rows that repeat id and text
+    # send it once. Both sides read the same shuffle of the texts.
+    to = after.select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.floor(F.col("n_chars") / 3).cast("int").alias("third"))
+    sent = keyed.join(to.hint("merge"), ["k1", "k2"]).withColumn("_copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("to1"))).where("_copy = 1")
+    sent = sent.select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("doc_id").alias("next_doc_id"), "third", F.substr("text", F.lit(1), F.col("third")).alias("next_text"))
     pairs = keyed.join(sent.hint("merge"), ["k1", "k2"]).withColumn("n_chars", F.char_length("text").cast("long"))
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    kept = (F.col("n_chars") - third).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), kept), F.substr("next_text", F.lit(1), third))
+    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.col("third")).cast("int")), F.col("next_text"))
     keys = ["k1", "k2", "n1", "n2"]
-    sets = pairs.select("doc_id", *keys, "n_chars", "text", edited.alias("edited")).select(
-        "doc_id", *keys, "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e")
+    sets = pairs.select("doc_id", "next_doc_id", *keys, "n_chars", "text", edited.alias("edited")).select(
+        "doc_id", "next_doc_id", *keys, "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e")
     )
     sets = staged(sets, "paragraphs")
     # From here on only digests are read. Of repeated rows one is compared.
@@ -218,5 +218,5 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     known = trio.join(peeled_.hint("merge"), ["n1", "n2"], "left").withColumn("de", again(F.col("de"), "e")).withColumn("dn", again(F.col("dn"), "n"))
     likely = known.select("k1", "k2", _likeness("a", "e", "de").alias("near_edited"), _likeness("a", "n", "dn").alias("near_next"))
     return sets.join(likely.hint("merge"), ["k1", "k2"]).select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next"
+        "doc_id", "next_doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next"
     )
