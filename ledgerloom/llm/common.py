@@ -66,21 +66,24 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
 
     Large-star and small-star rounds: every node's neighbours are pointed at the smallest node
     around it, until nothing changes. A round is two grouped minima and two joins on the node, so
-    no neighbourhood is gathered anywhere and a hub is split by AQE. Loops and repeated edges do
-    no harm; an empty table gives an empty result.
+    no neighbourhood is gathered anywhere. The minima are staged, so both sides of a join are
+    shuffled for it and AQE can split a hub. Loops and repeated edges do no harm; an empty table
+    gives an empty result.
     """
     e = staged(edges.select("u", "v").where("u <> v").distinct(), f"{name}-edges")
     state = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"{name}-low")
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(large, f"{name}-large")
         # Small-star: u > v holds in every row of `large`.
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low2 = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low2.hint("merge"), "u")
         new = small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("p")).select(F.col("p.a").alias("u"), F.col("p.b").alias("v")).where("u <> v").distinct()
         new = staged(new, f"{name}-edges")
-        unstage(e)
+        for old in (e, low, large, low2):
+            unstage(old)
         e = new
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (now.n, now.s) == state:

@@ -71,15 +71,15 @@ def test_bit_sliced_links_and_masks():
         base = r.integers(0, 2**63, 3, dtype=np.uint64)
         fp = base[r.integers(0, 3, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
         bucket = np.sort(r.integers(0, 3, n))
-        for radius in (0, 1, 3, 4):
+        for radius in (0, 1, 3, 4, 6, 7):
             i, j = _links(fp, bucket, radius)
             want = {(a, b) for a in range(n) for b in range(a + 1, n) if bucket[a] == bucket[b] and int(fp[a] ^ fp[b]).bit_count() <= radius}
             assert set(zip(i.tolist(), j.tolist())) == want
-    for n in (10, 10**6, 10**9, 10**11):
+    for n, radius in ((10, 4), (10**6, 4), (10**9, 4), (10**11, 4), (10**6, 6)):
         for _ in range(50):
-            flips = r.choice(64, 4, replace=False)
+            flips = r.choice(64, radius, replace=False)
             diff = sum(1 << int(b) for b in flips)
-            assert any(diff & m == 0 for m in bucket_masks(n, 4))
+            assert any(diff & m == 0 for m in bucket_masks(n, radius))
 
 
 def test_components_of_a_chain_and_hub(spark):
