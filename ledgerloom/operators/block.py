@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import normalize_description
 
-#: Width of the logarithmic amount buckets: wider than either edge of a band of 20 per cent.
+#: Width of the logarithmic amount buckets.
 STEP = math.log(1.26)
 KEY_PREFIX, KEY_MIN = 8, 4
 
@@ -28,17 +28,39 @@ def _in_days(days: int) -> Column:
     return F.coalesce(F.abs(F.datediff("idate", "edate")) <= days, F.lit(True))
 
 
+def _places(i: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `place`: an external row's rank by (amount, id), and for an internal one the number of external rows
+    up to its amount. Ranks run within fine amount buckets, whose counts (one row for each bucket, bounded by the
+    range of amounts) are added up before them."""
+    fine = lambda a: (F.floor(F.log(F.abs(a)) / (STEP / 256)) * F.signum(a)).cast("long") + F.when(a > 0, F.lit(1 << 32)).otherwise(F.lit(-(1 << 32)))
+    both = i.select(F.lit(0).alias("side"), F.col("internal_id").alias("id"), F.col("ia").alias("a"), F.col("idate").alias("day")).unionByName(e.select(F.lit(1).alias("side"), F.col("external_id").alias("id"), F.col("ea").alias("a"), F.col("edate").alias("day")))
+    both = both.withColumn("fine", fine(F.col("a")))
+    counts = both.groupBy("fine").agg(F.sum("side").alias("n"))
+    before = counts.select("fine", (F.sum("n").over(Window.orderBy("fine")) - F.col("n")).alias("before"))
+    within = Window.partitionBy("fine").orderBy("a", F.desc("side"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("within", F.sum("side").over(within)).join(before, "fine").withColumn("place", F.col("before") + F.col("within"))
+    return (
+        placed.where("side = 0").select(F.col("id").alias("internal_id"), F.col("a").alias("ia"), F.col("day").alias("idate"), "place"),
+        placed.where("side = 1").select(F.col("id").alias("external_id"), F.col("a").alias("ea"), F.col("day").alias("edate"), "place"),
+    )
+
+
 def candidates_by_amount(internal: DataFrame, external: DataFrame, tolerance: float = 0.20, days: int = 20, nearest: int = 10) -> DataFrame:
     """(internal_id, external_id): the external rows nearest in amount within the band around the internal
-    amount, then of these those near in date. The band is an equi-join on logarithmic buckets, each internal row looking in
-    its own and those beside it, followed by the exact test; the top few of a row are taken before anything is joined on."""
-    if not 0 < tolerance <= 0.20:
-        raise ValueError("the buckets hold bands of up to 20 per cent")
+    amount (of equal gaps the lesser id), then of these those near in date.
+
+    Only the rows next to an amount in the order of amounts can be among the nearest, so the join is on blocks of
+    that order: an internal row meets its own block and those beside it, however many rows the band holds. Of external rows of
+    one amount no more than `nearest` can ever be taken.
+    """
     i, e = _sides(internal, external)
-    i = i.where("ia IS NOT NULL AND ia <> 0").withColumn("bucket", F.explode(F.array(*[_amount_bucket(F.col("ia")) + k for k in (-1, 0, 1)])))
-    e = e.where("ea IS NOT NULL AND ea <> 0").withColumn("bucket", _amount_bucket(F.col("ea")))
+    i, e = i.where("ia IS NOT NULL AND ia <> 0"), e.where("ea IS NOT NULL AND ea <> 0")
+    e = e.withColumn("same", F.row_number().over(Window.partitionBy("ea").orderBy("external_id"))).where(F.col("same") <= nearest).drop("same")
+    i, e = _places(i, e)
+    size = max(64, 2 * nearest)
+    i = i.withColumn("block", F.explode(F.array(*[F.floor(F.col("place") / size) + k for k in (-1, 0, 1)])))
     window = F.abs("ia") * tolerance
-    band = i.join(e, "bucket").where((F.col("ea") >= F.col("ia") - window) & (F.col("ea") <= F.col("ia") + window))
+    band = i.drop("place").join(e.withColumn("block", F.floor(F.col("place") / size)).drop("place"), "block").where((F.col("ea") >= F.col("ia") - window) & (F.col("ea") <= F.col("ia") + window))
     top = Window.partitionBy("internal_id").orderBy(F.abs(F.col("ea") - F.col("ia")), "external_id")
     return band.withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
 

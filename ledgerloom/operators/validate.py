@@ -122,7 +122,8 @@ def validate(records: DataFrame, as_of: str, rules: list[dict] = RULES, secret:
     """
     if "error" not in records.columns:
         records = records.withColumn("error", F.lit(None).cast("string"))
-    df = coerce_for_rules(records.withColumn("r", canonical_record(F.col("record"))))
+    # Through explode, so that the optimizer does not copy the parsing of a record into every use of a field.
+    df = coerce_for_rules(records.withColumn("r", F.explode(F.array(canonical_record(F.col("record"))))))
     none = F.array().cast(NO_VIOLATIONS)
     df = df.withColumn("_schema", F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("record: "), "error"))).otherwise(check_structure("r")))
     df = df.withColumn("_rules", F.when(F.size("_schema") == 0, apply_rules(as_of, rules)).otherwise(none))
