@@ -60,7 +60,7 @@ def candidates_by_amount(internal: DataFrame, external: DataFrame, tolerance: fl
     size = max(64, 2 * nearest)
     i = i.withColumn("block", F.explode(F.array(*[F.floor(F.col("place") / size) + k for k in (-1, 0, 1)])))
     window = F.abs("ia") * tolerance
-    band = i.drop("place").join(e.withColumn("block", F.floor(F.col("place") / size)).drop("place"), "block").where((F.col("ea") >= F.col("ia") - window) & (F.col("ea") <= F.col("ia") + window))
+    band = i.drop("place").join(e.withColumn("block", F.floor(F.col("place") / size)).drop("place").hint("merge"), "block").where((F.col("ea") >= F.col("ia") - window) & (F.col("ea") <= F.col("ia") + window))
     top = Window.partitionBy("internal_id").orderBy(F.abs(F.col("ea") - F.col("ia")), "external_id")
     return band.withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
 
@@ -72,7 +72,7 @@ def blocking_keys(docs: DataFrame, ceiling: float = 0.10, key: str = "id") -> Da
     rows = docs.select(key, F.explode(words).alias("block"))
     n = docs.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * ceiling)).alias("most"))
     often = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n)).where("n <= most").select("block")
-    return rows.join(often, "block", "left_semi").select(key, "block")
+    return rows.join(often.hint("merge"), "block", "left_semi").select(key, "block")
 
 
 def candidates_by_share(internal: DataFrame, external: DataFrame, low: float = 0.05, high: float = 0.95, days: int = 20, nearest: int = 10) -> DataFrame:
@@ -81,14 +81,14 @@ def candidates_by_share(internal: DataFrame, external: DataFrame, low: float = 0
     i, e = _sides(internal, external)
     i, e = i.where("ia > 0"), e.where("ea > 0")
     keys = blocking_keys(internal.select("id", "description").unionByName(external.select("id", "description")))
-    ik = i.join(keys.withColumnRenamed("id", "internal_id"), "internal_id")
-    ek = e.join(keys.withColumnRenamed("id", "external_id"), "external_id")
+    ik = i.join(keys.withColumnRenamed("id", "internal_id").hint("merge"), "internal_id")
+    ek = e.join(keys.withColumnRenamed("id", "external_id").hint("merge"), "external_id")
     band = (F.col("ea") >= F.col("ia") * low) & (F.col("ea") <= F.col("ia") * high)
-    blocked = ik.join(ek, "block").where(band).select("internal_id", "external_id", "ia", "ea", "idate", "edate").distinct()
-    alone = i.join(blocked.select("internal_id").distinct(), "internal_id", "left_anti")
+    blocked = ik.join(ek.hint("merge"), "block").where(band).select("internal_id", "external_id", "ia", "ea", "idate", "edate").distinct()
+    alone = i.join(blocked.select("internal_id").distinct().hint("merge"), "internal_id", "left_anti")
     first, last = math.floor(math.log(low) / STEP) - 1, 0
     spread = alone.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: _amount_bucket(F.col("ia")) + k)))
-    rest = spread.join(e.withColumn("bucket", _amount_bucket(F.col("ea"))), "bucket").where(band).select("internal_id", "external_id", "ia", "ea", "idate", "edate")
+    rest = spread.join(e.withColumn("bucket", _amount_bucket(F.col("ea"))).hint("merge"), "bucket").where(band).select("internal_id", "external_id", "ia", "ea", "idate", "edate")
     gap = F.when(F.col("idate").isNotNull(), F.coalesce(F.abs(F.datediff("idate", "edate")).cast("double"), F.lit(float("inf")))).otherwise(F.abs(F.col("ea") - F.col("ia")))
     top = Window.partitionBy("internal_id").orderBy(gap, "external_id")
     return blocked.unionByName(rest).withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
@@ -101,7 +101,7 @@ def candidates_by_cluster(clusters: DataFrame, internal: DataFrame, external: Da
     known = clusters.where("cluster <> '-1'")
     a = internal.select("id").join(known, "id").select(F.col("id").alias("internal_id"), "cluster")
     b = external.select("id").join(known, "id").select(F.col("id").alias("external_id"), "cluster")
-    pairs = pair_similarity(a.join(b, "cluster").select("internal_id", "external_id"), vi, ve)
+    pairs = pair_similarity(a.join(b.hint("merge"), "cluster").select("internal_id", "external_id"), vi, ve)
     top = Window.partitionBy("internal_id").orderBy(F.desc(F.round("similarity", 9)), "external_id")
     return pairs.withColumn("r", F.row_number().over(top)).where(F.col("r") <= most).select("internal_id", "external_id")
 

@@ -32,7 +32,7 @@ def grade_coverage(truth: DataFrame, pairs: DataFrame, nominated: DataFrame) ->
     """True pairs that were matched, nominated (id, candidate_ids), or lost."""
     a = pairs.select("internal_id", "external_id").withColumn("matched", F.lit(True))
     legs = nominated.select("id", F.explode("candidate_ids").alias("other")).withColumn("nominated", F.lit(True)).distinct()
-    rows = truth.join(a, ["internal_id", "external_id"], "left").join(legs, (truth.internal_id == legs.id) & (truth.external_id == legs.other), "left")
+    rows = truth.join(a, ["internal_id", "external_id"], "left").join(legs.hint("merge"), (truth.internal_id == legs.id) & (truth.external_id == legs.other), "left")
     outcome = F.when(F.col("matched"), "matched").when(F.col("nominated"), "nominated").otherwise("lost")
     return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -51,7 +51,7 @@ def defect_stage_check(decisions: DataFrame) -> DataFrame:
 def accounting_check(inputs: DataFrame, pairs: DataFrame, unmatched: DataFrame) -> DataFrame:
     """Every input row is in one pair or in the queue, once."""
     seen = pairs.select(F.explode(F.array("internal_id", "external_id")).alias("id")).unionByName(unmatched.select("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    rows = inputs.select("id").join(seen, "id", "full")
+    rows = inputs.select("id").join(seen.hint("merge"), "id", "full")
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n").isNull()).alias("lost"), F.count_if(F.col("n") > 1).alias("twice"))
 
 

@@ -96,7 +96,7 @@ def co_settling(nominated: DataFrame, amounts: DataFrame, floor: float = 0.80, m
     do not exceed it by much together; fewer than two of these leave the best candidate alone."""
     own, other = amounts.select("id", F.col("amount").alias("obligation")), amounts.select(F.col("id").alias("other"), F.col("amount").alias("leg"))
     first = F.max("confidence").over(Window.partitionBy("id"))
-    near = nominated.withColumn("top", first).where((F.col("rank") <= most) & (F.col("confidence") >= F.col("top") * floor)).join(own, "id", "left").join(other, "other", "left")
+    near = nominated.withColumn("top", first).where((F.col("rank") <= most) & (F.col("confidence") >= F.col("top") * floor)).join(own.hint("merge"), "id", "left").join(other.hint("merge"), "other", "left")
     fits = F.coalesce((F.col("leg") > 0) & (F.col("obligation") > 0) & (F.col("leg") < F.col("obligation") * leg_share), F.lit(False))
     order = Window.partitionBy("id").orderBy("rank")
     near = near.withColumn("fits", fits).withColumn("running", F.sum(F.when(F.col("fits"), F.col("leg")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -110,7 +110,7 @@ def co_settling(nominated: DataFrame, amounts: DataFrame, floor: float = 0.80, m
 def unmatched_reasons(rows: DataFrame, above: DataFrame, near: DataFrame, co: DataFrame, isolated: DataFrame) -> DataFrame:
     """What was not confirmed and why, with the nearest miss and the co-settling candidates."""
     claimed = above.select(F.explode(F.array("internal_id", "external_id")).alias("id"))
-    left = rows.join(claimed, "id", "left_anti").join(near, "id", "left").join(isolated.withColumn("isolated", F.lit(True)), "id", "left").join(co, "id", "left")
+    left = rows.join(claimed.hint("merge"), "id", "left_anti").join(near.hint("merge"), "id", "left").join(isolated.withColumn("isolated", F.lit(True)), "id", "left").join(co.hint("merge"), "id", "left")
     reason = F.when(F.col("best_confidence").isNotNull(), "below confidence threshold").when(F.col("isolated"), "isolated outlier").otherwise("no candidate counterpart")
     return left.select("id", reason.alias("reason"), "best_confidence", "best_counterpart_id", F.when(F.col("best_confidence").isNotNull(), F.col("candidate_ids")).alias("candidate_ids"))
 

@@ -27,9 +27,9 @@ def tfidf_fit(docs: DataFrame, text: str = "description", key: str = "id") -> Da
 
 def tfidf_transform(docs: DataFrame, model: DataFrame, text: str = "description", key: str = "id") -> DataFrame:
     """(key, term, w): (1 + ln tf) * idf at unit length. Terms that the model has not seen have no weight."""
-    raw = terms(docs, text, key).join(model.select("term", "idf"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    raw = terms(docs, text, key).join(model.select("term", "idf").hint("merge"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    return raw.join(norm.hint("merge"), key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
 def save_model(model: DataFrame, path: str) -> None:
@@ -44,8 +44,8 @@ def pair_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame) -> Data
     """Pairs (internal_id, external_id) with the dot product of their vectors (id, term, w), in [0, 1]; 0 without text."""
     a = left.select(F.col("id").alias("internal_id"), "term", F.col("w").alias("wa"))
     b = right.select(F.col("id").alias("external_id"), "term", F.col("w").alias("wb"))
-    dots = pairs.select("internal_id", "external_id").join(a, "internal_id").join(b, ["external_id", "term"]).groupBy("internal_id", "external_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return pairs.join(dots, ["internal_id", "external_id"], "left").withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("dot", F.lit(0.0))))).drop("dot")
+    dots = pairs.select("internal_id", "external_id").join(a.hint("merge"), "internal_id").join(b.hint("merge"), ["external_id", "term"]).groupBy("internal_id", "external_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    return pairs.join(dots.hint("merge"), ["internal_id", "external_id"], "left").withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("dot", F.lit(0.0))))).drop("dot")
 
 
 def similar_texts(vectors: DataFrame, model: DataFrame, least: float, key: str = "id") -> DataFrame:
@@ -56,15 +56,15 @@ def similar_texts(vectors: DataFrame, model: DataFrame, least: float, key: str =
     finds every pair, and common terms, which would join everything with everything, stay out of it.
     """
     order = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("term"))
-    tail = vectors.join(model.select("term", "df"), "term").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    tail = vectors.join(model.select("term", "df").hint("merge"), "term").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # `rest` is the squared length of this term and all more common ones.
     prefix = tail.where(F.col("rest") >= least * least - 1e-9).select(key, "term")
     a = prefix.select(F.col(key).alias("a"), "term")
     b = prefix.select(F.col(key).alias("b"), "term")
-    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    pairs = a.join(b.hint("merge"), "term").where("a < b").select("a", "b").distinct()
     wa = vectors.select(F.col(key).alias("a"), "term", F.col("w").alias("wa"))
     wb = vectors.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    dots = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
+    dots = pairs.join(wa.hint("merge"), "a").join(wb.hint("merge"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
     return dots.where(F.col("cos") >= least - 1e-9)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def load_backlog(txns: DataFrame, matched: DataFrame, queue: DataFrame, limit: int | None = None, include_open: bool = False) -> DataFrame:
     """Transactions in no match on either leg and without an open or suggested exception, oldest first."""
     used = matched.select(F.explode(F.array("internal_id", "external_id")).alias("id")).distinct()
-    rows = txns.join(used, "id", "left_anti")
+    rows = txns.join(used.hint("merge"), "id", "left_anti")
     if not include_open:
         rows = rows.join(queue.where("state IN ('OPEN', 'SUGGESTED')").select(F.col("transaction_id").alias("id")), "id", "left_anti")
     rows = rows.orderBy("txn_date", "id")
