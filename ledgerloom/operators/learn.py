@@ -78,7 +78,6 @@ def classification_report(predicted: DataFrame, label: str = "category", guess:
     pairs = predicted.groupBy(F.col(label).alias("t"), F.col(guess).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     sides = pairs.select(F.explode(F.array(F.struct(F.col("t").alias("category"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said")), F.struct(F.col("p").alias("category"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said")))).alias("s"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("hit"))
     per = sides.groupBy("s.category").agg(F.sum("s.support").alias("support"), F.sum("s.said").alias("said"), (F.sum("hit") / 2).alias("hit"))
-    p, r = F.col("hit") / F.nullif("said", F.lit(0)), F.col("hit") / F.nullif("support", F.lit(0))
     per = per.withColumn("p", F.coalesce(F.try_divide(F.col("hit"), F.col("said")), F.lit(0.0))).withColumn("r", F.coalesce(F.try_divide(F.col("hit"), F.col("support")), F.lit(0.0)))
     return per.select("category", "support", F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round(F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)), 4).alias("f1"))
 
