@@ -77,7 +77,7 @@ def blocking_keys(docs: DataFrame, ceiling: float = 0.10, key: str = "id") -> Da
 
 def candidates_by_share(internal: DataFrame, external: DataFrame, low: float = 0.05, high: float = 0.95, days: int = 20, nearest: int = 10) -> DataFrame:
     """(internal_id, external_id): external amounts that are a share of the internal one. Rows that share a block with any in the band keep to the
-    block; the others look over the whole band, by amount buckets. The nearest by date are kept (by amount without a date)."""
+    block; the others look over the whole band. The nearest by date are kept (by amount without a date)."""
     i, e = _sides(internal, external)
     i, e = i.where("ia > 0"), e.where("ea > 0")
     keys = blocking_keys(internal.select("id", "description").unionByName(external.select("id", "description")))
@@ -86,9 +86,16 @@ def candidates_by_share(internal: DataFrame, external: DataFrame, low: float = 0
     band = (F.col("ea") >= F.col("ia") * low) & (F.col("ea") <= F.col("ia") * high)
     blocked = ik.join(ek.hint("merge"), "block").where(band).select("internal_id", "external_id", "ia", "ea", "idate", "edate").distinct()
     alone = i.join(blocked.select("internal_id").distinct().hint("merge"), "internal_id", "left_anti")
+    cols = ["internal_id", "external_id", "ia", "ea", "idate", "edate"]
+    # Of dated rows only those within reach can stay, whatever their rank, so the wide band is joined on buckets of days.
+    day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
+    near = alone.where("idate IS NOT NULL").withColumn("bucket", F.explode(F.array(*[day("idate") + k for k in (-1, 0, 1)])))
+    dated = near.join(e.where("edate IS NOT NULL").withColumn("bucket", day("edate")).hint("merge"), "bucket").where(band & _in_days(days)).select(*cols)
+    # Pairs with an undated side, if there are any, by amount buckets; they rank after those within reach.
     first, last = math.floor(math.log(low) / STEP) - 1, 0
     spread = alone.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: _amount_bucket(F.col("ia")) + k)))
-    rest = spread.join(e.withColumn("bucket", _amount_bucket(F.col("ea"))).hint("merge"), "bucket").where(band).select("internal_id", "external_id", "ia", "ea", "idate", "edate")
+    blank = lambda i_, e_: i_.join(e_.withColumn("bucket", _amount_bucket(F.col("ea"))).hint("merge"), "bucket").where(band).select(*cols)
+    rest = dated.unionByName(blank(spread.where("idate IS NULL"), e)).unionByName(blank(spread.where("idate IS NOT NULL"), e.where("edate IS NULL")))
     gap = F.when(F.col("idate").isNotNull(), F.coalesce(F.abs(F.datediff("idate", "edate")).cast("double"), F.lit(float("inf")))).otherwise(F.abs(F.col("ea") - F.col("ia")))
     top = Window.partitionBy("internal_id").orderBy(gap, "external_id")
     return blocked.unionByName(rest).withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
