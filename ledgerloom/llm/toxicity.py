@@ -5,16 +5,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import staged
+
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Words of the stretches whose length-normalised likelihoods are compared.
 WINDOW = 6
 FEATURES = 4
+#: Counts that a task holds before it hands them on: bounded memory, the same sums.
+FLUSH = 100_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -48,10 +53,7 @@ class KneserNey:
         frequent = {w for w, n in into_word.items() if n >= least}
         # Rarer words share a place with those that begin alike, if these are frequent together.
         stems = Counter(stem(v) for _, v in seen if v not in frequent)
-        frequent |= {w for w, n in stems.items() if n >= least}
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted(frequent))}  # 0: unknown
-        n = len(self.vocab) + 1
-        self.n = n
+        self._index(frequent | {w for w, n in stems.items() if n >= least})
         into, keys, counts = [], [], []
         for docs in (ordinary, toxic):
             # Distinct triples of (raw word before, pair), then distinct raw words before.
@@ -61,8 +63,8 @@ class KneserNey:
                 w = ["", "", *d]
                 triples.update(zip(w, ids, ids[1:]))
                 pairs.update(zip(w[1:], ids[1:]))
-            into.append(np.bincount(np.fromiter((v for _, v in pairs), dtype=np.int64, count=len(pairs)), minlength=n).astype(float))
-            key = np.fromiter((u * n + v for _, u, v in triples if u and v), dtype=np.int64)
+            into.append(np.bincount(np.fromiter((v for _, v in pairs), dtype=np.int64, count=len(pairs)), minlength=self.n).astype(float))
+            key = np.fromiter((u * self.n + v for _, u, v in triples if u and v), dtype=np.int64)
             k, c = np.unique(key, return_counts=True)
             keys.append(k)
             counts.append(c)
@@ -73,6 +75,54 @@ class KneserNey:
         for c in (0, 1):
             held = np.isin(keys[c], frequent)
             keys[c], counts[c] = keys[c][held], counts[c][held]
+        self._estimate(into, keys, counts)
+
+    @classmethod
+    def counted(cls, rows: DataFrame, least: int = 5) -> KneserNey:
+        """The same model of (text, y), y = 1 for toxic text, with all counting done by Spark. Words and pairs
+        with fewer than `least` different neighbours stay there; only the others come to the driver."""
+        self = cls.__new__(cls)
+        seen = staged(rows.select("text").mapInPandas(partial(_pairs, least=least), "a string, w string").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")), "toxicity-words")
+        stems = seen.where(F.col("n") < least).groupBy(F.concat(F.substring("w", 1, 5), F.lit("*")).alias("w")).agg(F.sum("n").alias("n"))
+        self._index(set(seen.unionByName(stems).where(F.col("n") >= least).select("w").toPandas()["w"]))
+        index = rows.sparkSession.sparkContext.broadcast(self)
+
+        def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = index.value
+            for pdf in batches:
+                out = set()
+                for t, y in zip(pdf["text"], pdf["y"]):
+                    d, y = tokens(t), int(y)
+                    ids, w = m.ids(d), ["", "", *d]
+                    # A word's key is below zero, a pair's is not.
+                    out.update((y, a, k) for a, k in zip(w[1:], (-1 - ids[1:]).tolist()))
+                    key = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * m.n + ids[1:], -1).tolist()
+                    out.update((y, a, k) for a, k in zip(w, key) if k >= 0)
+                    if len(out) >= FLUSH:
+                        yield pd.DataFrame(list(out), columns=["y", "a", "key"])
+                        out = set()
+                yield pd.DataFrame(list(out), columns=["y", "a", "key"])
+
+        found = rows.select("text", "y").mapInPandas(triples, "y int, a string, key long").distinct()
+        n = [F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)]
+        counts = found.groupBy("key").agg(*n).where((F.col("key") < 0) | (F.col("n0") + F.col("n1") >= least)).orderBy("key").toPandas()
+        words, pairs = counts[counts["key"] < 0], counts[counts["key"] >= 0]
+        into, keys, values = [], [], []
+        for c in ("n0", "n1"):
+            into.append(np.bincount(-1 - words["key"].to_numpy(dtype=np.int64), weights=words[c].to_numpy(), minlength=self.n).astype(float))
+            held = pairs[c].to_numpy() > 0
+            keys.append(pairs["key"].to_numpy(dtype=np.int64)[held])
+            values.append(pairs[c].to_numpy(dtype=np.int64)[held])
+        self._estimate(into, keys, values)
+        return self
+
+    def _index(self, frequent: set[str]) -> None:
+        self.vocab = {w: i + 1 for i, w in enumerate(sorted(frequent))}  # 0: unknown
+        self.n = len(self.vocab) + 1
+
+    def _estimate(self, into: list[np.ndarray], keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        """From the continuation counts of words and, sorted by key, of pairs; ordinary text first."""
+        n = self.n
         shared = into[0] + into[1] + 0.5
         shared /= shared.sum()
         self.keys, self.values, self.back, self.uni = keys, [], [], []
@@ -116,6 +166,25 @@ class KneserNey:
         return np.array([r.mean(), top[-1], (sums[w:] - sums[:-w]).max() / w, top.mean()])
 
 
+def _pairs(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Different pairs of a word before (empty at the start) and a word. Whether a word has `least` words before
+    it, and if not how many, is known from that many of each stretch of texts."""
+    for pdf in batches:
+        out: dict[str, set[str]] = {}
+        n = 0
+        for t in pdf["text"]:
+            d = tokens(t)
+            for a, w in zip(["", *d], d):
+                before = out.setdefault(w, set())
+                if len(before) < least:
+                    before.add(a)
+            n += len(d)
+            if n >= FLUSH:
+                yield pd.DataFrame([(a, w) for w, before in out.items() for a in before], columns=["a", "w"])
+                out, n = {}, 0
+        yield pd.DataFrame([(a, w) for w, before in out.items() for a in before], columns=["a", "w"])
+
+
 class Toxicity:
     def __init__(self, lm: KneserNey, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
         self.lm, self.mean, self.scale, self.weights = lm, mean, scale, weights
@@ -125,25 +194,25 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method with a small ridge, over weighted rows."""
     a = np.c_[np.ones(len(x)), x]
     w = np.zeros(a.shape[1])
     penalty = ridge * np.diag([1e-6, *np.ones(x.shape[1])])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + penalty, a.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def monotone(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic weights of which none is negative: a feature that would count against toxicity is left out."""
     use = list(range(x.shape[1]))
     while True:
-        w = _logistic(x[:, use], y)
+        w = _logistic(x[:, use], y, weight)
         if not use or w[1:].min() >= 0:
             break
         use.pop(int(w[1:].argmin()))
@@ -152,37 +221,41 @@ def monotone(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column | None, max_toxic: int, max_ordinary: int) -> list:
-    """At most so many whole texts of each label, those of least hash of doc_id. One class's rows are
-    thinned by a rate from its count before anything is ordered."""
+def labelled(docs: DataFrame, labels: DataFrame, learn: Column | None, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, list, dict[int, int]]:
+    """(text, y) of the labelled texts to count, the rows held back from them to fit on, and how many texts each label has.
+
+    Held back are the texts of least hash of doc_id: one in two of each label, but no more than about max_toxic and
+    max_ordinary; so every labelled text is either counted or fitted on, and the fit sees only texts that were not counted."""
     y = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    docs = docs.select("doc_id", "text")
     if learn is not None:
-        y = y.where(learn)
-    counts = {r.y: r.n for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        y, docs = y.where(learn), docs.where(learn)
+    counts = {r.y: r.n for r in docs.select("doc_id").join(y, "doc_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     h = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 30))
-    keep = F.lit(False)
+    held = F.lit(False)
     for value, most in ((1, max_toxic), (0, max_ordinary)):
-        rate = min(1.0, most / max(counts.get(value, 0), 1))
-        keep = keep | ((F.col("y") == value) & (h < int(rate * (1 << 30))))
-    chosen = y.where(keep)
+        rate = min(0.5, most / max(counts.get(value, 0), 1))
+        held = held | ((F.col("y") == value) & (h < int(rate * (1 << 30))))
     # Of at most about max_toxic + max_ordinary rows: small enough to send to every task.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").limit(2 * (max_toxic + max_ordinary)).collect()
+    sample = docs.join(F.broadcast(y.where(held)), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").limit(2 * (max_toxic + max_ordinary)).collect()
+    return staged(docs.join(y.where(~held), "doc_id").select("text", "y"), "toxicity-texts"), sample, counts
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_toxic: int = 1500, max_ordinary: int = 2500) -> Toxicity | None:
-    """Fit on at most about max_toxic + max_ordinary labelled rows. One half gives the n-gram counts, the other,
-    unseen by them, the weights of the ratios, with both classes at their share among the labels."""
-    rows = labelled_sample(docs, labels, learn, max_toxic, max_ordinary)
-    half = [[], []]
-    for i, r in enumerate(sorted(rows, key=lambda r: (r.y, len(r.text or ""), r.text or ""))):
-        half[i % 2].append((tokens(r.text), r.y))
-    if not {y for _, y in half[0]} >= {0, 1} or not {y for _, y in half[1]} >= {0, 1}:
+    """The n-gram counts come from all labelled texts but those of a bounded sample (see `labelled`). On these, which the counts
+    have not seen, the weights of the ratios are fitted; a row weighs as many texts of its label as it stands for, so both
+    classes have their share among the labels at every size."""
+    counted, sample, counts = labelled(docs, labels, learn, max_toxic, max_ordinary)
+    y = np.array([r.y for r in sample], dtype=float)
+    if not {0.0, 1.0} <= set(y) or {r.y for r in counted.select("y").distinct().collect()} != {0, 1}:
         return None
-    lm = KneserNey([d for d, y in half[0] if y == 1], [d for d, y in half[0] if y == 0])
-    x = np.array([lm.features(d) for d, _ in half[1]])
-    y = np.array([y for _, y in half[1]], dtype=float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Toxicity(lm, mean, scale, monotone((x - mean) / scale, y))
+    lm = KneserNey.counted(counted)
+    x = np.array([lm.features(tokens(r.text)) for r in sample])
+    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
+    weight /= weight.mean()
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-9
+    return Toxicity(lm, mean, scale, monotone((x - mean) / scale, y, weight))
 
 
 def score(docs: DataFrame, model: Toxicity | None, threshold: float = 0.3) -> DataFrame:
@@ -190,8 +263,8 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = 0.3) -> Da
 
     Null and empty texts get the score of a text without words; where nothing could be learned
     every score is 0. Repeated rows return as often as they come, null ids pass through, other
-    columns are never looked at, an empty table gives an empty result. The model is broadcast; its size is bounded
-    by the training sample.
+    columns are never looked at, an empty table gives an empty result. The model is broadcast; it has the words and
+    pairs with at least five different neighbours among all labelled texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
