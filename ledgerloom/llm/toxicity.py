@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -19,7 +19,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 WINDOW = 6
 FEATURES = 4
 #: Counts that a task holds before it hands them on: bounded memory, the same sums.
-FLUSH = 100_000
+FLUSH = 200_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -87,29 +87,55 @@ class KneserNey:
         self._index(set(seen.unionByName(stems).where(F.col("n") >= least).select("w").toPandas()["w"]))
         index = rows.sparkSession.sparkContext.broadcast(self)
 
-        def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """How often each pair comes: one that comes less than `least` times can't have so many words before it."""
+            m, part, size = index.value, [], 0
+            for pdf in batches:
+                for t in pdf["text"]:
+                    ids = m.ids(tokens(t))
+                    part.append((ids[:-1] * m.n + ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)])
+                    size += len(part[-1])
+                    if size >= 5 * FLUSH:
+                        yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(part), return_counts=True))))
+                        part, size = [], 0
+            if part:
+                yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(part), return_counts=True))))
+
+        def before(keys_of: Callable, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Different words before each key, by class."""
             m = index.value
             for pdf in batches:
                 out = set()
                 for t, y in zip(pdf["text"], pdf["y"]):
                     d, y = tokens(t), int(y)
-                    ids, w = m.ids(d), ["", "", *d]
-                    # A word's key is below zero, a pair's is not.
-                    out.update((y, a, k) for a, k in zip(w[1:], (-1 - ids[1:]).tolist()))
-                    key = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * m.n + ids[1:], -1).tolist()
-                    out.update((y, a, k) for a, k in zip(w, key) if k >= 0)
+                    w, key = keys_of(m, d)
+                    out.update((y, a, k) for a, k in zip(w, key.tolist()) if k >= 0)
                     if len(out) >= FLUSH:
                         yield pd.DataFrame(list(out), columns=["y", "a", "key"])
                         out = set()
                 yield pd.DataFrame(list(out), columns=["y", "a", "key"])
 
-        found = rows.select("text", "y").mapInPandas(triples, "y int, a string, key long").distinct()
-        n = [F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)]
-        counts = found.groupBy("key").agg(*n).where((F.col("key") < 0) | (F.col("n0") + F.col("n1") >= least)).orderBy("key").toPandas()
-        words, pairs = counts[counts["key"] < 0], counts[counts["key"] >= 0]
+        def of_words(m: KneserNey, d: list[str]) -> tuple[list[str], np.ndarray]:
+            return ["", *d], m.ids(d)[1:]
+
+        def of_pairs(m: KneserNey, d: list[str]) -> tuple[list[str], np.ndarray]:
+            ids = m.ids(d)
+            key = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * m.n + ids[1:], -1)
+            at = np.minimum(np.searchsorted(common.value, key), max(len(common.value) - 1, 0))
+            return ["", "", *d], np.where(common.value[at] == key, key, -1) if len(common.value) else np.full(len(key), -1)
+
+        def counts(keys_of: Callable) -> DataFrame:
+            found = rows.select("text", "y").mapInPandas(partial(before, keys_of), "y int, a string, key long").distinct()
+            return found.groupBy("key").agg(*[F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)])
+
+        # One after the other and staged, so that the shuffle files of each are gone before the next.
+        words = staged(counts(of_words), "toxicity-into").toPandas()
+        times = rows.select("text").mapInPandas(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        common = rows.sparkSession.sparkContext.broadcast(np.sort(staged(times.select("key"), "toxicity-common").toPandas()["key"].to_numpy(dtype=np.int64)))
+        pairs = staged(counts(of_pairs).where(F.col("n0") + F.col("n1") >= least), "toxicity-pairs").toPandas().sort_values("key")
         into, keys, values = [], [], []
         for c in ("n0", "n1"):
-            into.append(np.bincount(-1 - words["key"].to_numpy(dtype=np.int64), weights=words[c].to_numpy(), minlength=self.n).astype(float))
+            into.append(np.bincount(words["key"].to_numpy(dtype=np.int64), weights=words[c].to_numpy(), minlength=self.n).astype(float))
             held = pairs[c].to_numpy() > 0
             keys.append(pairs["key"].to_numpy(dtype=np.int64)[held])
             values.append(pairs[c].to_numpy(dtype=np.int64)[held])
