@@ -28,8 +28,10 @@ ALIASES = {
     "source": "source_type",
     "channel": "source_type",
 }
+# The canonical fields, and the fields that may carry a checksum, in the order they are looked at.
 CANONICAL = ["external_id", "source_type", "amount", "currency", "txn_date", "description", "reference_code"]
-CARRIED = ["checksum", "signature", "checksum_algorithm", "hmac", "digest"]
+CHECKSUMS = ["checksum", "signature", "hmac", "digest", "_checksum"]
+CARRIED = [*CHECKSUMS, "checksum_algorithm"]
 #: What counts as white space at the ends of a value.
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
 
@@ -85,16 +87,21 @@ def keep_fields(record: Column) -> Column:
 
 
 def canonical_record(record: Column) -> Column:
-    """Struct of the canonical fields, cleaned; currency falls to USD only where the key is absent."""
+    """Struct of the canonical and the carried fields, cleaned, and `own`, a map of the keys that begin with an underscore;
+    currency falls to USD only where the key is absent."""
     clean = {f: clean_string(record_field(record, f)) for f in CANONICAL}
     clean["currency"] = F.when(~has_field(record, "currency"), F.lit("USD")).otherwise(F.upper(clean["currency"]))
-    return F.struct(*[v.alias(k) for k, v in clean.items()], *[F.try_element_at(record, F.lit(f)).alias(f) for f in CARRIED])
+    own = F.map_filter(record, lambda k, _: k.startswith("_") & ~k.isin(CARRIED))
+    own = F.map_filter(F.transform_values(own, lambda _, v: clean_string(v)), lambda _, v: v.isNotNull())
+    return F.struct(*[v.alias(k) for k, v in clean.items()], *[clean_string(F.try_element_at(record, F.lit(f))).alias(f) for f in CARRIED], own.alias("own"))
 
 
 def canonical_json(r: str) -> Column:
-    """The canonical fields of struct column `r` that have a value, as JSON with sorted keys and no spaces;
-    values are the strings of the record, checksum fields are left out."""
-    return F.to_json(F.struct(*[F.col(f"{r}.{f}").alias(f) for f in sorted(CANONICAL)]))
+    """What the record of struct column `r` holds but for its checksum, as JSON with sorted keys and no spaces: the
+    canonical fields, the algorithm, and the keys that begin with an underscore, where they have a value."""
+    named = F.array(*[F.struct(F.lit(f).alias("key"), F.col(f"{r}.{f}").alias("value")) for f in [*CANONICAL, "checksum_algorithm"]])
+    given = F.filter(F.concat(named, F.map_entries(F.col(f"{r}.own"))), lambda e: e["value"].isNotNull())
+    return F.to_json(F.map_from_entries(F.array_sort(given)))
 
 
 def fingerprint(r: str) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.normalize import clean_string
 from ledgerloom.operators.frames import cut_lineage
 
+# The weights of a pair's components, and the reasons of what is left.
 WEIGHTS = {"description": 0.40, "amount": 0.35, "date": 0.15, "reference": 0.10}
 AMOUNT_TOLERANCE, DATE_DAYS = 0.20, 10
+BELOW, ISOLATED, NONE_NEAR, ONE_SIDED = "below confidence threshold", "isolated outlier - no similar transaction found", "no candidate counterpart", "no counterpart feed in this batch"
 
 
 def amount_proximity(a: Column, b: Column) -> Column:
@@ -111,7 +113,7 @@ def unmatched_reasons(rows: DataFrame, above: DataFrame, near: DataFrame, co: Da
     """What was not confirmed and why, with the nearest miss and the co-settling candidates."""
     claimed = above.select(F.explode(F.array("internal_id", "external_id")).alias("id"))
     left = rows.join(claimed.hint("merge"), "id", "left_anti").join(near.hint("merge"), "id", "left").join(isolated.withColumn("isolated", F.lit(True)), "id", "left").join(co.hint("merge"), "id", "left")
-    reason = F.when(F.col("best_confidence").isNotNull(), "below confidence threshold").when(F.col("isolated"), "isolated outlier").otherwise("no candidate counterpart")
+    reason = F.when(F.col("best_confidence").isNotNull(), BELOW).when(F.col("isolated"), ISOLATED).otherwise(NONE_NEAR)
     return left.select("id", reason.alias("reason"), "best_confidence", "best_counterpart_id", F.when(F.col("best_confidence").isNotNull(), F.col("candidate_ids")).alias("candidate_ids"))
 
 

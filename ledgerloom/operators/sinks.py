@@ -21,8 +21,9 @@ def quarantine_rows(decisions: DataFrame) -> DataFrame:
 
 
 def validation_log_rows(decisions: DataFrame) -> DataFrame:
-    """One row for each decision; passed rows log the last stage."""
-    return decisions.select("fingerprint", "status", F.coalesce("stage", F.lit("checksum")).alias("stage"), "violations")
+    """One row for each decision; passed rows log the last stage, and `copies` where copies were counted."""
+    more = ["copies"] if "copies" in decisions.columns else []
+    return decisions.select("fingerprint", "status", F.coalesce("stage", F.lit("checksum")).alias("stage"), "violations", *more)
 
 
 def quarantine_alerts(quarantined: DataFrame) -> DataFrame:

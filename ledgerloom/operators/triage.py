@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.normalize import clean_string, format_money, jaccard_tokens
 from ledgerloom.operators.score import reference_agreement
 
+# The categories and the features of an exception.
 CATEGORIES = ["PARTIAL_PAYMENT", "SPLIT_SETTLEMENT", "MISSING_REFERENCE_CODE", "TIMING_DIFFERENCE"]
 FEATURES = [
     "amount_ratio",

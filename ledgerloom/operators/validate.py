@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalize import canonical_json, canonical_record, fingerprint
+from ledgerloom.functions.normalize import CHECKSUMS, canonical_json, canonical_record, fingerprint
 
 # The business rules as data.
 RULES = [
@@ -98,8 +98,9 @@ def hmac_sha256(key: str, message: Column) -> Column:
 
 
 def verify_checksum(r: str, secret: str | None = None) -> Column:
-    """Violations: an absent checksum passes, an unknown algorithm or a missing secret fails."""
-    given = F.coalesce(*[F.col(f"{r}.{c}") for c in ("checksum", "signature", "hmac", "digest")])
+    """Violations: an absent or blank checksum passes, an unknown algorithm or a missing secret fails. Spaces around the
+    checksum and its case don't count."""
+    given = F.coalesce(*[F.col(f"{r}.{c}") for c in CHECKSUMS])
     kind = F.lower(F.coalesce(F.col(f"{r}.checksum_algorithm"), F.lit("sha256")))
     body = canonical_json(r)
     want = F.when(kind == "sha256", F.sha2(body, 256)).when(kind == "sha512", F.sha2(body, 512)).when(kind == "md5", F.md5(body))

@@ -190,7 +190,8 @@ def _(s, d):
 @q("verify_checksum_signed", f"WITH {RAW_SQL} SELECT count(*) AS rows, count(*) AS good FROM marked WHERE defect IS NULL")
 def _(s, d):
     r = decisions(s, d).where("defect IS NULL").select("id", "record", "r")
-    signed = r.select("id", F.map_concat("record", F.create_map(F.lit("checksum"), V.hmac_sha256("key", N.canonical_json("r")), F.lit("checksum_algorithm"), F.lit("hmac-sha256"))).alias("record"))
+    named = r.select("id", F.map_concat("record", F.create_map(F.lit("checksum_algorithm"), F.lit("hmac-sha256"))).alias("record")).withColumn("r", N.canonical_record(F.col("record")))
+    signed = named.select("id", F.map_concat("record", F.create_map(F.lit("checksum"), F.concat(F.lit(" "), F.upper(V.hmac_sha256("key", N.canonical_json("r")))))).alias("record"))
     out = V.validate(signed, AS_OF, secret="key")
     return out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "PASSED").alias("good"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECORD = "map<string,string>"
+#: A CSV record: what lies between line ends outside quotes. A quote that nothing closes is a character like any other.
+CSV_RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"|")++'
 
 
 def decode_bytes(c: Column) -> Column:
@@ -34,11 +36,13 @@ def read_json_feed(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_csv_feed(messages: DataFrame, header: list[str], value: str = "value", sep: str = ",") -> DataFrame:
-    """A row for each line but the first of each CSV message, `record` holding its fields by header name, as strings."""
+    """A row for each record but the first of each CSV message, `record` holding its fields by header name, as strings.
+    Records end at line ends outside quotes, so a quoted field may hold some; a quote inside quotes is written twice."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    lines = F.slice(F.split(F.btrim(F.col(value)), r"\r?\n"), 2, 1_000_000)
-    rows = messages.withColumn("_line", F.explode(lines)).where("trim(_line) <> ''")
-    parsed = F.from_csv("_line", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep})
+    lines = F.regexp_extract_all(F.col(value), F.lit(CSV_RECORD), F.lit(0))
+    lines = F.filter(lines, lambda x: F.btrim(x) != "")
+    rows = messages.withColumn("_line", F.explode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))))
+    parsed = F.from_csv("_line", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "escape": '"'})
     rows = rows.withColumn("_row", parsed)
     pairs = F.array(*[F.struct(F.lit(h).alias("key"), F.col(f"_row.{h}").alias("value")) for h in header])
     return rows.withColumn("record", F.map_from_entries(pairs)).drop("_line", "_row")

@@ -20,8 +20,18 @@ def validated_stream(messages: DataFrame, as_of: str) -> DataFrame:
 
 
 def dedupe_by_fingerprint(decisions: DataFrame, time: str = "ingested_at", ttl: str = "1 hour") -> DataFrame:
-    """The first decision of each fingerprint within the time to live, which later copies do not extend."""
-    return decisions.withWatermark(time, ttl).dropDuplicatesWithinWatermark(["fingerprint"])
+    """The first decision of each fingerprint within the time to live, which later copies do not extend. What could not be
+    read as a record is never taken for a copy."""
+    timed = decisions.withWatermark(time, ttl)
+    return timed.where("error IS NULL").dropDuplicatesWithinWatermark(["fingerprint"]).unionByName(timed.where("error IS NOT NULL"))
+
+
+def once_each(decisions: DataFrame) -> DataFrame:
+    """One decision of each fingerprint, with `copies`, the number of records that had it. Each record that could not
+    be read stays, whatever its fingerprint."""
+    kept = decisions.withColumn("_junk", F.when(F.col("error").isNotNull(), F.monotonically_increasing_id()))
+    first = kept.groupBy("fingerprint", "_junk").agg(F.count(F.lit(1)).alias("copies"), F.any_value(F.struct(*decisions.columns)).alias("d"))
+    return first.select("d.*", "copies")
 
 
 def duplicate_count(decisions: DataFrame) -> DataFrame:
@@ -30,11 +40,11 @@ def duplicate_count(decisions: DataFrame) -> DataFrame:
 
 
 def start_validation(messages: DataFrame, root: str, checkpoint: str, as_of: str, every: str = EVERY, once: bool = False) -> StreamingQuery:
-    """Validate and store a stream. Offsets are committed after a batch is stored; a batch that comes again replaces itself."""
+    """Validate and store a stream. Offsets are committed after a batch is stored; a batch that comes again replaces itself.
+    Of the copies of a record in a batch one is stored, and how many there were is counted."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        unique = batch.dropDuplicates(["fingerprint"])
-        write_validated(unique, root, batch_id)
+        write_validated(once_each(batch), root, batch_id)
 
     writer = validated_stream(messages, as_of).writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
