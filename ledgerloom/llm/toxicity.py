@@ -18,6 +18,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Words of the stretches whose length-normalised likelihoods are compared.
 WINDOW = 6
 FEATURES = 4
+#: Characters that words have in common which are alike.
+STEM = 5
 #: Counts that a task holds before it hands them on: bounded memory, the same sums.
 FLUSH = 200_000
 
@@ -34,73 +36,88 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def stem(word: str) -> str:
-    return word[:5] + "*"
+    return word[:STEM] + "*"
+
+
+def evidence(n0, n1, share: float):
+    """The likelihood ratio statistic of n1 of n0 + n1 uses falling to a class that has `share` of all documents. Numpy arrays."""
+    n = n0 + n1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda k, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-300) / (n * q)), 0.0)
+        return 2 * (part(n0, 1 - share) + part(n1, share))
+
+
+def telling(n0: Column, n1: Column, share: float, words: int) -> Column:
+    """Whether a word's documents are dealt over the classes so unevenly that of `words` words about one would be by
+    chance: `evidence` over 2 ln(words)."""
+    n = n0 + n1
+    part = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
+    return 2 * (part(n0, 1 - share) + part(n1, share)) > 2 * float(np.log(max(words, 3)))
 
 
 class KneserNey:
     """Interpolated Kneser-Ney bigram models of toxic and of ordinary text over one vocabulary.
 
-    All counts are continuation counts: of how many different words come before a word or a pair. A
-    text that was copied many times therefore counts once, and so does a line that it repeats.
-    Words with few different neighbours are known by how they begin, or not at all. The lowest order is shared:
+    The vocabulary are the words, of all that the labelled texts have, whose documents are dealt over the two classes more
+    unevenly than chance would; words that tell nothing, but whose like (those that begin alike) do together, share a
+    place. All others are unknown: they count as neighbours, but move no ratio. So what is counted grows with the
+    labelled texts, and what every worker holds only with the expressions that set the classes apart.
+
+    All counts of the models are continuation counts: of how many different words come before a word or a pair. A
+    text that was copied many times therefore counts once, and so does a line that it repeats. The lowest order is shared:
     continuation counts of both classes together. An expression that one class lacks falls back
     on what is common to both, and only what a class has really seen moves the ratio.
     """
 
-    def __init__(self, toxic: list[list[str]], ordinary: list[list[str]], least: int = 5):
-        seen = {p for d in (*toxic, *ordinary) for p in zip(["", *d], d)}
-        into_word = Counter(v for _, v in seen)
-        frequent = {w for w, n in into_word.items() if n >= least}
-        # Rarer words share a place with those that begin alike, if these are frequent together.
-        stems = Counter(stem(v) for _, v in seen if v not in frequent)
-        self._index(frequent | {w for w, n in stems.items() if n >= least})
+    def __init__(self, toxic: list[list[str]], ordinary: list[list[str]], least: int = 5, every: bool = False):
+        """In one process, as the tests hold it against `counted`; `every` takes all words into the vocabulary."""
+        docs = [Counter(w for d in {tuple(d) for d in part} for w in set(d)) for part in (ordinary, toxic)]
+        share = len({tuple(d) for d in toxic}) / max(len({tuple(d) for d in (*toxic, *ordinary)}), 1)
+        words = sorted(docs[0] | docs[1])
+
+        def kept(names: list[str], counts: list[Counter]) -> set[str]:
+            n0, n1 = (np.array([c[w] for w in names], dtype=float) for c in counts)
+            ok = (evidence(n0, n1, share) > 2 * np.log(max(len(words), 3))) & (n0 + n1 >= least)
+            return {w for w, k in zip(names, ok) if k}
+
+        held = set(words) if every else kept(words, docs)
+        rest = [Counter() for _ in docs]
+        for c, part in zip(rest, docs):
+            for w, n in part.items():
+                if w not in held:
+                    c[stem(w)] += n
+        self._index(held | kept(sorted(rest[0] | rest[1]), rest))
         into, keys, counts = [], [], []
-        for docs in (ordinary, toxic):
+        for part in (ordinary, toxic):
             # Distinct triples of (raw word before, pair), then distinct raw words before.
             triples, pairs = set(), set()
-            for d in docs:
+            for d in part:
                 ids = self.ids(d).tolist()
                 w = ["", "", *d]
                 triples.update(zip(w, ids, ids[1:]))
                 pairs.update(zip(w[1:], ids[1:]))
             into.append(np.bincount(np.fromiter((v for _, v in pairs), dtype=np.int64, count=len(pairs)), minlength=self.n).astype(float))
-            key = np.fromiter((u * self.n + v for _, u, v in triples if u and v), dtype=np.int64)
-            k, c = np.unique(key, return_counts=True)
+            k, c = np.unique(np.fromiter((u * self.n + v for _, u, v in triples if u and v), dtype=np.int64), return_counts=True)
             keys.append(k)
             counts.append(c)
-        # Pairs too rare in both classes together to tell them apart are left to the backoff.
-        both, which = np.unique(np.concatenate(keys), return_inverse=True)
-        often = np.bincount(which, weights=np.concatenate(counts), minlength=len(both)) >= least
-        frequent = both[often]
-        for c in (0, 1):
-            held = np.isin(keys[c], frequent)
-            keys[c], counts[c] = keys[c][held], counts[c][held]
         self._estimate(into, keys, counts)
 
     @classmethod
     def counted(cls, rows: DataFrame, least: int = 5) -> KneserNey:
-        """The same model of (text, y), y = 1 for toxic text, with all counting done by Spark. Words and pairs
-        with fewer than `least` different neighbours stay there; only the others come to the driver."""
+        """The same model of (text, y), y = 1 for toxic text, of different texts, with all counting done by Spark."""
         self = cls.__new__(cls)
-        seen = staged(rows.select("text").mapInPandas(partial(_pairs, least=least), "a string, w string").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")), "toxicity-words")
-        stems = seen.where(F.col("n") < least).groupBy(F.concat(F.substring("w", 1, 5), F.lit("*")).alias("w")).agg(F.sum("n").alias("n"))
-        self._index(set(seen.unionByName(stems).where(F.col("n") >= least).select("w").toPandas()["w"]))
+        seen = rows.select("text", "y").mapInPandas(_documents, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        seen = staged(seen, "toxicity-words")
+        # Three figures: how many different words, and texts of each class.
+        words = seen.count()
+        per = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        share = per.get(1, 0) / max(sum(per.values()), 1)
+        ok = telling(F.col("n0"), F.col("n1"), share, words) & (F.col("n0") + F.col("n1") >= least)
+        marked = seen.withColumn("ok", ok)
+        stems = marked.where("NOT ok").groupBy(F.concat(F.substring("w", 1, STEM), F.lit("*")).alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(ok)
+        self._index(set(marked.where("ok").select("w").unionByName(stems.select("w")).toPandas()["w"]))
         index = rows.sparkSession.sparkContext.broadcast(self)
 
-        def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """How often each pair comes: one that comes less than `least` times can't have so many words before it."""
-            m, part, size = index.value, [], 0
-            for pdf in batches:
-                for t in pdf["text"]:
-                    ids = m.ids(tokens(t))
-                    part.append((ids[:-1] * m.n + ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)])
-                    size += len(part[-1])
-                    if size >= 5 * FLUSH:
-                        yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(part), return_counts=True))))
-                        part, size = [], 0
-            if part:
-                yield pd.DataFrame(dict(zip(("key", "n"), np.unique(np.concatenate(part), return_counts=True))))
-
         def before(keys_of: Callable, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """Different words before each key, by class."""
             m = index.value
@@ -120,19 +137,14 @@ class KneserNey:
 
         def of_pairs(m: KneserNey, d: list[str]) -> tuple[list[str], np.ndarray]:
             ids = m.ids(d)
-            key = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * m.n + ids[1:], -1)
-            at = np.minimum(np.searchsorted(common.value, key), max(len(common.value) - 1, 0))
-            return ["", "", *d], np.where(common.value[at] == key, key, -1) if len(common.value) else np.full(len(key), -1)
+            return ["", "", *d], np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * m.n + ids[1:], -1)
 
-        def counts(keys_of: Callable) -> DataFrame:
+        def counts(keys_of: Callable, name: str) -> pd.DataFrame:
             found = rows.select("text", "y").mapInPandas(partial(before, keys_of), "y int, a string, key long").distinct()
-            return found.groupBy("key").agg(*[F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)])
+            return staged(found.groupBy("key").agg(*[F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)]), name).toPandas().sort_values("key")
 
         # One after the other and staged, so that the shuffle files of each are gone before the next.
-        words = staged(counts(of_words), "toxicity-into").toPandas()
-        times = rows.select("text").mapInPandas(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        common = rows.sparkSession.sparkContext.broadcast(np.sort(staged(times.select("key"), "toxicity-common").toPandas()["key"].to_numpy(dtype=np.int64)))
-        pairs = staged(counts(of_pairs).where(F.col("n0") + F.col("n1") >= least), "toxicity-pairs").toPandas().sort_values("key")
+        words, pairs = counts(of_words, "toxicity-into"), counts(of_pairs, "toxicity-pairs")
         into, keys, values = [], [], []
         for c in ("n0", "n1"):
             into.append(np.bincount(words["key"].to_numpy(dtype=np.int64), weights=words[c].to_numpy(), minlength=self.n).astype(float))
@@ -192,23 +204,21 @@ class KneserNey:
         return np.array([r.mean(), top[-1], (sums[w:] - sums[:-w]).max() / w, top.mean()])
 
 
-def _pairs(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Different pairs of a word before (empty at the start) and a word. Whether a word has `least` words before
-    it, and if not how many, is known from that many of each stretch of texts."""
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many texts of each class have a word."""
+    out: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def told() -> pd.DataFrame:
+        words = sorted(out[0].keys() | out[1].keys())
+        return pd.DataFrame({"w": pd.Series(words, dtype=object), "n0": [out[0][w] for w in words], "n1": [out[1][w] for w in words]})
+
     for pdf in batches:
-        out: dict[str, set[str]] = {}
-        n = 0
-        for t in pdf["text"]:
-            d = tokens(t)
-            for a, w in zip(["", *d], d):
-                before = out.setdefault(w, set())
-                if len(before) < least:
-                    before.add(a)
-            n += len(d)
-            if n >= FLUSH:
-                yield pd.DataFrame([(a, w) for w, before in out.items() for a in before], columns=["a", "w"])
-                out, n = {}, 0
-        yield pd.DataFrame([(a, w) for w, before in out.items() for a in before], columns=["a", "w"])
+        for t, y in zip(pdf["text"], pdf["y"]):
+            out[int(y)].update(set(tokens(t)))
+        if len(out[0]) + len(out[1]) >= FLUSH:
+            yield told()
+            out = (Counter(), Counter())
+    yield told()
 
 
 class Toxicity:
@@ -247,36 +257,52 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, learn: Column | None, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, list, dict[int, int]]:
-    """(text, y) of the labelled texts to count, the rows held back from them to fit on, and how many texts each label has.
+def labelled(docs: DataFrame, labels: DataFrame, learn: Column | None, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """(text, y) of the labelled texts to count, the rows held back from them to fit on, and how many texts each label has. Of
+    equal texts one counts; it is toxic if any of them is.
 
-    Held back are the texts of least hash of doc_id: one in two of each label, but no more than about max_toxic and
+    Held back are the texts of least hash: one in two of each label, but no more than about max_toxic and
     max_ordinary; so every labelled text is either counted or fitted on, and the fit sees only texts that were not counted."""
     y = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     docs = docs.select("doc_id", "text")
     if learn is not None:
         y, docs = y.where(learn), docs.where(learn)
-    counts = {r.y: r.n for r in docs.select("doc_id").join(y, "doc_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    h = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 30))
+    h = F.coalesce("text", F.lit(""))
+    # Digests and ids only; the texts are read once, for those that stay.
+    marked = docs.select("doc_id", F.xxhash64(h).alias("h1"), F.xxhash64(h, F.lit(1)).alias("h2")).join(y.hint("merge"), "doc_id")
+    texts = staged(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).where("doc_id IS NOT NULL"), "toxicity-labelled")
+    counts = {r.y: r.n for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = F.lit(False)
     for value, most in ((1, max_toxic), (0, max_ordinary)):
         rate = min(0.5, most / max(counts.get(value, 0), 1))
-        held = held | ((F.col("y") == value) & (h < int(rate * (1 << 30))))
-    # Of at most about max_toxic + max_ordinary rows: small enough to send to every task.
-    sample = docs.join(F.broadcast(y.where(held)), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").limit(2 * (max_toxic + max_ordinary)).collect()
-    return staged(docs.join(y.where(~held), "doc_id").select("text", "y"), "toxicity-texts"), sample, counts
+        held = held | ((F.col("y") == value) & (F.pmod("h1", F.lit(1 << 30)) < int(rate * (1 << 30))))
+    keys = texts.select("doc_id", F.col("h1").alias("_h1"), "y", held.alias("held"))
+    rows = docs.join(keys.hint("merge"), "doc_id").where(F.xxhash64(h) == F.col("_h1"))
+    rows = staged(rows.select("text", "y", "held"), "toxicity-texts")
+    return rows.where("NOT held").select("text", "y"), rows.where("held").select("text", "y"), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_toxic: int = 1500, max_ordinary: int = 2500) -> Toxicity | None:
     """The n-gram counts come from all labelled texts but those of a bounded sample (see `labelled`). On these, which the counts
     have not seen, the weights of the ratios are fitted; a row weighs as many texts of its label as it stands for, so both
-    classes have their share among the labels at every size."""
+    classes have their share among the labels at every size. Of the sample only the features come to the driver."""
     counted, sample, counts = labelled(docs, labels, learn, max_toxic, max_ordinary)
-    y = np.array([r.y for r in sample], dtype=float)
-    if not {0.0, 1.0} <= set(y) or {r.y for r in counted.select("y").distinct().collect()} != {0, 1}:
+    if {r.y for r in counted.select("y").distinct().collect()} != {0, 1}:
         return None
     lm = KneserNey.counted(counted)
-    x = np.array([lm.features(tokens(r.text)) for r in sample])
+    shared = docs.sparkSession.sparkContext.broadcast(lm)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array([shared.value.features(tokens(t)) for t in pdf["text"]]).reshape(-1, FEATURES)
+            yield pd.DataFrame({"y": pdf["y"].astype(float), **{f"x{k}": x[:, k] for k in range(FEATURES)}})
+
+    columns = [f"x{k}" for k in range(FEATURES)]
+    # At most about max_toxic + max_ordinary rows of five figures.
+    fit = sample.mapInPandas(measured, "y double, " + ", ".join(f"{c} double" for c in columns)).toPandas().sort_values(["y", *columns])
+    y, x = fit["y"].to_numpy(), fit[columns].to_numpy()
+    if not {0.0, 1.0} <= set(y):
+        return None
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     weight /= weight.mean()
     mean = np.average(x, axis=0, weights=weight)
@@ -289,8 +315,8 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = 0.3) -> Da
 
     Null and empty texts get the score of a text without words; where nothing could be learned
     every score is 0. Repeated rows return as often as they come, null ids pass through, other
-    columns are never looked at, an empty table gives an empty result. The model is broadcast; it has the words and
-    pairs with at least five different neighbours among all labelled texts.
+    columns are never looked at, an empty table gives an empty result. The model is broadcast; it has the words, and the
+    pairs of them, that set the two classes apart (see KneserNey), not the vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

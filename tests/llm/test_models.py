@@ -85,7 +85,7 @@ def test_toxicity_held_out(spark):
 def test_toxicity_models_are_distributions_and_edges(spark):
     r = np.random.default_rng(2)
     docs = [[f"w{k}" for k in r.integers(0, 12, 40)] for _ in range(30)]
-    lm = KneserNey(docs[:10], docs[10:], least=1)
+    lm = KneserNey(docs[:10], docs[10:], least=1, every=True)
     for c in (0, 1):
         assert lm.uni[c].sum() == pytest.approx(1)
         for u in range(1, lm.n):
