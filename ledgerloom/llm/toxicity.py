@@ -20,6 +20,8 @@ WINDOW = 6
 FEATURES = 4
 #: Characters that words have in common which are alike.
 STEM = 5
+#: A word that tells the classes apart is so many times as common in one.
+TIMES = 3.0
 #: Counts that a task holds before it hands them on: bounded memory, the same sums.
 FLUSH = 200_000
 
@@ -49,10 +51,12 @@ def evidence(n0, n1, share: float):
 
 def telling(n0: Column, n1: Column, share: float, words: int) -> Column:
     """Whether a word's documents are dealt over the classes so unevenly that of `words` words about one would be by
-    chance: `evidence` over 2 ln(words)."""
+    chance: `evidence` over 2 ln(words); and whether it is TIMES as common in one class as in the other, so that a larger
+    corpus does not let in ever slighter differences."""
     n = n0 + n1
+    times = (n1 + 0.5) * (1 - share) / ((n0 + 0.5) * share)
     part = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
-    return 2 * (part(n0, 1 - share) + part(n1, share)) > 2 * float(np.log(max(words, 3)))
+    return (2 * (part(n0, 1 - share) + part(n1, share)) > 2 * float(np.log(max(words, 3)))) & (F.greatest(times, 1 / times) >= TIMES)
 
 
 class KneserNey:
@@ -71,13 +75,14 @@ class KneserNey:
 
     def __init__(self, toxic: list[list[str]], ordinary: list[list[str]], least: int = 5, every: bool = False):
         """In one process, as the tests hold it against `counted`; `every` takes all words into the vocabulary."""
-        docs = [Counter(w for d in {tuple(d) for d in part} for w in set(d)) for part in (ordinary, toxic)]
-        share = len({tuple(d) for d in toxic}) / max(len({tuple(d) for d in (*toxic, *ordinary)}), 1)
+        docs = [Counter(w for d in part for w in set(d)) for part in (ordinary, toxic)]
+        share = len(toxic) / max(len(toxic) + len(ordinary), 1)
         words = sorted(docs[0] | docs[1])
 
         def kept(names: list[str], counts: list[Counter]) -> set[str]:
             n0, n1 = (np.array([c[w] for w in names], dtype=float) for c in counts)
-            ok = (evidence(n0, n1, share) > 2 * np.log(max(len(words), 3))) & (n0 + n1 >= least)
+            times = (n1 + 0.5) * (1 - share) / ((n0 + 0.5) * share)
+            ok = (evidence(n0, n1, share) > 2 * np.log(max(len(words), 3))) & (n0 + n1 >= least) & (np.maximum(times, 1 / times) >= TIMES)
             return {w for w, k in zip(names, ok) if k}
 
         held = set(words) if every else kept(words, docs)
