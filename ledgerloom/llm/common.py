@@ -51,6 +51,14 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that `df` does not have (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII text takes the fast built-in."""
     return F.when(F.char_length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

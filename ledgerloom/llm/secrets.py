@@ -8,13 +8,27 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
-from ledgerloom.llm.pii import _placed
-
-#: Runs of sixteen or more characters that keys are written with, one of them at least a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
-#: A finding is labelled a secret where such a word is assigned to it.
-ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)[\"']?\s*(?:[=:]|=>|:=)\s*[\"']?$"
+from ledgerloom.llm.common import doc_bucket, staged
+from ledgerloom.llm.spans import none, placed
+
+# What the names of secrets have in them.
+NAMES = r"(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+#: A name that has one of these within its first 40 characters, and what assigns a value to it.
+ASSIGNS = rf"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]{{0,40}}?{NAMES})[A-Za-z0-9_.-]++[\"']?\s{{0,3}}+(?:=>|:=|[=:])\s{{0,3}}+"
+#: The word of a header that a credential follows.
+HEADER = r"(?<![A-Za-z0-9_.-])(?i:bearer|basic)\s++"
+#: A key block, a value that is assigned (in quotes or up to white space) or follows a header word, or a run of
+#: sixteen or more characters that keys are written with, one of them at least a digit. `=` only ends a run.
+CANDIDATE = "|".join(
+    [
+        r"-----BEGIN (?:[A-Z]++ ){0,3}?PRIVATE KEY-----[^-]*+-----END (?:[A-Z]++ ){0,3}?PRIVATE KEY-----",
+        HEADER + r"[A-Za-z0-9._~+/-]{8,}+=*+",
+        ASSIGNS + r"""(?:"[^"\s]{6,}+"|'[^'\s]{6,}+'|(?!(?i:bearer|basic)\s)[^\s"',;]{6,}+)""",
+        r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+",
+    ]
+)
+#: What of a candidate stands before its value.
+LEAD = rf"^(?:{HEADER}|{ASSIGNS}[\"']?)"
 FEATURES = [
     "length",
     "transitions",
@@ -26,25 +40,24 @@ FEATURES = [
     "coverage",
     "in_path",
     "slashes",
-    "quoted",
     "word_before",
-    "word_length",
+    "word_after",
     "known_before",
+    "known_after",
 ]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, value, before, after) of every candidate in every whole text."""
+    """(doc_id, start, value, before, after, named) of every candidate in every whole text. The name that a value is assigned
+    to belongs to neither side: before ends in front of it, and `named` says whether there is one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    at = F.when(text.rlike("[A-Za-z0-9_+/=-]{16}"), _placed(text, CANDIDATE)).otherwise(F.array().cast("array<struct<m:string,start:int,gap:string>>"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("found", at).where(F.size("found") > 0)
-    return rows.select("doc_id", "text", F.explode("found").alias("f")).select(
-        "doc_id",
-        F.col("f.start").alias("start"),
-        F.col("f.m").alias("value"),
-        F.col("f.gap").alias("before"),
-        F.substr("text", (F.col("f.start") + F.char_length("f.m") + 1).cast("int"), F.lit(1)).alias("after"),
-    )
+    # A text without a long run and without a name has no candidate.
+    at = F.when(text.rlike("[A-Za-z0-9_+/-]{16}") | text.rlike(NAMES) | text.rlike("(?i:bearer|basic)"), placed(text, CANDIDATE)).otherwise(none())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(at).alias("f"))
+    lead = F.regexp_extract("f.m", LEAD, 0)
+    value = F.substr("f.m", F.char_length(lead) + 1, F.char_length("f.m"))
+    value = F.when(lead.rlike("[\"']$"), F.left(value, F.char_length(value) - 1)).otherwise(value)
+    return rows.select("doc_id", (F.col("f.start") + F.char_length(lead)).alias("start"), value.alias("value"), F.col("f.gap").alias("before"), F.col("f.after").alias("after"), ((lead != "") | F.col("f.m").startswith("-----BEGIN ")).alias("named"))
 
 
 def dictionary(docs: DataFrame, size: int = 1000) -> DataFrame:
@@ -54,37 +67,41 @@ def dictionary(docs: DataFrame, size: int = 1000) -> DataFrame:
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Findings with their features and label. `words` has at most a thousand rows or so."""
+    """Findings with their features and label. `words` has at most a thousand rows or so.
+
+    The label is whether a secret's name or header stands at the value. No feature looks at it: the neighbouring words are
+    those in front of the name and behind the value, and quotes are no feature."""
     v, n = F.col("value"), F.char_length("value")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     # Where letters turn into figures, or small letters into large ones, or back.
     turn = r"(?<=[a-z])(?=[0-9A-Z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[0-9])(?=[A-Za-z])"
     before = F.lower(F.regexp_extract("before", r"(\p{L}+)[^\p{L}]{0,6}$", 1))
-    rows = found.withColumn("fid", F.monotonically_increasing_id()).withColumn("_before", before)
+    after = F.lower(F.regexp_extract("after", r"^[^\p{L}]{0,6}(\p{L}+)", 1))
+    rows = found.withColumn("fid", F.monotonically_increasing_id()).withColumn("_before", before).withColumn("_after", after)
     rows = staged(rows, "secret-findings")
     parts = rows.select("fid", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}+"), F.lit(0))).alias("word"))
     covered = parts.join(F.broadcast(words), "word").groupBy("fid").agg(F.sum(F.char_length("word")).alias("_covered"))
-    known = F.broadcast(words.select(F.col("word").alias("_before"), F.lit(1.0).alias("_known")))
-    out = rows.join(covered.hint("merge"), "fid", "left").join(known, "_before", "left")
+    known = lambda side: F.broadcast(words.select(F.col("word").alias(f"_{side}"), F.lit(1.0).alias(f"_known_{side}")))
+    out = rows.join(covered.hint("merge"), "fid", "left").join(known("before"), "_before", "left").join(known("after"), "_after", "left")
     return out.select(
         "doc_id",
         "start",
         "value",
-        F.col("before").rlike(ASSIGNED).cast("double").alias("label"),
+        F.col("named").cast("double").alias("label"),
         n.cast("double").alias("length"),
         share(turn).alias("transitions"),
         share("[0-9]").alias("digits"),
         share("[A-Z]").alias("upper"),
         share("(?i)[aeiou]").alias("vowels"),
-        (F.size(F.array_distinct(F.split("value", ""))) / n).alias("distinct"),
+        (F.size(F.array_distinct(F.filter(F.split("value", ""), lambda c: c != ""))) / n).alias("distinct"),
         v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hex"),
         (F.coalesce("_covered", F.lit(0)) / n).alias("coverage"),
-        F.col("before").rlike(r"[/\\.]$|://\S*$").cast("double").alias("in_path"),
+        (F.col("before").rlike(r"[/\\.]$|://\S*$") | v.rlike(r"^\.{0,2}/|^\w+://")).cast("double").alias("in_path"),
         share("/").alias("slashes"),
-        (F.col("before").rlike("[\"'`]$") & F.col("after").isin('"', "'", "`")).cast("double").alias("quoted"),
-        (F.col("_before") != "").cast("double").alias("word_before"),
-        F.char_length("_before").cast("double").alias("word_length"),
-        F.coalesce("_known", F.lit(0.0)).alias("known_before"),
+        F.char_length("_before").cast("double").alias("word_before"),
+        F.char_length("_after").cast("double").alias("word_after"),
+        F.coalesce("_known_before", F.lit(0.0)).alias("known_before"),
+        F.coalesce("_known_after", F.lit(0.0)).alias("known_after"),
     )
 
 
@@ -115,20 +132,23 @@ def scored(rows: DataFrame, model: RandomForestClassificationModel | None) -> Da
 
 
 def scan(docs: DataFrame, sure: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, start (code points), n_chars, value_sha256, assigned, score, secret.
+    """One row per candidate: doc_id, start (code points), n_chars, value_sha256, assigned, held_out, score, secret.
 
-    Candidates come from every whole text. The forest learns from findings that the corpus labels itself:
-    those that a word like `token` or `password` is assigned to, against all others. It sees
-    length, character transitions and classes, how much of the string common words cover, paths, quotes
-    and the word before, but not the assignment; so a finding without one can still be a secret, and an
-    assigned one that looks like a word or a path is dropped.
+    Candidates come from every whole text. There are no reviewed findings, so the corpus labels its own: values that stand
+    at a secret's name, after a header word, or in a key block, against all other candidates. The forest learns from those of
+    the documents whose crc32(doc_id as text) mod 5 is not 0; the others are held out. It sees length, character transitions and
+    classes, how much of the string common words cover, paths, and the words around, but not the name; so a finding
+    without one can still be a secret, and a value with one that looks like a word or a path is dropped. A key block is a secret by
+    its form.
 
     Null and empty texts have no rows; long runs are one candidate; repeated rows give repeated
-    findings; null ids pass through; other columns are ignored; an empty table gives an empty
+    findings; null ids pass through and are not held out; other columns are ignored; an empty table gives an empty
     result; where no label or only one is seen the label itself decides.
     """
     rows = features(candidates(docs), staged(dictionary(docs), "secret-words"))
-    rows = staged(rows, "secret-features")
-    return scored(rows, train(rows)).select(
-        "doc_id", "start", F.char_length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), (F.col("label") == 1.0).alias("assigned"), F.col("p").alias("score"), (F.col("p") >= sure).alias("secret")
+    held = F.coalesce(doc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    rows = staged(rows.withColumn("held_out", held), "secret-features")
+    p = F.when(F.col("value").startswith("-----BEGIN "), 1.0).otherwise(F.col("p"))
+    return scored(rows, train(rows.where("NOT held_out"))).select(
+        "doc_id", "start", F.char_length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), (F.col("label") == 1.0).alias("assigned"), "held_out", p.alias("score"), (p >= sure).alias("secret")
     )
