@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import staged
+from ledgerloom.llm.spans import let
 
 #: A paragraph: up to so many words of one line.
 WORDS = 24
-#: Entries (of both sides) that one subtable expects, and the cells of each of its three rows at the first try.
+#: Entries (of two versions together) that one subtable expects, and the cells of each of its three rows at the first try.
 LOAD, ROW = 16, 8
-#: Tries: each has four times the cells of the one before, under other hashes.
+#: A sketch has so many times the subtables that its digests call for.
+SPARE = 2
+#: Tries of one table alone: each has four times the cells of the one before, under other hashes.
 TRIES = 6
 ROUNDS = 12
 #: Rounds of peeling that all tables get at once, before the few that are left over are tried singly.
 FIRST_ROUNDS = 5
-#: Cells in each of the three rows of the table that is written out.
-PRINTED = 4
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once: inside a lambda an expression would be computed each time it is named."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def paragraphs(text: Column) -> Column:
@@ -33,6 +27,20 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.rtrim(p))))
 
 
+def subtables(n: Column) -> Column:
+    """Into how many subtables the sketch of a version with n digests is dealt: the power of two that holds as many again from
+    another version, with room to SPARE, as small tables are often dealt unevenly. A digest lies in the subtable of its low bits, so a sketch folds to any smaller power of two by adding
+    subtables up, and two versions are subtracted at the smaller of their sizes."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), SPARE * 2 * n / LOAD)))).cast("long")
+
+
+def together(n: Column, m: Column) -> Column:
+    """The number of subtables at which sketches of n and m digests are compared first: the smaller of theirs, unless so many
+    digests must differ that they cannot be recovered from it; then what holds all of both."""
+    own, whole = F.least(subtables(n), subtables(m)), subtables((n + m) / 2)
+    return F.when(F.abs(n - m) > own * LOAD, whole).otherwise(own)
+
+
 def _entry(x: Column, c: Column, row: Column, seed: Column) -> Column:
     """A digest with its sign, its check value and its cell in each of the three rows."""
     h = F.xxhash64(x, seed)
@@ -83,7 +91,7 @@ def peeled(cells: Column, row: Column, seed: Column) -> Column:
 
 
 def differing(both: Column) -> Column:
-    """How many digests differ between two versions. `both` has x and c: 1 for one version, -1 for the
+    """How many digests differ between two versions, or -1. `both` has x and c: 1 for one version, -1 for the
     other. Tables are linear, so filling one with both signs is the subtraction of the two. Large sets are
     dealt into subtables by digest; one that fails is tried again with four times the cells."""
 
@@ -97,7 +105,8 @@ def differing(both: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(-1), lambda d, level: F.when(d >= 0, d).otherwise(tried(v, level)))
 
     def total(tables: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), tables - 1), F.lit(0), lambda acc, s: acc + let(F.filter(both, lambda e: F.pmod(F.shiftright(e["x"], 8), tables) == s), of))
+        each = F.transform(F.sequence(F.lit(0), tables - 1), lambda s: let(F.filter(both, lambda e: F.pmod(F.shiftright(e["x"], 8), tables) == s), of))
+        return let(each, lambda ds: F.when(F.exists(ds, lambda d: d < 0), -1).otherwise(F.aggregate(ds, F.lit(0), lambda a, d: a + d)))
 
     return let(F.greatest(F.lit(1), F.ceil(F.size(both) / LOAD)).cast("int"), total)
 
@@ -117,12 +126,13 @@ def _slots(x: Column, tables: Column) -> list[Column]:
 def peel_together(sets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, de, dn): digests recovered between a and e, and between a and n, or -1 where a table could not be emptied.
 
-    `sets` has the arrays a, e, n and lies partitioned on `keys`. All tables of a partition are built and
+    `sets` has the arrays a, e, n and lies partitioned on `keys`. Both sketches of a comparison are filled at the size at
+    which they meet (`together`), one with the other sign, which is their subtraction. All of a partition are
     peeled together as rows: cells are sums by slot; a round makes each cell with one entry name it, lets every name
     count once, and adds it with the other sign to its three cells. Every grouping has the keys in it, so nothing is
     shuffled.
     """
-    side = lambda cmp, c, xs, ys: F.struct(F.lit(cmp).alias("cmp"), F.lit(c).alias("c"), F.greatest(F.lit(1), F.ceil((F.size("a") + F.size(ys)) / LOAD)).cast("long").alias("tables"), F.col(xs).alias("xs"))
+    side = lambda cmp, c, xs, ys: F.struct(F.lit(cmp).alias("cmp"), F.lit(c).alias("c"), together(F.size("a"), F.size(ys)).alias("tables"), F.col(xs).alias("xs"))
     sides = F.explode(F.array(side(0, 1, "a", "e"), side(0, -1, "e", "e"), side(1, 1, "a", "n"), side(1, -1, "n", "n")))
     entries = sets.select(*keys, sides.alias("s")).select(*keys, (F.col("s.tables") * 2 + F.col("s.cmp")).alias("tag"), F.col("s.c").cast("long").alias("c"), F.col("s.tables").alias("tables"), F.explode("s.xs").alias("x"))
     group = [*keys, "tag", "slot"]
@@ -151,10 +161,20 @@ def peel_together(sets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def printed(digests: Column) -> Column:
-    """The table of one version as text: count, digests and checks of each cell."""
-    row = F.lit(PRINTED)
-    entries = F.transform(digests, lambda x: _entry(x, F.lit(1), row, F.lit(0)))
-    return F.array_join(F.transform(let(entries, lambda es: lookup_table(es, row)), lambda c: F.concat_ws(".", F.lower(F.hex(c["c"])), F.lower(F.hex(c["x"])), F.lower(F.hex(c["y"])))), "-")
+    """The sketch of one version as text: the number of subtables, then the cells of each, row by row: count, digests and checks as
+    sixteenth figures, nothing for an empty cell. Its size follows from the version alone."""
+    hexed = lambda c, name: F.lower(F.hex(c[name]))
+    cell = lambda c: F.when(c["c"] == 0, F.lit("")).otherwise(F.concat_ws(".", hexed(c, "c"), hexed(c, "x"), hexed(c, "y")))
+    row = F.lit(ROW)
+
+    def table(es: Column) -> Column:
+        return F.array_join(F.transform(lookup_table(es, row), cell), "-")
+
+    def of(tables: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0).cast("long"), tables - 1), lambda s: let(F.transform(F.filter(digests, lambda x: F.pmod(F.shiftright(x, 8), tables) == s), lambda x: _entry(x, F.lit(1), row, F.lit(0))), table))
+        return F.concat(tables.cast("string"), F.lit(":"), F.array_join(each, "-"))
+
+    return let(subtables(F.size(digests)), of)
 
 
 def _likeness(a: str, b: str, d: str) -> Column:
@@ -185,9 +205,12 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness.
 
     The edited text has the last third replaced by the beginning of the next document (descending
-    doc_id, of equal ids by a hash; after the last the first). Likeness is the share of paragraphs in common, from
-    the number of digests that peeling the subtracted tables recovers; tables that can't be emptied are made
-    larger and tried again.
+    doc_id, of equal ids by a hash; after the last the first). A fingerprint is the sketch of a version's distinct paragraphs, sized by
+    that version alone. Likeness is the share of paragraphs in common: two fingerprints, folded to the smaller size, are
+    subtracted and peeled, and the digests recovered are those that differ. Where so many differ that they cannot
+    be recovered, larger sketches of both versions are made and tried again (`tries_edited`, `tries_next`: 0 where the
+    fingerprints themselves were enough, 1 if a larger sketch was needed, 2 if none could be emptied and the digests were
+    compared one by one).
 
     Null text is empty; texts without a word have an empty table and are fully alike; rows that repeat
     id and text have the same next document; null ids come last; texts of any length are read whole;
@@ -214,9 +237,15 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     following = distinct.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("a").alias("n"))
     trio = distinct.join(following.hint("merge"), ["n1", "n2"])
     peeled_ = staged(peel_together(trio.select("n1", "n2", "a", "e", "n"), ["n1", "n2"]), "peeled")
-    again = lambda d, other: F.when(F.coalesce(d, F.lit(0)) < 0, differing(_signed(F.col("a"), F.col(other)))).otherwise(F.coalesce(d, F.lit(0)))
-    known = trio.join(peeled_.hint("merge"), ["n1", "n2"], "left").withColumn("de", again(F.col("de"), "e")).withColumn("dn", again(F.col("dn"), "n"))
-    likely = known.select("k1", "k2", _likeness("a", "e", "de").alias("near_edited"), _likeness("a", "n", "dn").alias("near_next"))
+    known = trio.join(peeled_.hint("merge"), ["n1", "n2"], "left").withColumns({"de": F.coalesce("de", F.lit(0)), "dn": F.coalesce("dn", F.lit(0))})
+    larger = lambda d, other: F.when(F.col(d) < 0, differing(_signed(F.col("a"), F.col(other))))
+    known = known.withColumns({"le": larger("de", "e"), "ln": larger("dn", "n")})
+    one_by_one = lambda other: F.size(F.array_except("a", other)) + F.size(F.array_except(other, "a"))
+    found = lambda d, again, other: F.when(F.col(d) >= 0, F.col(d)).when(F.col(again) >= 0, F.col(again)).otherwise(one_by_one(other))
+    met = lambda other: together(F.size("a"), F.size(other)) == F.least(subtables(F.size("a")), subtables(F.size(other)))
+    tries = lambda d, again, other: F.when((F.col(d) >= 0) & met(other), 0).when((F.col(d) >= 0) | (F.col(again) >= 0), 1).otherwise(2)
+    known = known.withColumns({"tries_edited": tries("de", "le", "e"), "tries_next": tries("dn", "ln", "n"), "de": found("de", "le", "e"), "dn": found("dn", "ln", "n")})
+    likely = known.select("k1", "k2", _likeness("a", "e", "de").alias("near_edited"), _likeness("a", "n", "dn").alias("near_next"), "tries_edited", "tries_next")
     return sets.join(likely.hint("merge"), ["k1", "k2"]).select(
-        "doc_id", "next_doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next"
+        "doc_id", "next_doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next", "tries_edited", "tries_next"
     )

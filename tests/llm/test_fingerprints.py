@@ -32,6 +32,70 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+M64 = (1 << 64) - 1
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def parse(text):
+    tables, _, rest = text.partition(":")
+    cells = [tuple(signed(int(p, 16)) for p in c.split(".")) if c else (0, 0, 0) for c in rest.split("-")]
+    assert len(cells) == 24 * int(tables)
+    return int(tables), cells
+
+
+def digest(x, seed):
+    """Spark's xxhash64(x, seed): the seed is a second column, of four bytes."""
+    return xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), xxhash.xxh64_intdigest((x & M64).to_bytes(8, "little"), 42))
+
+
+def recovered(a, b):
+    """How many digests two printed sketches differ in: folded, subtracted and peeled, from the strings alone. None if that fails."""
+    (ta, a), (tb, b) = parse(a), parse(b)
+    t = min(ta, tb)
+    out = [[0, 0, 0] for _ in range(24 * t)]
+    for cells, sign in ((a, 1), (b, -1)):
+        for i, (c, x, y) in enumerate(cells):
+            cell = out[i // 24 % t * 24 + i % 24]
+            cell[0] += sign * c
+            cell[1] ^= x & M64
+            cell[2] ^= y & M64
+    n, rows = 0, True
+    while rows:
+        rows = {c[1]: c[0] for c in out if abs(c[0]) == 1 and c[2] == digest(c[1], 17)}
+        for x, c in rows.items():
+            n += 1
+            h = digest(x, 0)
+            for j in range(3):
+                cell = out[(signed(x) >> 8) % t * 24 + 8 * j + (h >> 20 * j & 0xFFFFF) % 8]
+                cell[0] -= c
+                cell[1] ^= x
+                cell[2] ^= digest(x, 17)
+    return None if any(map(any, out)) else n
+
+
+def entries(text):
+    return sum(c for c, _, _ in parse(text)[1]) // 3
+
+
+def test_likeness_is_that_of_the_returned_strings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = compare_with_edits(docs).collect()
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    seen = 0
+    for r in rows:
+        for other, near, tries in ((r.edited_fingerprint, r.near_edited, r.tries_edited), (prints[r.next_doc_id], r.near_next, r.tries_next)):
+            if tries == 0:
+                d = recovered(r.fingerprint, other)
+                n = entries(r.fingerprint) + entries(other)
+                assert d is not None and near == pytest.approx((n - d) / (n + d) if n else 1.0)
+                seen += 1
+    assert seen > 1.25 * len(rows) and sum(r.tries_edited == 0 for r in rows) > 0.9 * len(rows)
+    assert len({r.fingerprint for r in rows}) > 0.7 * len(rows)
+
+
 def test_against_sets(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdé😀") for _ in range(r.randint(1, 5)))
