@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, staged
+from ledgerloom.llm.common import components, staged, unstage
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -353,4 +353,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ban
     pairs = links.join(side("u", "a").hint("merge"), "u").join(side("v", "b").hint("merge"), "v")
     roots = staged(components(pairs.mapInPandas(alike, "u long, v long"), "similar"), "similar-roots")
     named = kinds.join(roots.hint("merge"), kinds.rep == roots.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    return known.select("rid", "d1", "d2").join(staged(named, "similar-named").hint("merge"), ["d1", "d2"]).select("rid", "root")
+    named = staged(named, "similar-named")
+    out = staged(known.select("rid", "d1", "d2").join(named.hint("merge"), ["d1", "d2"]).select("rid", "root"), "similar-groups")
+    # The sets of shingles are the largest of all that was written down; nothing reads them any more.
+    for done in (known, kinds, links, roots, named):
+        unstage(done)
+    return out
