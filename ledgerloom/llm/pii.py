@@ -138,7 +138,8 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     words = F.when(text.rlike("[0-9@]"), placed(text, CANDIDATE)).otherwise(none())
     marked = staged(docs.select(F.monotonically_increasing_id().alias("rid"), carried.alias("doc"), base_found(text).alias("found"), words.alias("words")), "pii-base")
     seen = staged(instances(marked.select("rid", "found", "words")), "pii-seen")
-    best = bootstrap(seen.select("m", "seed", "pattern"))
+    # Staged, so that both sides of the join are shuffled for it and an identifier that comes often can be split.
+    best = staged(bootstrap(seen.select("m", "seed", "pattern")), "pii-best")
     order = F.create_map(*[x for o, k in enumerate(KINDS) for x in (F.lit(k), F.lit(o))])
     new = seen.where("seed IS NULL").select("rid", "m", "start", "end").join(best.hint("merge"), "m")
     added = new.groupBy("rid").agg(F.collect_set(F.struct("start", order["kind"].alias("ord"), "end", "kind")).cast(f"array<{SPAN}>").alias("added"))
