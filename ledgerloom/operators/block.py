@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import normalize_description
+from ledgerloom.operators.frames import cut_lineage
 
 #: Width of the logarithmic amount buckets.
 STEP = math.log(1.26)
@@ -77,28 +78,41 @@ def blocking_keys(docs: DataFrame, ceiling: float = 0.10, key: str = "id") -> Da
 
 def candidates_by_share(internal: DataFrame, external: DataFrame, low: float = 0.05, high: float = 0.95, days: int = 20, nearest: int = 10) -> DataFrame:
     """(internal_id, external_id): external amounts that are a share of the internal one. Rows that share a block with any in the band keep to the
-    block; the others look over the whole band. The nearest by date are kept (by amount without a date)."""
+    block; the others look over the whole band. The nearest by date are kept (by amount without a date).
+
+    Whether a block has any row in the band is read off the least and greatest amount of its amount buckets, so no pair is made
+    for it. Of dated rows only those within reach can stay, whatever their rank, so pairs are joined on buckets of days, in a
+    block or over the band.
+    """
+    if high / low < math.exp(2 * STEP):
+        raise ValueError("the band must be wider than two amount buckets")
     i, e = _sides(internal, external)
     i, e = i.where("ia > 0"), e.where("ea > 0")
     keys = blocking_keys(internal.select("id", "description").unionByName(external.select("id", "description")))
-    ik = i.join(keys.withColumnRenamed("id", "internal_id").hint("merge"), "internal_id")
-    ek = e.join(keys.withColumnRenamed("id", "external_id").hint("merge"), "external_id")
+    ik = cut_lineage(i.join(keys.withColumnRenamed("id", "internal_id").hint("merge"), "internal_id"))
+    ek = cut_lineage(e.join(keys.withColumnRenamed("id", "external_id").hint("merge"), "external_id"))
     band = (F.col("ea") >= F.col("ia") * low) & (F.col("ea") <= F.col("ia") * high)
-    blocked = ik.join(ek.hint("merge"), "block").where(band).select("internal_id", "external_id", "ia", "ea", "idate", "edate").distinct()
-    alone = i.join(blocked.select("internal_id").distinct().hint("merge"), "internal_id", "left_anti")
+    steps = F.sequence(F.lit(math.floor(math.log(low) / STEP) - 1), F.lit(0))
+    spread = lambda rows: rows.withColumn("amounts", F.explode(F.transform(steps, lambda k: _amount_bucket(F.col("ia")) + k)))
+    bounds = ek.groupBy("block", _amount_bucket(F.col("ea")).alias("amounts")).agg(F.min("ea").alias("least"), F.max("ea").alias("most"))
+    some = spread(ik).join(bounds.hint("merge"), ["block", "amounts"]).where((F.col("most") >= F.col("ia") * low) & (F.col("least") <= F.col("ia") * high))
+    some = cut_lineage(some.select("internal_id").distinct())
+    alone = i.join(some.hint("merge"), "internal_id", "left_anti")
     cols = ["internal_id", "external_id", "ia", "ea", "idate", "edate"]
-    # Of dated rows only those within reach can stay, whatever their rank, so the wide band is joined on buckets of days.
     day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
-    near = alone.where("idate IS NOT NULL").withColumn("bucket", F.explode(F.array(*[day("idate") + k for k in (-1, 0, 1)])))
-    dated = near.join(e.where("edate IS NOT NULL").withColumn("bucket", day("edate")).hint("merge"), "bucket").where(band & _in_days(days)).select(*cols)
-    # Pairs with an undated side, if there are any, by amount buckets; they rank after those within reach.
-    first, last = math.floor(math.log(low) / STEP) - 1, 0
-    spread = alone.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: _amount_bucket(F.col("ia")) + k)))
-    blank = lambda i_, e_: i_.join(e_.withColumn("bucket", _amount_bucket(F.col("ea"))).hint("merge"), "bucket").where(band).select(*cols)
-    rest = dated.unionByName(blank(spread.where("idate IS NULL"), e)).unionByName(blank(spread.where("idate IS NOT NULL"), e.where("edate IS NULL")))
+
+    def pairs(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
+        """Dated pairs within reach by buckets of days; those with an undated side, if there are any, by amount buckets, and they
+        rank after those."""
+        near = inner.where("idate IS NOT NULL").withColumn("bucket", F.explode(F.array(*[day("idate") + k for k in (-1, 0, 1)])))
+        dated = near.join(outer.where("edate IS NOT NULL").withColumn("bucket", day("edate")).hint("merge"), [*on, "bucket"]).where(band & _in_days(days))
+        blank = lambda a, b: spread(a).join(b.withColumn("amounts", _amount_bucket(F.col("ea"))).hint("merge"), [*on, "amounts"]).where(band).select(*cols)
+        return dated.select(*cols).unionByName(blank(inner.where("idate IS NULL"), outer)).unionByName(blank(inner.where("idate IS NOT NULL"), outer.where("edate IS NULL")))
+
     gap = F.when(F.col("idate").isNotNull(), F.coalesce(F.abs(F.datediff("idate", "edate")).cast("double"), F.lit(float("inf")))).otherwise(F.abs(F.col("ea") - F.col("ia")))
     top = Window.partitionBy("internal_id").orderBy(gap, "external_id")
-    return blocked.unionByName(rest).withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
+    both = pairs(ik, ek, ["block"]).distinct().unionByName(pairs(alone, e, []))
+    return both.withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
 
 
 def candidates_by_cluster(clusters: DataFrame, internal: DataFrame, external: DataFrame, vi: DataFrame, ve: DataFrame, most: int = 6) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.triage import FEATURES, usable_label
+from ledgerloom.operators.triage import FEATURES, classify_rules, usable_label
 
 LEAST_SAMPLES, TRIGGER = 8, 200
 
@@ -67,12 +67,25 @@ def classify_forest(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("category", F.col("_true")).drop("_true", "label", "vector", "rawPrediction", "prediction", "weight")
 
 
+def classify(model: PipelineModel | None, rows: DataFrame) -> DataFrame:
+    """predicted, its probability and the `engine`: the forest, or the rules where there is none yet."""
+    if model is None:
+        ruled = classify_rules(rows.drop("category"))
+        return ruled.withColumnRenamed("category", "predicted").withColumn("probability", F.col("category_confidence")).drop("category_confidence").withColumn("engine", F.lit("rules"))
+    return classify_forest(model, rows).withColumn("engine", F.lit("random_forest"))
+
+
 def explain_top3(model: PipelineModel) -> list[tuple[str, float]]:
     """The three features that matter most."""
     importance = model.stages[2].featureImportances.toArray()
     return sorted(zip(FEATURES, importance.tolist()), key=lambda x: (-x[1], x[0]))[:3]
 
 
+def rationale(model: PipelineModel) -> Column:
+    """The same with each row's values, as text for the audit trail."""
+    return F.concat_ws(", ", *[F.format_string(f"{name}=%.3g", F.col(name)) for name, _ in explain_top3(model)])
+
+
 def classification_report(predicted: DataFrame, label: str = "category", guess: str = "predicted") -> DataFrame:
     """(category, support, precision, recall, f1) from confusion counts; 0 where there is nothing to divide by."""
     pairs = predicted.groupBy(F.col(label).alias("t"), F.col(guess).alias("p")).agg(F.count(F.lit(1)).alias("n"))

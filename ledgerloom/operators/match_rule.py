@@ -30,8 +30,8 @@ def match_key(side: DataFrame) -> DataFrame:
     return keyed.where(F.col("_ref").isNotNull() & F.col("_amount").isNotNull() & F.col("_date").isNotNull())
 
 
-def rule_match(internal: DataFrame, external: DataFrame, same_currency: bool = False) -> DataFrame:
-    """(internal_id, external_id, confidence, match_type): the k-th internal row of a key pairs with the k-th
+def rule_match(internal: DataFrame, external: DataFrame, same_currency: bool = False, dated: bool = False) -> DataFrame:
+    """(internal_id, external_id, confidence, match_type; matched_on, their date, if `dated`): the k-th internal row of a key pairs with the k-th
     external one, by id; the surplus of either side stays over. Both sides are partitioned on the key
     once, for the numbering, and joined where they lie."""
     key = KEY + (["currency"] if same_currency else [])
@@ -39,7 +39,7 @@ def rule_match(internal: DataFrame, external: DataFrame, same_currency: bool = F
     left = match_key(internal).select(*key, F.col("id").alias("internal_id"), nth.alias("_n"))
     right = match_key(external).select(*key, F.col("id").alias("external_id"), nth.alias("_n"))
     pairs = left.join(right, [*key, "_n"])
-    return pairs.select("internal_id", "external_id", F.lit(1.0).alias("confidence"), F.lit("RULE").alias("match_type"))
+    return pairs.select("internal_id", "external_id", F.lit(1.0).alias("confidence"), F.lit("RULE").alias("match_type"), *([F.col("_date").alias("matched_on")] if dated else []))
 
 
 def residual(side: DataFrame, pairs: DataFrame, column: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.block import all_candidates, candidates_by_amount, candidates_by_cluster, candidates_by_share
 from ledgerloom.operators.frames import cut_lineage
 from ledgerloom.operators.match_rule import residual, rule_match, split_sides
-from ledgerloom.operators.score import assign_one_to_one, best_near_miss, co_settling, nominations, score_pairs, split_by_threshold, unmatched_reasons
-from ledgerloom.operators.text import cluster_texts, pair_similarity, tfidf_fit, tfidf_transform
+from ledgerloom.operators.score import assign_one_to_one, best_near_miss, co_settling, nominations, one_sided, score_pairs, split_by_threshold, unmatched_reasons
+from ledgerloom.operators.text import cluster_texts, flag_outliers, isolated_ids, pair_similarity, tfidf_fit, tfidf_transform
 
 
 @dataclass
@@ -31,15 +31,22 @@ def rule_layer(txns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def reconcile(txns: DataFrame, threshold: float = 0.85, model: DataFrame | None = None, clusters: bool = True) -> Result:
     """Confirmed pairs and what is left with its reason. What the rule layer pairs never reaches the costly part; each
-    step that is read more than once is cut off from what made it."""
+    step that is read more than once is cut off from what made it. Rows alone in their cluster whose texts are like no others
+    are told apart as isolated; where one side has no row at all, that is the reason for all."""
     ruled, internal, external = rule_layer(txns)
+    if not all(side.limit(1).count() for side in split_sides(txns)):
+        none = score_pairs(ruled.select("internal_id", "external_id", F.lit(0.0).alias("similarity")).limit(0), internal, external)
+        return Result(ruled, one_sided(txns), none, none, txns)
     internal, external = cut_lineage(internal), cut_lineage(external)
     rest = internal.unionByName(external)
     model = cut_lineage(tfidf_fit(rest) if model is None else model)
     vi, ve = cut_lineage(tfidf_transform(internal, model)), cut_lineage(tfidf_transform(external, model))
     channels = [candidates_by_amount(internal, external), candidates_by_share(internal, external)]
+    alone = rest.select("id").limit(0)
     if clusters:
-        channels.append(candidates_by_cluster(cluster_texts(rest), internal, external, vi, ve))
+        grouped = cut_lineage(cluster_texts(rest))
+        channels.append(candidates_by_cluster(grouped, internal, external, vi, ve))
+        alone = isolated_ids(grouped, flag_outliers(rest))
     candidates = cut_lineage(all_candidates(*channels))
     scored = cut_lineage(score_pairs(pair_similarity(candidates, vi, ve), internal, external))
     assigned = cut_lineage(assign_one_to_one(scored))
@@ -47,7 +54,6 @@ def reconcile(txns: DataFrame, threshold: float = 0.85, model: DataFrame | None
     near = best_near_miss(below)
     amounts = rest.select("id", "amount")
     co = co_settling(nominations(scored, above), amounts)
-    alone = rest.select("id").limit(0)
     unmatched = unmatched_reasons(rest.select("id"), above, near, co, alone)
     pairs = ruled.unionByName(above.select("internal_id", "external_id", "confidence", "match_type"))
     return Result(pairs, unmatched, scored, assigned, txns)

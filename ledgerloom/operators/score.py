@@ -117,6 +117,12 @@ def unmatched_reasons(rows: DataFrame, above: DataFrame, near: DataFrame, co: Da
     return left.select("id", reason.alias("reason"), "best_confidence", "best_counterpart_id", F.when(F.col("best_confidence").isNotNull(), F.col("candidate_ids")).alias("candidate_ids"))
 
 
+def one_sided(rows: DataFrame) -> DataFrame:
+    """The same of a batch that has one side only: nothing in it can be matched."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return rows.select("id", F.lit(ONE_SIDED).alias("reason"), none("double", "best_confidence"), none("string", "best_counterpart_id"), none("array<string>", "candidate_ids"))
+
+
 def threshold_sweep(assigned: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, confirmed, correct, wrong) over pairs scored once. The thresholds are a short list of the caller's."""
     spark = assigned.sparkSession

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
 from ledgerloom.operators import block, grade, match_rule, reconcile as R, score, sinks, text
+from ledgerloom.operators.frames import work_dir
+from ledgerloom.operators.validate import pair_invariants
 from ledgerloom.plans.fixtures import LEDGER_SQL, QUEUE_SQL, ledger, queue, statement, transactions
 from ledgerloom.sources import tables
 
@@ -110,9 +112,7 @@ def _(s, d):
 
 @q("save_load_model")
 def _(s, d):
-    import tempfile
-
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/tfidf-model"
+    path = work_dir(s, "tfidf-model")
     text.save_model(text.tfidf_fit(transactions(s, d)), path)
     return text.load_model(s, path)
 
@@ -123,25 +123,27 @@ def _(s, d):
     return text.cluster_texts(i.unionByName(e))
 
 
+def rest(s, d):
+    i, e = residuals(s, d)
+    return i.unionByName(e)
+
+
 @q("flag_outliers")
 def _(s, d):
-    i, _ = residuals(s, d)
-    return text.flag_outliers(i)
+    return text.flag_outliers(rest(s, d))
 
 
 @q("isolated_ids")
 def _(s, d):
-    i, _ = residuals(s, d)
-    return text.isolated_ids(text.cluster_texts(i), text.flag_outliers(i))
+    return text.isolated_ids(text.cluster_texts(rest(s, d)), text.flag_outliers(rest(s, d)))
 
 
-@q("similar_texts", f"""WITH {LEDGER_SQL}, {TERMS_SQL}, s AS (SELECT v.* FROM vec v JOIN statement t ON t.id = v.id WHERE b BETWEEN 62 AND 75)
-SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 5) AS cos FROM s x JOIN s y ON x.term = y.term AND x.id < y.id GROUP BY ALL HAVING sum(x.w * y.w) >= 0.6""")
+# All texts: SQL would join every two that share a word, so the tests hold it against brute force.
+@q("similar_texts")
 def _(s, d):
     t = transactions(s, d)
     m = text.tfidf_fit(t)
-    noisy = statement(s, d).where("b BETWEEN 62 AND 75")
-    v = text.tfidf_transform(t, m).join(noisy.select("id"), "id", "left_semi")
+    v = text.tfidf_transform(t, m).join(statement(s, d).select("id"), "id", "left_semi")
     return text.similar_texts(v, m, 0.6).select("a", "b", F.round("cos", 5).alias("cos"))
 
 
@@ -316,6 +318,30 @@ def _(s, d):
     return sinks.run_row(R.reconcile_summary(transactions(s, d), pairs_by_rule(s, d)), THRESHOLD, 0.0)
 
 
+@q("reconcile_unmatched")
+def _(s, d):
+    return R.reconcile(transactions(s, d)).unmatched
+
+
+@q("reconcile_one_sided", f"WITH {LEDGER_SQL} SELECT id, 'no counterpart feed in this batch' AS reason FROM ledger")
+def _(s, d):
+    return R.reconcile(ledger(s, d)).unmatched.select("id", "reason")
+
+
+@q("reconcile_whole_summary")
+def _(s, d):
+    return R.reconcile_summary(transactions(s, d), R.reconcile(transactions(s, d)).pairs)
+
+
+@q("pair_invariants", f"WITH {RULE_SQL}, m AS (SELECT *, row_number() OVER (ORDER BY internal_id) AS _n, CAST(substr(internal_id, 5) AS BIGINT) AS k FROM rule_pairs) SELECT internal_id FROM m WHERE k % 7 IN (1, 3)")
+def _(s, d):
+    # Every seventh match has lost its counterpart, and every seventh unmatched row has one.
+    k = F.substring("internal_id", 5, 20).cast("long") % 7
+    p = pairs_by_rule(s, d).withColumn("status", F.when(k.isin(2, 3), "UNMATCHED").otherwise("MATCHED"))
+    p = p.withColumn("external_id", F.when(~k.isin(1, 2), F.col("external_id"))).withColumn("match_type", F.when(k != 2, F.col("match_type")))
+    return pair_invariants(p).select("internal_id")
+
+
 @q("match_rows", f"WITH {RULE_SQL} SELECT internal_id, external_id, 'RULE' AS match_type, 1.0000::DECIMAL(5,4) AS confidence FROM rule_pairs")
 def _(s, d):
     return sinks.match_rows(pairs_by_rule(s, d))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import grade, match_rule, report as P, validate as V
-from ledgerloom.plans.fixtures import AS_OF, LEDGER_SQL, QUEUE_SQL, RUNS_SQL, VALIDATION_LOG_SQL, ledger, queue, raw_feed, runs, transactions, validation_log
-from ledgerloom.plans.q_match import RULE_SQL, pairs_by_rule
+from ledgerloom.operators.frames import cut_lineage
+from ledgerloom.plans.fixtures import AS_OF, LEDGER_SQL, QUEUE_SQL, RUNS_SQL, VALIDATION_LOG_SQL, ledger, queue, raw_feed, runs, statement, transactions, validation_log
+from ledgerloom.plans.q_match import RULE_SQL
 from ledgerloom.sources import feeds
 
 Q = {}
@@ -23,7 +24,7 @@ def q(name, sql=None):
 
 
 def dated_pairs(s, d):
-    return pairs_by_rule(s, d).join(ledger(s, d).select(F.col("id").alias("internal_id"), F.col("txn_date").alias("matched_on")), "internal_id")
+    return match_rule.rule_match(ledger(s, d), statement(s, d), dated=True)
 
 
 def _d(c, as_of):
@@ -182,9 +183,10 @@ def _(s, d):
 def flagship(s, d):
     """Validated bank feed against the ledger: rule-layer match rate by day."""
     passed = V.validate(feeds.read_json_feed(raw_feed(s, d)), AS_OF).where("status = 'PASSED'")
-    external = passed.select(F.col("external_id").alias("id"), "source_type", F.col("amount").cast("decimal(18,2)").alias("amount"), "currency", "txn_date", "description", "reference_code")
-    internal = ledger(s, d).select(external.columns)
-    pairs = match_rule.rule_match(internal, external).join(internal.select(F.col("id").alias("internal_id"), F.col("txn_date").alias("matched_on")), "internal_id")
+    # Both sides are read by the match and by the series: they are made once.
+    external = cut_lineage(passed.select(F.col("external_id").alias("id"), "source_type", F.col("amount").cast("decimal(18,2)").alias("amount"), "currency", "txn_date", "description", "reference_code"))
+    internal = cut_lineage(ledger(s, d).select(external.columns))
+    pairs = match_rule.rule_match(internal, external, dated=True)
     return P.match_rate_series(internal.unionByName(external), pairs, runs(s, d), FIRST, LAST)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import grade, learn, triage as T
+from ledgerloom.operators.frames import cut_lineage, work_dir
 from ledgerloom.plans.fixtures import AS_OF, LEDGER_SQL, QUEUE_SQL, ledger, queue, statement, transactions
 from ledgerloom.plans.q_match import JACCARD
 
@@ -116,9 +117,9 @@ def _(s, d):
     return T.apply_suggestions(open_queue(s, d), suggested(s, d)).groupBy("state", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("triage", f"WITH {LEDGER_SQL}, {OPEN_SQL} SELECT category, count(*) AS n FROM classed GROUP BY 1")
+@q("triage", f"WITH {LEDGER_SQL}, {OPEN_SQL} SELECT 'EXC-' || id AS id, 'SUGGESTED' AS state, category, CAST(confidence AS DECIMAL(5,4)) AS confidence FROM classed")
 def _(s, d):
-    return suggested(s, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return T.apply_suggestions(open_queue(s, d), suggested(s, d)).select("id", "state", "category", F.col("category_confidence").alias("confidence"))
 
 
 ARCHETYPE = "CASE WHEN b < 76 THEN 'noisy_description' WHEN b < 85 THEN 'timing_difference' WHEN b < 91 THEN 'missing_reference' WHEN b < 97 THEN 'partial_payment' WHEN b < 100 THEN 'split_settlement' ELSE 'decoy' END"
@@ -206,12 +207,51 @@ def _(s, d):
     return learn.classify_forest(model, rows.where("held_out")).select("id", "category", "predicted", F.round("probability", 4).alias("probability"))
 
 
+def forest(s, d):
+    rows = cut_lineage(learn.stratified_split(learn.training_set(settled(s, d))))
+    return rows, learn.train_forest(rows.where("NOT held_out"), trees=20)
+
+
 @q("promotion_guard")
 def _(s, d):
-    rows = learn.stratified_split(learn.training_set(settled(s, d)))
-    model = learn.train_forest(rows.where("NOT held_out"), trees=20)
-    held = learn.classify_forest(model, rows.where("held_out"))
-    return learn.classification_report(held)
+    """The forest against the rules, on the rows held out."""
+    rows, model = forest(s, d)
+    held = rows.where("held_out")
+    new, old = learn.macro_f1(learn.classify_forest(model, held)), learn.macro_f1(held.withColumn("predicted", F.lit("PARTIAL_PAYMENT")))
+    return s.range(1).select(F.lit(new).alias("candidate_f1"), F.lit(old).alias("incumbent_f1"), F.lit(learn.promotion_guard(new, old)).alias("promoted"), F.lit(learn.promotion_guard(old, new)).alias("the_other_way"))
+
+
+@q("classify_forest")
+def _(s, d):
+    rows, model = forest(s, d)
+    return learn.classify(model, rows).select("id", "predicted", F.round("probability", 4).alias("probability"), "engine")
+
+
+@q("classify_without_model", f"WITH {LEDGER_SQL}, {OPEN_SQL} SELECT 'EXC-' || id AS id, category AS predicted, CAST(confidence AS DOUBLE) AS probability, 'rules' AS engine FROM classed")
+def _(s, d):
+    return learn.classify(None, featured(s, d)).select("id", "predicted", "probability", "engine")
+
+
+@q("explain_top3")
+def _(s, d):
+    rows, model = forest(s, d)
+    return rows.select("id", learn.rationale(model).alias("rationale"))
+
+
+@q("model_registry")
+def _(s, d):
+    """Predictions of a model that was saved and loaded again."""
+    rows, model = forest(s, d)
+    root = work_dir(s, "models")
+    learn.save_version(model, root, 1)
+    return learn.classify_forest(learn.load_version(s, root, 1), rows.where("held_out")).select("id", "predicted")
+
+
+@q("retrain_if_ready")
+def _(s, d):
+    ready = cut_lineage(settled(s, d))
+    outcomes = [("enough", learn.retrain_if_ready(ready, trigger=20, trees=20)[0]), ("too few", learn.retrain_if_ready(ready, trigger=10**9)[0]), ("no rows", learn.retrain_if_ready(ready.limit(0), force=True)[0])]
+    return s.createDataFrame(outcomes, "labels string, outcome string")
 
 
 @q("load_labels", f"WITH {QUEUE_SQL} SELECT id, category FROM queue WHERE state IN ('RESOLVED', 'REJECTED') AND category IS NOT NULL ORDER BY resolved_at DESC, id LIMIT 500")

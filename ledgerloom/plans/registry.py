@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import q_audit, q_match, q_report, q_triage, q_validate
+from ledgerloom.plans import q_audit, q_match, q_report, q_stream, q_triage, q_validate
 from ledgerloom.plans.q_report import flagship
 
-MODULES = (q_validate, q_match, q_triage, q_report, q_audit)
+MODULES = (q_validate, q_match, q_triage, q_report, q_audit, q_stream)
 __all__ = ["flagship", "queries", "oracle_sql"]
 
 

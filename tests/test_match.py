@@ -91,3 +91,32 @@ def test_bands_and_invariants(spark):
     assert got and all(a == "i1" for a, _ in got)
     bad = pair_invariants(spark.createDataFrame([("MATCHED", "a", "b", "ML"), ("MATCHED", "a", None, "ML"), ("UNMATCHED", "a", "b", None), ("UNMATCHED", "a", None, None)], "status string, internal_id string, external_id string, match_type string"))
     assert bad.count() == 2
+
+
+def test_reasons_of_outliers_and_of_one_side(spark):
+    from ledgerloom.operators import score
+
+    t = transactions(spark, "/root/testdata/sf0.001").where("k < 300").select(*[f.split()[0] for f in TXN.split(", ")])
+    odd = txns(spark, [("ERP-odd", "erp", 12.34, 5, "zzyzx quixotic ephemera", None), ("BNK-odd", "bank_api", 98765.43, 5, "vermilion gnomon", None)])
+    got = {r.id: r.reason for r in reconcile.reconcile(t.unionByName(odd)).unmatched.collect()}
+    assert got["ERP-odd"] == got["BNK-odd"] == score.ISOLATED and {score.BELOW, score.ISOLATED} <= set(got.values())
+    r = reconcile.reconcile(t.where("source_type = 'erp'"))
+    assert r.pairs.count() == 0 and {x.reason for x in r.unmatched.collect()} == {score.ONE_SIDED} and r.unmatched.count() == t.where("source_type = 'erp'").count()
+
+
+def test_shares_against_brute_force(spark):
+    r = random.Random(9)
+    names = ["acme corp", "globex inc", "initech llc", "umbrella"]
+    side = lambda p, src, n: [(f"{p}{k}", src, round(r.uniform(1, 500), 2), r.randint(1, 28), r.choice(names) + r.choice(["", " alpha", " beta"]), None) for k in range(n)]
+    rows_i, rows_e = side("i", "erp", 60), side("e", "bank_api", 60)
+    got = {(x.internal_id, x.external_id) for x in block.candidates_by_share(txns(spark, rows_i), txns(spark, rows_e), days=6, nearest=3).collect()}
+    keys = {x.id: set() for x in txns(spark, rows_i + rows_e).collect()}
+    for x in block.blocking_keys(txns(spark, rows_i + rows_e)).collect():
+        keys[x.id].add(x.block)
+    want = set()
+    for i in rows_i:
+        band = [e for e in rows_e if i[2] * 0.05 <= e[2] <= i[2] * 0.95]
+        shared = [e for e in band if keys[i[0]] & keys[e[0]]]
+        best = sorted(shared or band, key=lambda e: (abs(i[3] - e[3]), e[0]))[:3]
+        want |= {(i[0], e[0]) for e in best if abs(i[3] - e[3]) <= 6}
+    assert got == want
