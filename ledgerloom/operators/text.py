@@ -98,7 +98,7 @@ def cluster_texts(docs: DataFrame, least: float = 0.6, text: str = "description"
     return normal.join(named, "t", "left").select(F.col("id").alias(key), F.coalesce(F.when(F.col("root").isNotNull(), F.sha2("root", 256)), F.lit("-1")).alias("cluster"))
 
 
-def flag_outliers(docs: DataFrame, neighbours: int = 5, cut: float = 1.5, least: float = 0.3) -> DataFrame:
+def flag_outliers(docs: DataFrame, neighbours: int = 5, cut: float = 1.5, least: float = 0.45) -> DataFrame:
     """(id, outlier): local outlier factor over cosine distance among `neighbours` nearest texts. Texts with no
     neighbour as near as `least` are outliers; fewer than three texts give none. Below that nearness, texts have
     no more in common than words that very many share."""
