@@ -1,5 +1,7 @@
+import bisect
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -62,3 +64,26 @@ def test_best_fit_near_the_bound():
         assert placed == counts
         over_half = sum(c for x, c in counts.items() if x > 1024)
         assert n <= max(over_half, -(-sum(x * c for x, c in counts.items()) // 2048)) * 1.23 + 2
+
+
+def plain_best_fit(lengths: list[int], capacity: int) -> int:
+    """Number of sequences that best fit one by one, from large to small, needs."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
+def test_best_fit_against_one_by_one():
+    r = random.Random(4)
+    cases = [
+        [r.randint(1, 2048) for _ in range(5000)],
+        [r.choice([2048, 1025, 1024, 3]) for _ in range(5000)],
+        [700] * 400,
+        [min(2048, int(r.expovariate(1 / 430)) + 1) for _ in range(8000)],
+    ]
+    for lengths in cases:
+        _, n = best_fit(Counter(lengths), 2048)
+        assert n <= plain_best_fit(lengths, 2048) * 1.02 + 1
