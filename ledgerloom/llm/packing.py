@@ -68,116 +68,96 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(run, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Bulk-synchronous best fit over size classes.
-
-    `counts` has the number of pieces of each length: at most `capacity` entries, however many
-    documents there are. Pieces of one length are interchangeable, so a run (a range of ranks in one
-    length, or of sequences with one gap) stands for all its members and a sweep over runs makes
-    the same matches as one over rows.
-
-    A round sweeps lengths and gaps together from large to small. Gaps met on the way are kept in
-    order, and a length takes the last ones met: the smallest gaps that hold it (its
-    successors). Where several lengths want one gap the larger has the better rank and takes it;
-    a gap takes one piece a round. Then the gaps shrink and the next round begins. When a sweep
-    matches nothing, the largest pieces left open new sequences: those over half the
-    capacity, which can share with no other of their kind, or as many as the rest needs at least.
-
-    Returns runs (length, first rank, n, first sequence, offset) and the number of sequences.
+def sweep(items: DataFrame, salts: int) -> DataFrame:
+    """Match pieces (kind 1) to the smallest gaps (kind 0) that hold them. `items`: (kind, id, size, gap).
+
+    Gaps and pieces stand in one order, from large to small, gaps first where sizes are equal. A piece takes the last gap before
+    it that no piece has taken, its successor; where several want one gap the first in order has it. In a count that
+    a gap raises and a piece lowers, these are the gap that lifts it to a level and the next piece that leaves that level,
+    so after a running sum the matches are neighbours within a level.
+
+    The sum goes by (size, kind, salt): at most two sizes a token of capacity, times the salts that deal out a frequent
+    size; rows add their rank in it. Rows of one size are on levels of their own, so a level has no more rows than there are
+    sizes, however many pieces share one.
+
+    Adds `seq`, the gap that a piece took, and `got`, the size of the piece that a gap took.
+    """
+    items = items.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    runs = items.groupBy("size", "kind", "salt").agg(F.count(F.lit(1)).alias("n"))
+    step = F.when(F.col("kind") == 0, 1).otherwise(-1)
+    # At most two rows a token of capacity, whatever the input; they can be broadcast.
+    classes = runs.groupBy("size", "kind").agg(F.sum("n").alias("n"))
+    upto = F.sum(step * F.col("n")).over(Window.orderBy(F.desc("size"), "kind"))
+    classes = classes.select("size", "kind", (upto - step * F.col("n")).alias("level"))
+    before = F.sum("n").over(Window.partitionBy("size", "kind").orderBy("salt")) - F.col("n")
+    starts = runs.select("size", "kind", "salt", before.alias("before")).join(F.broadcast(classes), ["size", "kind"])
+    row = F.row_number().over(Window.partitionBy("size", "kind", "salt").orderBy("id"))
+    # A gap stands on the level it reaches, a piece on the one it leaves.
+    rank = F.col("before") + F.col("row")
+    level = F.when(F.col("kind") == 0, F.col("level") + rank).otherwise(F.col("level") - rank + 1)
+    placed = items.withColumn("row", row).join(starts.hint("merge"), ["size", "kind", "salt"]).withColumn("level", level)
+    order = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    seq = F.when((F.col("kind") == 1) & (F.lag("kind").over(order) == 0), F.lag("id").over(order))
+    got = F.when((F.col("kind") == 0) & (F.lead("kind").over(order) == 1), F.lead("size").over(order))
+    return placed.select("kind", "id", "size", "gap", seq.alias("seq"), got.alias("got"))
+
+
+def best_fit(pieces: DataFrame, capacity: int, open_share: float = 0.9) -> DataFrame:
+    """Bulk-synchronous best fit of (pid, length): returns (pid, sequence_id, offset).
+
+    Pieces over half the capacity can share with no other of their kind: each opens a sequence, that of its own pid. Empty ones,
+    with negative numbers, are added up to `open_share` of the least number that the tokens need. Then a round is a
+    sweep over all pieces left and all gaps that hold the smallest of them; gaps shrink by what they took. A gap that holds k
+    of the largest pieces left takes part as k equal slots, which hold any piece, so rounds follow the spread of lengths
+    and not the number of pieces in a sequence. After a sweep that placed under a tenth of what was left, as many sequences are
+    opened as the rest needs at least beyond the gaps, after one that placed nothing, beside them. Only counts and sums of what is left go to the driver. Each round is written down, so lineage is one round long.
     """
-    left = {n: [0, c] for n, c in counts.items() if c}  # length: next rank, number
-    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, n)
-    slots: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def open_new(length: int, n: int) -> None:
-        nonlocal opened
-        rank, c = left[length]
-        slots.append((length, rank, n, opened, 0))
-        if length < capacity:
-            gaps.append((capacity - length, opened, n))
-        left[length] = [rank + n, c - n]
-        opened += n
-
-    for length in sorted(left, reverse=True):
-        if 2 * length > capacity:
-            open_new(length, left[length][1])
-    left = {n: x for n, x in left.items() if x[1]}
-    while left:
-        gaps.sort(key=lambda g: (-g[0], g[1]))
-        stack: list[tuple[int, int, int]] = []
-        changed: list[tuple[int, int, int]] = []
-        at, matched = 0, 0
-        for length in sorted(left, reverse=True):
-            while at < len(gaps) and gaps[at][0] >= length:
-                stack.append(gaps[at])
-                at += 1
-            while stack and left[length][1]:
-                gap, seq, n = stack.pop()
-                rank, c = left[length]
-                take = min(n, c)
-                slots.append((length, rank, take, seq, capacity - gap))
-                left[length] = [rank + take, c - take]
-                if gap > length:
-                    changed.append((gap - length, seq, take))
-                if take < n:
-                    stack.append((gap, seq + take, n - take))
-                matched += take
-        gaps = stack + changed + gaps[at:]
-        left = {n: x for n, x in left.items() if x[1]}
-        if not matched:
-            need = -(-sum(n * c for n, (_, c) in left.items()) // capacity)
-            for length in sorted(left, reverse=True):
-                take = min(need, left[length][1])
-                open_new(length, take)
-                need -= take
-                if not need:
-                    break
-            left = {n: x for n, x in left.items() if x[1]}
-        smallest = min(left, default=0)
-        gaps = [g for g in gaps if g[0] >= smallest]
-    return slots, opened
+    spark = pieces.sparkSession
+    pieces = pieces.select("pid", F.col("length").cast("int").alias("size"))
+    alone = 2 * F.col("size") > capacity
+    free = pieces.where(~alone).select(F.lit(1).alias("kind"), F.col("pid").alias("id"), "size")
+    bins = pieces.where(alone & (F.col("size") < capacity)).select(F.col("pid").alias("id"), (capacity - F.col("size")).alias("gap"))
+    taken = [pieces.where(alone).select("pid", F.col("pid").alias("seq"), "size", F.lit(0).alias("round"))]
+    large = pieces.agg(F.count_if(alone).alias("n"), F.sum("size").alias("total")).first()
+    left = F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most")
+    opened, before, salts = 0, None, 1
+    while (now := free.agg(*left).first()).n:
+        need = 0
+        if before is None:
+            need, salts = max(0, int(-(-large.total // capacity) * open_share) - large.n), 8 + now.n // 500_000
+        elif now.n == before:
+            need = -(-now.total // capacity)
+        elif 10 * (before - now.n) < before:
+            room = bins.where(F.col("gap") >= now.least).agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
+            need = max(0, -(-(now.total - room) // capacity))
+        if need:
+            bins = bins.unionByName(spark.range(opened + 1, opened + need + 1).select((-F.col("id")).alias("id"), F.lit(capacity).alias("gap")))
+            opened += need
+        before = now.n
+        slots = F.greatest(F.lit(1), F.floor(F.col("gap") / now.most)).cast("int")
+        gaps = bins.where(F.col("gap") >= now.least).select(F.lit(0).alias("kind"), "id", F.floor(F.col("gap") / slots).cast("int").alias("size"), "gap", F.explode(F.array_repeat(F.lit(0), slots)).alias("slot")).drop("slot")
+        state = staged(sweep(free.withColumn("gap", F.lit(None).cast("int")).unionByName(gaps), salts), "packing-sweep")
+        free = state.where("kind = 1 AND seq IS NULL").select("kind", "id", "size")
+        bins = state.where("kind = 0").groupBy("id", "gap").agg(F.coalesce(F.sum("got"), F.lit(0)).alias("used")).select("id", (F.col("gap") - F.col("used")).cast("int").alias("gap"))
+        taken.append(state.where("kind = 1 AND seq IS NOT NULL").select(F.col("id").alias("pid"), "seq", "size", F.lit(len(taken)).alias("round")))
+    rows = taken[0]
+    for more in taken[1:]:
+        rows = rows.unionByName(more)
+    # No more pieces than its capacity are in a sequence.
+    behind = F.sum("size").over(Window.partitionBy("seq").orderBy("round", F.desc("size"), "pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return rows.select("pid", F.col("seq").alias("sequence_id"), behind.alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pack documents (doc_id, text) into as few sequences of at most `capacity` ids as it can.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. The text is read
-    once; everything after works on five numbers a piece. Ranks within a length are taken in
-    salted groups, so that a length that a third of all pieces has is dealt over many tasks, and a
-    piece finds its run by (length, block of ranks), an equi-join whose keys are of like size.
+    once; the sweeps work on two numbers a piece.
 
     Null or empty text is one end id; texts of any length are cut, never dropped; repeated rows and
     equal ids are packed as rows of their own; an empty table gives an empty result; null ids pass
     through; other columns are ignored.
     """
-    spark = docs.sparkSession
-    pieces = staged(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
-    # Salts and blocks follow the number of pieces.
-    total = pieces.count()
-    salts = max(32, total // 500_000)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    per_salt = staged(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
-    # At most `capacity` rows.
-    counts = {r.length: r.n for r in per_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    slots, _ = best_fit(counts, capacity)
-
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per_salt.select("length", "_salt", before.alias("_before"))
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    block = max(256, total // 32_768)
-    ranked = (
-        salted.withColumn("_row", F.row_number().over(order) - 1)
-        .join(starts.hint("merge"), ["length", "_salt"])
-        .withColumn("_rank", F.col("_row") + F.col("_before"))
-        .withColumn("_block", F.floor(F.col("_rank") / block))
-    )
-    runs = (
-        spark.createDataFrame(pd.DataFrame(slots, columns=["length", "_first", "_len", "_seq", "offset"], dtype="int64"), "length long, _first long, _len long, _seq long, offset long")
-        .withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / block), F.floor((F.col("_first") + F.col("_len") - 1) / block))))
-    )
-    return (
-        ranked.join(runs.hint("merge"), ["length", "_block"])
-        .where("_rank >= _first AND _rank < _first + _len")
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_seq") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
-    )
+    pieces = staged(token_pieces(docs, tokenizer, capacity, end_id).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    placed = best_fit(pieces, capacity)
+    return pieces.join(placed.hint("merge"), "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,14 +1,13 @@
 import bisect
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.packing import best_fit, encode, pack
+from ledgerloom.llm.packing import best_fit, encode, pack, sweep
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -53,17 +52,29 @@ def test_pack_of_nothing_and_of_repeats(spark):
     assert out.sequence_id.nunique() == 13
 
 
-def test_best_fit_near_the_bound():
+def stack_sweep(gaps: list[int], lengths: list[int]) -> list[tuple[int, int]]:
+    """(length, gap) of a sweep, one by one."""
+    out, held, gaps = [], [], sorted(gaps, reverse=True)
+    for n in sorted(lengths, reverse=True):
+        while gaps and gaps[0] >= n:
+            held.append(gaps.pop(0))
+        if held:
+            out.append((n, held.pop()))
+    return out
+
+
+def test_sweep_is_that_of_a_stack(spark):
     r = random.Random(3)
-    for _ in range(30):
-        counts = {r.randint(1, 2048): r.randint(1, 400) for _ in range(r.randint(1, 300))}
-        slots, n = best_fit(counts, 2048)
-        placed = {}
-        for length, _, k, _, _ in slots:
-            placed[length] = placed.get(length, 0) + k
-        assert placed == counts
-        over_half = sum(c for x, c in counts.items() if x > 1024)
-        assert n <= max(over_half, -(-sum(x * c for x, c in counts.items()) // 2048)) * 1.23 + 2
+    for most in (3, 40, 2048):
+        gaps, lengths = [r.randint(1, most) for _ in range(300)], [r.randint(1, most) for _ in range(400)]
+        rows = [(0, i, g, g) for i, g in enumerate(gaps)] + [(1, i, n, None) for i, n in enumerate(lengths)]
+        out = sweep(spark.createDataFrame(rows, "kind int, id long, size int, gap int"), 3).toPandas()
+        assert len(out) == len(rows)
+        took = out[(out.kind == 1) & out.seq.notna()]
+        assert took.seq.is_unique
+        assert sorted((int(n), gaps[int(s)]) for n, s in zip(took["size"], took.seq)) == sorted(stack_sweep(gaps, lengths))
+        got = out[(out.kind == 0) & out.got.notna()]
+        assert {int(i): int(n) for i, n in zip(got.id, got.got)} == {int(s): int(n) for n, s in zip(took["size"], took.seq)}
 
 
 def plain_best_fit(lengths: list[int], capacity: int) -> int:
@@ -76,14 +87,20 @@ def plain_best_fit(lengths: list[int], capacity: int) -> int:
     return len(gaps)
 
 
-def test_best_fit_against_one_by_one():
+def test_best_fit_against_one_by_one(spark):
     r = random.Random(4)
-    cases = [
-        [r.randint(1, 2048) for _ in range(5000)],
-        [r.choice([2048, 1025, 1024, 3]) for _ in range(5000)],
-        [700] * 400,
-        [min(2048, int(r.expovariate(1 / 430)) + 1) for _ in range(8000)],
-    ]
+    cases = [[r.randint(1, 128) for _ in range(500)], [r.choice([128, 65, 64, 3]) for _ in range(500)], [7] * 400, [min(128, int(r.expovariate(1 / 20)) + 1) for _ in range(800)]]
     for lengths in cases:
-        _, n = best_fit(Counter(lengths), 2048)
-        assert n <= plain_best_fit(lengths, 2048) * 1.02 + 1
+        pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+        out = best_fit(pieces, 128).toPandas()
+        assert sorted(out.pid) == list(range(len(lengths)))
+        out["length"] = [lengths[i] for i in out.pid]
+        for _, seq in out.sort_values("offset").groupby("sequence_id"):
+            assert list(seq.offset) == [0, *seq.length.cumsum()[:-1]] and seq.length.sum() <= 128
+        assert out.sequence_id.nunique() <= plain_best_fit(lengths, 128) * 1.02 + 1
+
+
+def test_few_long_and_many_short_pieces(spark):
+    lengths = [64] + [2] * 900
+    out = best_fit(spark.createDataFrame(list(enumerate(lengths)), "pid long, length long"), 128).toPandas()
+    assert len(out) == 901 and out.sequence_id.nunique() <= plain_best_fit(lengths, 128) * 1.02 + 1
