@@ -104,3 +104,13 @@ def test_few_long_and_many_short_pieces(spark):
     lengths = [64] + [2] * 900
     out = best_fit(spark.createDataFrame(list(enumerate(lengths)), "pid long, length long"), 128).toPandas()
     assert len(out) == 901 and out.sequence_id.nunique() <= plain_best_fit(lengths, 128) * 1.02 + 1
+
+
+def test_null_ids_are_packed_too(spark):
+    rows = [(None, "a b c"), (None, None), (7, ""), (7, "x " * 40)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 16).toPandas()
+    hf = Tokenizer.from_file(PATH)
+    assert out.length.sum() == sum(len(hf.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert out.doc_id.isna().sum() == 2 and out.groupby("sequence_id").length.sum().max() <= 16
+    for _, seq in out.sort_values("offset").groupby("sequence_id"):
+        assert list(seq.offset) == [0, *seq.length.cumsum()[:-1]]
