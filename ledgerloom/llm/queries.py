@@ -13,7 +13,10 @@ from ledgerloom.llm.pii import pii_report
 from ledgerloom.llm.secrets import scan
 from ledgerloom.llm.sentencepieces import digest_documents
 from ledgerloom.llm.simhash import simhash_groups
+from ledgerloom.llm.spelling import spelling_variants
 from ledgerloom.llm.substring_dedup import remove_repeats
+from ledgerloom.llm.topk import top_k
+from ledgerloom.llm.whitening import whitened
 
 
 def tokenizer_path(name):
@@ -78,6 +81,66 @@ def op10_fingerprints(spark, sf_dir):
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# Two words are one edit apart where one of them without a letter is the other, or both are the same without the letter at one place.
+OP11_SQL = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents
+), each AS (
+  SELECT doc_id, run, count(*) AS c FROM runs GROUP BY ALL
+), crc_table AS (
+  SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), bytes AS (
+  SELECT doc_id, run, c, list_concat(list_transform(string_split(doc_id || ':', ''), lambda x: unicode(x)::BIGINT), flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))) AS b FROM each
+), hashed AS (
+  SELECT doc_id, run, c, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc_table
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM hashed GROUP BY 1
+), vocabulary AS (
+  SELECT word, n FROM words WHERE length(word) >= 7 AND n >= 2
+), cuts AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM vocabulary)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN vocabulary b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, (-other_n, other)) AS best FROM near GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM vocabulary LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT walk.word, walk.root FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NULL) r ON r.word = f.word
+"""
+
+
+def op12_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op13_whitening(spark, sf_dir):
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
         "op1_pack": op1_pack,
@@ -90,8 +153,11 @@ def queries():
         "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
         "op10_fingerprints": op10_fingerprints,
+        "op11_spelling": op11_spelling,
+        "op12_topk": op12_topk,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op11_spelling": OP11_SQL, "op12_topk": OP12_SQL}
