@@ -178,7 +178,7 @@ def _whiten(dim: int, n: int, total: list[int], mean: np.ndarray, onto: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _whole(b.column(1), dim)
-            if not len(x):
+            if not len(x) or not k:
                 continue
             w = (x - mean) @ onto
             most = max(n * (int(np.abs(x).max()) + 1) * 2, 1)

@@ -54,7 +54,7 @@ def test_top_k_of_nothing_and_of_large_numbers(spark):
 
     asks = F.col("vec_id") % 100 == 0
     assert topk.top_k(frame(spark, []), asks).count() == 0
-    rows = [(i, [1e5 * (i + 1), -3e4, 7.0]) for i in range(0, 50)] + [(100, [2e5, 1e5, 1.0])]
+    rows = [(i, [2e4 * (i + 1), -3e4, 7.0]) for i in range(0, 50)] + [(100, [2e5, 1e5, 1.0])]
     assert sorted((tuple(r) for r in topk.top_k(frame(spark, rows), asks).collect()), key=repr) == brute_top(rows, 10)
 
 
