@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import normalize_description
 from ledgerloom.operators.frames import cut_lineage
+from ledgerloom.operators.nearest import PLACES, nearest
 
 #: Width of the logarithmic amount buckets.
 STEP = math.log(1.26)
@@ -116,15 +117,23 @@ def candidates_by_share(internal: DataFrame, external: DataFrame, low: float = 0
 
 
 def candidates_by_cluster(clusters: DataFrame, internal: DataFrame, external: DataFrame, vi: DataFrame, ve: DataFrame, most: int = 6) -> DataFrame:
-    """(internal_id, external_id): for each internal row the most similar external rows of its cluster."""
-    from ledgerloom.operators.text import pair_similarity
-
-    known = clusters.where("cluster <> '-1'")
-    a = internal.select("id").join(known, "id").select(F.col("id").alias("internal_id"), "cluster")
-    b = external.select("id").join(known, "id").select(F.col("id").alias("external_id"), "cluster")
-    pairs = pair_similarity(a.join(b.hint("merge"), "cluster").select("internal_id", "external_id"), vi, ve)
-    top = Window.partitionBy("internal_id").orderBy(F.desc(F.round("similarity", 9)), "external_id")
-    return pairs.withColumn("r", F.row_number().over(top)).where(F.col("r") <= most).select("internal_id", "external_id")
+    """(internal_id, external_id): for each internal row the most similar external rows of its cluster, of equal ones those with the
+    lesser id. Equal texts of a cluster are compared once, and of external rows with one text no more than `most` can be
+    taken."""
+    known = clusters.where("cluster <> '-1'").select("id", F.col("cluster").alias("g"))
+    side = lambda rows: rows.select("id", normalize_description(F.col("description")).alias("t")).join(known.hint("merge"), "id")
+    a = cut_lineage(side(internal).withColumn("first", F.min("id").over(Window.partitionBy("g", "t"))).select("g", "first", F.col("id").alias("internal_id")))
+    same = Window.partitionBy("g", "t").orderBy("id")
+    b = cut_lineage(side(external).withColumn("r", F.row_number().over(same)).where(F.col("r") <= most).withColumn("first", F.min("id").over(Window.partitionBy("g", "t"))).select("g", "first", F.col("id").alias("external_id")))
+    ids = lambda rows: rows.select("g", F.col("first").alias("id")).distinct()
+    vectors = lambda rows, v: cut_lineage(ids(rows).join(v.hint("merge"), "id").select("g", "id", "term", "w"))
+    # A cluster without rows of one side has no pairs.
+    shared = cut_lineage(a.select("g").distinct().join(b.select("g").distinct().hint("merge"), "g"))
+    a, b = a.join(shared.hint("merge"), "g", "left_semi"), b.join(shared.hint("merge"), "g", "left_semi")
+    near = nearest(vectors(a, vi), vectors(b, ve), most, ids(a), ids(b)).select("g", F.col("a").alias("own"), F.col("b").alias("first"), "cos")
+    top = Window.partitionBy("g", "own").orderBy(F.desc(F.round("cos", PLACES)), "external_id")
+    best = near.join(b.hint("merge"), ["g", "first"]).withColumn("r", F.row_number().over(top)).where(F.col("r") <= most)
+    return a.withColumnRenamed("first", "own").join(best.select("g", "own", "external_id").hint("merge"), ["g", "own"]).select("internal_id", "external_id")
 
 
 def all_candidates(*channels: DataFrame) -> DataFrame:

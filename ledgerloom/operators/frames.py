@@ -26,3 +26,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` from a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read again. In a loop of joins this is better than a checkpoint, which keeps
+    the estimated sizes of the plan that it cuts off: they multiply with every join."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

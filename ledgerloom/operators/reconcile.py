@@ -11,7 +11,7 @@ from ledgerloom.operators.block import all_candidates, candidates_by_amount, can
 from ledgerloom.operators.frames import cut_lineage
 from ledgerloom.operators.match_rule import residual, rule_match, split_sides
 from ledgerloom.operators.score import assign_one_to_one, best_near_miss, co_settling, nominations, one_sided, score_pairs, split_by_threshold, unmatched_reasons
-from ledgerloom.operators.text import cluster_texts, flag_outliers, isolated_ids, pair_similarity, tfidf_fit, tfidf_transform
+from ledgerloom.operators.text import cluster_texts, distinct_texts, flag_outliers, isolated_ids, pair_similarity, similar_texts, tfidf_fit, tfidf_transform
 
 
 @dataclass
@@ -44,9 +44,11 @@ def reconcile(txns: DataFrame, threshold: float = 0.85, model: DataFrame | None
     channels = [candidates_by_amount(internal, external), candidates_by_share(internal, external)]
     alone = rest.select("id").limit(0)
     if clusters:
-        grouped = cut_lineage(cluster_texts(rest))
+        texts = distinct_texts(rest, model)
+        texts = (*texts, cut_lineage(similar_texts(texts[3], model, 0.6)))
+        grouped = cut_lineage(cluster_texts(rest, known=texts))
         channels.append(candidates_by_cluster(grouped, internal, external, vi, ve))
-        alone = isolated_ids(grouped, flag_outliers(rest))
+        alone = isolated_ids(grouped, flag_outliers(rest, known=texts))
     candidates = cut_lineage(all_candidates(*channels))
     scored = cut_lineage(score_pairs(pair_similarity(candidates, vi, ve), internal, external))
     assigned = cut_lineage(assign_one_to_one(scored))

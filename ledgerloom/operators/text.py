@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import normalize_description
-from ledgerloom.operators.frames import cut_lineage
+from ledgerloom.operators.frames import cut_lineage, staged, unstage
+from ledgerloom.operators.nearest import PLACES, nearest
 
 
 def terms(docs: DataFrame, text: str = "description", key: str = "id") -> DataFrame:
@@ -68,52 +69,94 @@ def similar_texts(vectors: DataFrame, model: DataFrame, least: float, key: str =
     return dots.where(F.col("cos") >= least - 1e-9)
 
 
-def smallest_reachable(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) over edges (a, b): every node takes the smallest label around it, and then its label's label,
-    until nothing changes."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("low"))
-        step = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "low").alias("new"))
-        jump = labels.select(F.col("node").alias("at"), F.col("root").alias("far"))
-        new = cut_lineage(step.join(jump, step.new == jump["at"], "left").select("node", F.least("new", F.coalesce("far", "new")).alias("root"), (F.least("new", F.coalesce("far", "new")) != F.col("root")).alias("moved")))
-        labels = new.select("node", "root")
-        if not new.where("moved").limit(1).count():
-            return labels
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+def smallest_reachable(edges: DataFrame) -> DataFrame:
+    """(node, root) over edges (a, b): the connected components, with the smallest node as root.
 
-
-def cluster_texts(docs: DataFrame, least: float = 0.6, text: str = "description", key: str = "id") -> DataFrame:
+    In a round every node's larger neighbours are tied to the smallest node around it, and then its smaller ones, until
+    nothing changes: few rounds even for a long chain. A neighbourhood is gathered nowhere, only its minimum, and the
+    minima are staged, so that a node with very many neighbours can be split among tasks.
+    """
+    e, state = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"), None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
+        large = staged(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        less = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        tied = large.join(less.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        old, e = e, staged(tied.unionByName(less.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unstage(old, low, large, less)
+        new = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if new == state:
+            ends = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            return ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct())
+        state = new
+
+
+def distinct_texts(docs: DataFrame, model: DataFrame | None = None, text: str = "description", key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What clusters and outliers both need: rows (id, t) with their normalised text, the distinct texts (t, n) that are not blank,
+    the model (fitted on all rows, if none is given), and the texts' vectors (id, term, w)."""
+    model = cut_lineage(tfidf_fit(docs, text, key)) if model is None else model
+    rows = docs.select(F.col(key).alias("id"), normalize_description(F.col(text)).alias("t"))
+    kinds = cut_lineage(rows.where("t <> ''").groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    vectors = cut_lineage(tfidf_transform(kinds.select(F.col("t").alias("id"), F.col("t").alias("description")), model))
+    return rows, kinds, model, vectors
+
+
+def cluster_texts(docs: DataFrame, least: float = 0.6, text: str = "description", key: str = "id", known: tuple | None = None) -> DataFrame:
     """(id, cluster): density clusters with two members at least and distance 1 - `least`, which are the connected components of
-    the similarity graph; -1 for rows alone. Equal texts are compared once."""
-    normal = docs.select(F.col(key).alias("id"), normalize_description(F.col(text)).alias("t"))
-    kinds = normal.where("t <> ''").groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    kinds = cut_lineage(kinds)
-    distinct = kinds.select(F.col("t").alias("id"), F.col("t").alias("description"))
-    model = cut_lineage(tfidf_fit(distinct))
-    vectors = cut_lineage(tfidf_transform(distinct, model))
-    roots = smallest_reachable(similar_texts(vectors, model, least))
-    named = kinds.join(roots, kinds.t == roots.node, "left").select("t", F.when(F.col("root").isNotNull(), F.col("root")).when(F.col("n") > 1, F.col("t")).alias("root"))
-    return normal.join(named, "t", "left").select(F.col("id").alias(key), F.coalesce(F.when(F.col("root").isNotNull(), F.sha2("root", 256)), F.lit("-1")).alias("cluster"))
-
-
-def flag_outliers(docs: DataFrame, neighbours: int = 5, cut: float = 1.5, least: float = 0.45) -> DataFrame:
-    """(id, outlier): local outlier factor over cosine distance among `neighbours` nearest texts. Texts with no
-    neighbour as near as `least` are outliers; fewer than three texts give none. Below that nearness, texts have
-    no more in common than words that very many share."""
-    normal = docs.select("id", normalize_description(F.col("description")).alias("description")).where("description <> ''")
-    kinds = cut_lineage(normal.groupBy("description").agg(F.count(F.lit(1)).alias("n")).select(F.col("description").alias("id"), "description", "n"))
-    model = cut_lineage(tfidf_fit(kinds))
-    near = cut_lineage(similar_texts(tfidf_transform(kinds, model), model, least))
-    both = near.select("a", "b", (1 - F.col("cos")).alias("d")).union(near.select("b", "a", (1 - F.col("cos")).alias("d"))).toDF("a", "b", "d")
-    ranked = cut_lineage(both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= neighbours).drop("r"))
-    reach = ranked.groupBy("a").agg(F.max("d").alias("k_distance"))
-    density = ranked.join(reach.select(F.col("a").alias("b"), F.col("k_distance").alias("kb")), "b").groupBy("a").agg((1 / (F.avg(F.greatest("d", "kb")) + 1e-10)).alias("lrd"))
-    density = cut_lineage(density)
-    factor = ranked.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").groupBy("a").agg(F.avg("lb").alias("around")).join(density, "a").select(F.col("a").alias("t"), (F.col("around") / F.col("lrd")).alias("factor"))
-    flagged = kinds.join(factor, kinds.id == factor.t, "left").select(F.col("description").alias("t"), (F.col("factor").isNull() | (F.col("factor") > cut)).alias("outlier"))
-    return normal.join(flagged, normal.description == flagged.t).select("id", "outlier")
+    the similarity graph; -1 for rows alone. Equal texts are compared once. `known` are distinct_texts() and the pairs of
+    similar_texts() over them, where these are there already."""
+    parts = known or distinct_texts(docs, None, text, key)
+    rows, kinds, model, vectors = parts[:4]
+    roots = smallest_reachable(parts[4] if len(parts) > 4 else similar_texts(vectors, model, least))
+    named = kinds.join(roots.hint("merge"), kinds.t == roots.node, "left").select("t", F.when(F.col("root").isNotNull(), F.col("root")).when(F.col("n") > 1, F.col("t")).alias("root"))
+    return rows.join(named.hint("merge"), "t", "left").select(F.col("id").alias(key), F.coalesce(F.when(F.col("root").isNotNull(), F.sha2("root", 256)), F.lit("-1")).alias("cluster"))
+
+
+def neighbours_of_texts(kinds: DataFrame, vectors: DataFrame, near: DataFrame, most: int) -> DataFrame:
+    """(a, b, d, take): for each text those that its `most` nearest rows have (by cosine distance d, then by text), and how many rows of
+    each. Rows of the same text are at 0 from one another.
+
+    `near` has all pairs (a, b, cos) of some nearness. Texts with enough rows among these are done; the others look on,
+    however far.
+    """
+    own = kinds.where("n > 1").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(0.0).alias("d"), (F.col("n") - 1).alias("rows"))
+    both = near.select("a", "b", "cos").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    close = cut_lineage(both.join(kinds.select(F.col("t").alias("b"), F.col("n").alias("rows")).hint("merge"), "b").select("a", "b", (1 - F.col("cos")).alias("d"), "rows").unionByName(own))
+    enough = close.groupBy("a").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= most).select("a")
+    short = cut_lineage(kinds.join(enough.withColumnRenamed("a", "t").hint("merge"), "t", "left_anti").select(F.lit(0).alias("g"), F.col("t").alias("id")))
+    every = vectors.select(F.lit(0).alias("g"), "id", "term", "w")
+    far = nearest(every.join(short.select("id").hint("merge"), "id", "left_semi").select("g", "id", "term", "w"), every, most, short, kinds.select(F.lit(0).alias("g"), F.col("t").alias("id")))
+    far = far.join(kinds.select(F.col("t").alias("b"), F.col("n").alias("rows")).hint("merge"), "b").select("a", "b", (1 - F.col("cos")).alias("d"), "rows")
+    far = far.unionByName(own.join(short.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi"))
+    order = Window.partitionBy("a").orderBy(F.round("d", PLACES), "b")
+    first = close.join(enough.hint("merge"), "a", "left_semi").unionByName(far).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("take", F.least("rows", F.lit(most) - before)).where("take > 0").select("a", "b", F.greatest("d", F.lit(0.0)).alias("d"), "take")
+
+
+def outlier_factors(docs: DataFrame, neighbours: int = 5, known: tuple | None = None) -> DataFrame:
+    """(id, factor): the local outlier factor of each row that has text, over the cosine distance of its `neighbours` nearest rows, however
+    far they are (fewer, if there are no more rows). Equal texts are compared once and count as the rows they are. Fewer
+    than three rows have no neighbourhood to be isolated from: their factor is 1. `known` as in cluster_texts()."""
+    parts = known or distinct_texts(docs)
+    rows, kinds, model, vectors = parts[:4]
+    n = kinds.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if n < 3:
+        return rows.where("t <> ''").select("id", F.lit(1.0).alias("factor"))
+    near = parts[4] if len(parts) > 4 else cut_lineage(similar_texts(vectors, model, 0.6))
+    ranked = cut_lineage(neighbours_of_texts(kinds, vectors, near, min(neighbours, n - 1)))
+    mean = lambda c: F.sum(c * F.col("take")) / F.sum("take")
+    reach = ranked.groupBy(F.col("a").alias("b")).agg(F.max("d").alias("kb"))
+    density = cut_lineage(ranked.join(reach.hint("merge"), "b").groupBy("a").agg((1 / (mean(F.greatest("d", "kb")) + 1e-10)).alias("lrd")))
+    around = ranked.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")).hint("merge"), "b").groupBy("a").agg(mean(F.col("lb")).alias("around"))
+    factor = around.join(density.hint("merge"), "a").select(F.col("a").alias("t"), (F.col("around") / F.col("lrd")).alias("factor"))
+    return rows.join(factor.hint("merge"), "t").select("id", "factor")
+
+
+def flag_outliers(docs: DataFrame, neighbours: int = 5, cut: float = 1.5, known: tuple | None = None) -> DataFrame:
+    """(id, outlier): rows whose text is much farther from its neighbours than these are from theirs. Blank texts are left out."""
+    return outlier_factors(docs, neighbours, known).select("id", (F.col("factor") > cut).alias("outlier"))
 
 
 def isolated_ids(clusters: DataFrame, outliers: DataFrame) -> DataFrame:
