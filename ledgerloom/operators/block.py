@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import normalize_description
-from ledgerloom.operators.frames import cut_lineage
-from ledgerloom.operators.nearest import PLACES, nearest
+from ledgerloom.operators.frames import cut_lineage, staged, unstage
+from ledgerloom.operators.nearest import PLACES, nearest as most_similar
+from ledgerloom.operators.ranks import running_sum
 
 #: Width of the logarithmic amount buckets.
 STEP = math.log(1.26)
@@ -30,41 +31,29 @@ def _in_days(days: int) -> Column:
     return F.coalesce(F.abs(F.datediff("idate", "edate")) <= days, F.lit(True))
 
 
-def _places(i: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with `place`: an external row's rank by (amount, id), and for an internal one the number of external rows
-    up to its amount. Ranks run within fine amount buckets, whose counts (one row for each bucket, bounded by the
-    range of amounts) are added up before them."""
-    fine = lambda a: (F.floor(F.log(F.abs(a)) / (STEP / 256)) * F.signum(a)).cast("long") + F.when(a > 0, F.lit(1 << 32)).otherwise(F.lit(-(1 << 32)))
-    both = i.select(F.lit(0).alias("side"), F.col("internal_id").alias("id"), F.col("ia").alias("a"), F.col("idate").alias("day")).unionByName(e.select(F.lit(1).alias("side"), F.col("external_id").alias("id"), F.col("ea").alias("a"), F.col("edate").alias("day")))
-    both = both.withColumn("fine", fine(F.col("a")))
-    counts = both.groupBy("fine").agg(F.sum("side").alias("n"))
-    before = counts.select("fine", (F.sum("n").over(Window.orderBy("fine")) - F.col("n")).alias("before"))
-    within = Window.partitionBy("fine").orderBy("a", F.desc("side"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("within", F.sum("side").over(within)).join(before, "fine").withColumn("place", F.col("before") + F.col("within"))
-    return (
-        placed.where("side = 0").select(F.col("id").alias("internal_id"), F.col("a").alias("ia"), F.col("day").alias("idate"), "place"),
-        placed.where("side = 1").select(F.col("id").alias("external_id"), F.col("a").alias("ea"), F.col("day").alias("edate"), "place"),
-    )
-
-
 def candidates_by_amount(internal: DataFrame, external: DataFrame, tolerance: float = 0.20, days: int = 20, nearest: int = 10) -> DataFrame:
     """(internal_id, external_id): the external rows nearest in amount within the band around the internal
     amount (of equal gaps the lesser id), then of these those near in date.
 
     Only the rows next to an amount in the order of amounts can be among the nearest, so the join is on blocks of
-    that order: an internal row meets its own block and those beside it, however many rows the band holds. Of external rows of
-    one amount no more than `nearest` can ever be taken.
+    that order: an internal amount meets its own block and those beside it, however many rows the band holds. Each internal amount is
+    looked up once, whatever number of rows has it; of external rows of one amount no more than `nearest` can ever be taken.
     """
     i, e = _sides(internal, external)
     i, e = i.where("ia IS NOT NULL AND ia <> 0"), e.where("ea IS NOT NULL AND ea <> 0")
     e = e.withColumn("same", F.row_number().over(Window.partitionBy("ea").orderBy("external_id"))).where(F.col("same") <= nearest).drop("same")
-    i, e = _places(i, e)
+    amounts = i.select("ia").distinct().select(F.lit(0).alias("side"), F.lit("").alias("id"), F.col("ia").alias("a"), F.lit(None).cast("date").alias("day"))
+    both = amounts.unionByName(e.select(F.lit(1).alias("side"), F.col("external_id").alias("id"), F.col("ea").alias("a"), F.col("edate").alias("day")))
+    # An external row's place is its rank by (amount, id), an internal amount's the number of external rows up to it.
+    placed = running_sum(both, [], [F.col("a"), F.desc("side"), F.col("id")], F.col("side"), "place")
     size = max(64, 2 * nearest)
-    i = i.withColumn("block", F.explode(F.array(*[F.floor(F.col("place") / size) + k for k in (-1, 0, 1)])))
+    own = placed.where("side = 0").select(F.col("a").alias("ia"), F.explode(F.array(*[F.floor(F.col("place") / size) + k for k in (-1, 0, 1)])).alias("block"))
+    other = placed.where("side = 1").select(F.col("id").alias("external_id"), F.col("a").alias("ea"), F.col("day").alias("edate"), F.floor(F.col("place") / size).alias("block"))
     window = F.abs("ia") * tolerance
-    band = i.drop("place").join(e.withColumn("block", F.floor(F.col("place") / size)).drop("place").hint("merge"), "block").where((F.col("ea") >= F.col("ia") - window) & (F.col("ea") <= F.col("ia") + window))
-    top = Window.partitionBy("internal_id").orderBy(F.abs(F.col("ea") - F.col("ia")), "external_id")
-    return band.withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
+    band = own.join(other.hint("merge"), "block").where((F.col("ea") >= F.col("ia") - window) & (F.col("ea") <= F.col("ia") + window))
+    top = Window.partitionBy("ia").orderBy(F.abs(F.col("ea") - F.col("ia")), "external_id")
+    best = staged(band.withColumn("r", F.row_number().over(top)).where(F.col("r") <= nearest).select("ia", "external_id", "edate"), "by-amount")
+    return i.join(best.hint("merge"), "ia").where(_in_days(days)).select("internal_id", "external_id")
 
 
 def blocking_keys(docs: DataFrame, ceiling: float = 0.10, key: str = "id") -> DataFrame:
@@ -77,43 +66,101 @@ def blocking_keys(docs: DataFrame, ceiling: float = 0.10, key: str = "id") -> Da
     return rows.join(often.hint("merge"), "block", "left_semi").select(key, "block")
 
 
+def _cells(low: str, high: str, levels: int) -> str:
+    """SQL of an array of (level, x): cells of 2^level fine buckets each that make up the buckets from `low` up to, but without, `high`; the
+    larger a cell the better, so there are few, at most two of a size."""
+    parts = []
+    for k in range(levels):
+        lo, hi, up_lo, up_hi = f"-shiftright(-({low}), {k})", f"shiftright({high}, {k})", f"-shiftright(-({low}), {k + 1})", f"shiftright({high}, {k + 1})"
+        whole = f"sequence({lo}, {hi} - 1)"
+        beside = f"filter(array(IF({lo} < 2 * {up_lo}, {lo}, NULL), IF({hi} > 2 * {up_hi}, {hi} - 1, NULL)), x -> x IS NOT NULL)"
+        some = f"IF({up_lo} < {up_hi}, {beside}, {whole})" if k + 1 < levels else whole
+        parts.append(f"transform(IF({lo} < {hi}, {some}, CAST(array() AS ARRAY<BIGINT>)), x -> struct({k} AS level, x AS x))")
+    return f"flatten(array({', '.join(parts)}))"
+
+
+def nearest_days(i: DataFrame, e: DataFrame, low: float, high: float, days: int, nearest: int, light: int = 64) -> DataFrame:
+    """(internal_id, external_id, gap): for each internal row the `nearest` rows by days (then by id) that share a block with it and whose
+    amount is a share from `low` to `high` of its own, up to `days` days away.
+
+    i has (block, internal_id, ia, day), e (block, external_id, ea, day), days as numbers. Days are taken in rings outwards, and
+    a row leaves once it has enough. On a day where a block has more than `light` rows, a band of amounts is made up of cells, of
+    which only the first `nearest` ids each can count; rows are compared one by one only in the two fine buckets at the band's ends.
+    """
+    step = STEP / 16
+    levels = max(1, math.ceil(math.log2(max(2.0, math.log(high / low) / step))))
+    fine = lambda c: F.floor(F.log(c) / step)
+    band = (F.col("ea") >= F.col("ia") * low) & (F.col("ea") <= F.col("ia") * high)
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("external_id"))
+    # Rows of one block, day and amount differ in their ids alone.
+    e = staged(e.withColumn("r", first("block", "day", "ea")).where(F.col("r") <= nearest).drop("r"), "receipts")
+    seen = staged(e.groupBy("block", "day").agg(F.count(F.lit(1)).alias("n"), F.min("ea").alias("least"), F.max("ea").alias("most")), "days")
+    crowd = staged(e.join(seen.where(F.col("n") > light).select("block", "day").hint("merge"), ["block", "day"], "left_semi").withColumn("f", fine(F.col("ea"))), "crowded")
+    cells = crowd.withColumn("c", F.explode(F.expr(f"transform(sequence(0, {levels - 1}), k -> struct(k AS level, shiftright(f, k) AS x))"))).select("block", "day", "external_id", "c.level", "c.x")
+    cells = staged(cells.withColumn("r", first("block", "day", "level", "x")).where(F.col("r") <= nearest).drop("r"), "cells")
+    rings, reach = [[0]], 1
+    while reach <= days:
+        rings.append([s * k for k in range(reach, min(days, 2 * reach - 1) + 1) for s in (-1, 1)])
+        reach *= 2
+    left, parts = staged(i, "left"), []
+    for ring in rings:
+        at = left.withColumn("off", F.explode(F.array(*map(F.lit, ring)))).withColumn("day", F.col("day") + F.col("off"))
+        at = at.join(seen.hint("merge"), ["block", "day"]).where((F.col("most") >= F.col("ia") * low) & (F.col("least") <= F.col("ia") * high))
+        at = at.select("block", "day", "internal_id", "ia", F.abs("off").alias("gap"), "n")
+        some = at.where(F.col("n") <= light).join(e.hint("merge"), ["block", "day"]).where(band)
+        many = at.where(F.col("n") > light).withColumn("f0", fine(F.col("ia") * low)).withColumn("f1", fine(F.col("ia") * high))
+        inner = many.withColumn("c", F.explode(F.expr(_cells("f0 + 1", "f1", levels)))).select("block", "day", "internal_id", "gap", "c.level", "c.x")
+        inner = inner.join(cells.hint("merge"), ["block", "day", "level", "x"])
+        edge = many.withColumn("f", F.explode(F.array_distinct(F.array("f0", "f1")))).join(crowd.hint("merge"), ["block", "day", "f"]).where(band)
+        cols = ["internal_id", "external_id", "gap"]
+        parts.append(staged(some.select(*cols).unionByName(inner.select(*cols)).unionByName(edge.select(*cols)).distinct(), "ring"))
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        if ring is rings[-1]:
+            break
+        enough = found.groupBy("internal_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= nearest).select("internal_id")
+        old, left = left, staged(left.join(enough.hint("merge"), "internal_id", "left_anti"), "left")
+        unstage(old)
+        if not left.limit(1).count():
+            break
+    top = Window.partitionBy("internal_id").orderBy("gap", "external_id")
+    return found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= nearest).drop("r")
+
+
 def candidates_by_share(internal: DataFrame, external: DataFrame, low: float = 0.05, high: float = 0.95, days: int = 20, nearest: int = 10) -> DataFrame:
     """(internal_id, external_id): external amounts that are a share of the internal one. Rows that share a block with any in the band keep to the
     block; the others look over the whole band. The nearest by date are kept (by amount without a date).
 
     Whether a block has any row in the band is read off the least and greatest amount of its amount buckets, so no pair is made
-    for it. Of dated rows only those within reach can stay, whatever their rank, so pairs are joined on buckets of days, in a
-    block or over the band.
+    for it. Of dated rows only those within reach can stay, whatever their rank, and they are looked for by rings of days. Pairs with
+    an undated side are joined by amount buckets, and they rank after those.
     """
     if high / low < math.exp(2 * STEP):
         raise ValueError("the band must be wider than two amount buckets")
     i, e = _sides(internal, external)
     i, e = i.where("ia > 0"), e.where("ea > 0")
     keys = blocking_keys(internal.select("id", "description").unionByName(external.select("id", "description")))
-    ik = cut_lineage(i.join(keys.withColumnRenamed("id", "internal_id").hint("merge"), "internal_id"))
-    ek = cut_lineage(e.join(keys.withColumnRenamed("id", "external_id").hint("merge"), "external_id"))
+    ik = staged(i.join(keys.withColumnRenamed("id", "internal_id").hint("merge"), "internal_id"), "keyed")
+    ek = staged(e.join(keys.withColumnRenamed("id", "external_id").hint("merge"), "external_id"), "keyed")
     band = (F.col("ea") >= F.col("ia") * low) & (F.col("ea") <= F.col("ia") * high)
     steps = F.sequence(F.lit(math.floor(math.log(low) / STEP) - 1), F.lit(0))
     spread = lambda rows: rows.withColumn("amounts", F.explode(F.transform(steps, lambda k: _amount_bucket(F.col("ia")) + k)))
     bounds = ek.groupBy("block", _amount_bucket(F.col("ea")).alias("amounts")).agg(F.min("ea").alias("least"), F.max("ea").alias("most"))
     some = spread(ik).join(bounds.hint("merge"), ["block", "amounts"]).where((F.col("most") >= F.col("ia") * low) & (F.col("least") <= F.col("ia") * high))
-    some = cut_lineage(some.select("internal_id").distinct())
-    alone = i.join(some.hint("merge"), "internal_id", "left_anti")
-    cols = ["internal_id", "external_id", "ia", "ea", "idate", "edate"]
-    day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
-
-    def pairs(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
-        """Dated pairs within reach by buckets of days; those with an undated side, if there are any, by amount buckets, and they
-        rank after those."""
-        near = inner.where("idate IS NOT NULL").withColumn("bucket", F.explode(F.array(*[day("idate") + k for k in (-1, 0, 1)])))
-        dated = near.join(outer.where("edate IS NOT NULL").withColumn("bucket", day("edate")).hint("merge"), [*on, "bucket"]).where(band & _in_days(days))
-        blank = lambda a, b: spread(a).join(b.withColumn("amounts", _amount_bucket(F.col("ea"))).hint("merge"), [*on, "amounts"]).where(band).select(*cols)
-        return dated.select(*cols).unionByName(blank(inner.where("idate IS NULL"), outer)).unionByName(blank(inner.where("idate IS NOT NULL"), outer.where("edate IS NULL")))
-
-    gap = F.when(F.col("idate").isNotNull(), F.coalesce(F.abs(F.datediff("idate", "edate")).cast("double"), F.lit(float("inf")))).otherwise(F.abs(F.col("ea") - F.col("ia")))
-    top = Window.partitionBy("internal_id").orderBy(gap, "external_id")
-    both = pairs(ik, ek, ["block"]).distinct().unionByName(pairs(alone, e, []))
-    return both.withColumn("r", F.row_number().over(top)).where((F.col("r") <= nearest) & _in_days(days)).select("internal_id", "external_id")
+    some = staged(some.select("internal_id").distinct(), "some")
+    whole = F.lit("").alias("block")
+    # Nothing is in no block: rows that look over the whole band are together in one of their own.
+    inner = ik.select("block", "internal_id", "ia", "idate").unionByName(i.join(some.hint("merge"), "internal_id", "left_anti").select(whole, "internal_id", "ia", "idate"))
+    outer = ek.select("block", "external_id", "ea", "edate").unionByName(e.select(whole, "external_id", "ea", "edate"))
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    dated = nearest_days(inner.where("idate IS NOT NULL").select("block", "internal_id", "ia", day("idate").alias("day")), outer.where("edate IS NOT NULL").select("block", "external_id", "ea", day("edate").alias("day")), low, high, days, nearest)
+    blank = lambda a, b: spread(a).join(b.withColumn("amounts", _amount_bucket(F.col("ea"))).hint("merge"), ["block", "amounts"]).where(band)
+    rest = blank(inner.where("idate IS NULL"), outer).unionByName(blank(inner.where("idate IS NOT NULL"), outer.where("edate IS NULL")))
+    far = F.when(F.col("idate").isNotNull(), F.lit(float("inf"))).otherwise(F.abs(F.col("ea") - F.col("ia")))
+    top = Window.partitionBy("internal_id").orderBy("gap", "external_id")
+    both = dated.withColumn("gap", F.col("gap").cast("double")).unionByName(rest.select("internal_id", "external_id", far.alias("gap")).distinct())
+    return both.withColumn("r", F.row_number().over(top)).where(F.col("r") <= nearest).select("internal_id", "external_id")
 
 
 def candidates_by_cluster(clusters: DataFrame, internal: DataFrame, external: DataFrame, vi: DataFrame, ve: DataFrame, most: int = 6) -> DataFrame:
@@ -130,7 +177,7 @@ def candidates_by_cluster(clusters: DataFrame, internal: DataFrame, external: Da
     # A cluster without rows of one side has no pairs.
     shared = cut_lineage(a.select("g").distinct().join(b.select("g").distinct().hint("merge"), "g"))
     a, b = a.join(shared.hint("merge"), "g", "left_semi"), b.join(shared.hint("merge"), "g", "left_semi")
-    near = nearest(vectors(a, vi), vectors(b, ve), most, ids(a), ids(b)).select("g", F.col("a").alias("own"), F.col("b").alias("first"), "cos")
+    near = most_similar(vectors(a, vi), vectors(b, ve), most, ids(a), ids(b)).select("g", F.col("a").alias("own"), F.col("b").alias("first"), "cos")
     top = Window.partitionBy("g", "own").orderBy(F.desc(F.round("cos", PLACES)), "external_id")
     best = near.join(b.hint("merge"), ["g", "first"]).withColumn("r", F.row_number().over(top)).where(F.col("r") <= most)
     return a.withColumnRenamed("first", "own").join(best.select("g", "own", "external_id").hint("merge"), ["g", "own"]).select("internal_id", "external_id")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import clean_string
+from ledgerloom.operators.ranks import KEY_ROWS, frequent, numbered
 
 INTERNAL = ("erp",)
 KEY = ["_ref", "_amount", "_date"]
@@ -30,18 +31,17 @@ def match_key(side: DataFrame) -> DataFrame:
     return keyed.where(F.col("_ref").isNotNull() & F.col("_amount").isNotNull() & F.col("_date").isNotNull())
 
 
-def rule_match(internal: DataFrame, external: DataFrame, same_currency: bool = False, dated: bool = False) -> DataFrame:
+def rule_match(internal: DataFrame, external: DataFrame, same_currency: bool = False, dated: bool = False, key_rows: int = KEY_ROWS) -> DataFrame:
     """(internal_id, external_id, confidence, match_type; matched_on, their date, if `dated`): the k-th internal row of a key pairs with the k-th
-    external one, by id; the surplus of either side stays over. Both sides are partitioned on the key
-    once, for the numbering, and joined where they lie."""
+    external one, by id; the surplus of either side stays over. The rows of a key of more than `key_rows` are numbered by many
+    tasks, and the join is on key and number, so no key is one task's."""
     key = KEY + (["currency"] if same_currency else [])
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
-    left = match_key(internal).select(*key, F.col("id").alias("internal_id"), nth.alias("_n"))
-    right = match_key(external).select(*key, F.col("id").alias("external_id"), nth.alias("_n"))
-    pairs = left.join(right, [*key, "_n"])
+    left, right = match_key(internal).select(*key, F.col("id").alias("internal_id")), match_key(external).select(*key, F.col("id").alias("external_id"))
+    often = frequent(left.select(*key).unionByName(right.select(*key)), key, key_rows)
+    pairs = numbered(left, key, [F.col("internal_id")], often).join(numbered(right, key, [F.col("external_id")], often).hint("merge"), [*key, "_n"])
     return pairs.select("internal_id", "external_id", F.lit(1.0).alias("confidence"), F.lit("RULE").alias("match_type"), *([F.col("_date").alias("matched_on")] if dated else []))
 
 
 def residual(side: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     """Rows of a side that are in no pair."""
-    return side.join(pairs.select(F.col(column).alias("id")), "id", "left_anti")
+    return side.join(pairs.select(F.col(column).alias("id")).hint("merge"), "id", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import clean_string
-from ledgerloom.operators.frames import cut_lineage
+from ledgerloom.operators.frames import staged, unstage
 
 # The weights of a pair's components, and the reasons of what is left.
 WEIGHTS = {"description": 0.40, "amount": 0.35, "date": 0.15, "reference": 0.10}
@@ -47,22 +47,44 @@ def score_pairs(pairs: DataFrame, internal: DataFrame, external: DataFrame) -> D
     return rows.select("internal_id", "external_id", F.round(total, 4).alias("confidence"), F.lit("ML").alias("match_type"), *[F.round(c, 4).alias(c) for c in parts])
 
 
-def assign_one_to_one(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def _along_chains(ranked: DataFrame) -> DataFrame:
+    """Pairs that are taken because of a chain: a pair with just one better neighbour is taken exactly if that one is not. Each
+    step doubles how far a pair looks along such neighbours, until it sees one that is taken for certain or one with several better ones."""
+    best = F.when(F.col("_i") == 2, F.struct(F.col("internal_id").alias("a"), F.col("_with").alias("b"))).otherwise(F.struct(F.col("_for").alias("a"), F.col("external_id").alias("b")))
+    links = staged(ranked.where("_i + _e = 3").select("internal_id", "external_id", best.alias("to"), F.lit(True).alias("odd")), "chains")
+    while True:
+        on = links.select(F.struct(F.col("internal_id").alias("a"), F.col("external_id").alias("b")).alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        moved = F.col("next").isNotNull()
+        step = links.join(on.hint("merge"), "to", "left").select("internal_id", "external_id", F.coalesce("next", "to").alias("to"), F.when(moved, F.col("odd") != F.col("more")).otherwise(F.col("odd")).alias("odd"), moved.alias("moved"))
+        old, links = links, staged(step, "chains")
+        unstage(old)
+        if not links.where("moved").limit(1).count():
+            break
+    sure = ranked.where("_i = 1 AND _e = 1").select(F.struct(F.col("internal_id").alias("a"), F.col("external_id").alias("b")).alias("to"))
+    return links.where("NOT odd").join(sure.hint("merge"), "to", "left_semi").select("internal_id", "external_id")
+
+
+def assign_one_to_one(pairs: DataFrame, rounds: int = 6) -> DataFrame:
     """Greedy by confidence (ties by ids), each id once: rounds that keep the pairs which are best for both their
-    sides, until no pair is left. Equal to taking pairs one by one from the top."""
+    sides, until no pair is left. Equal to taking pairs one by one from the top. What is left after so many `rounds` are chains of ever
+    better neighbours, which are then followed to their ends in each round, however long they are."""
     cols = pairs.columns
     order = [F.desc("confidence"), "internal_id", "external_id"]
-    left = cut_lineage(pairs)
-    done = left.limit(0)
-    for _ in range(rounds):
-        ranked = left.withColumn("_i", F.row_number().over(Window.partitionBy("internal_id").orderBy(*order))).withColumn("_e", F.row_number().over(Window.partitionBy("external_id").orderBy(*order)))
-        taken = cut_lineage(ranked.where("_i = 1 AND _e = 1").select(*cols))
-        done = done.unionByName(taken)
-        left = cut_lineage(left.join(taken.select("internal_id"), "internal_id", "left_anti").join(taken.select("external_id"), "external_id", "left_anti"))
+    own, other = Window.partitionBy("internal_id").orderBy(*order), Window.partitionBy("external_id").orderBy(*order)
+    left, done = staged(pairs, "pairs"), []
+    while True:
+        ranked = left.withColumn("_i", F.row_number().over(own)).withColumn("_with", F.first("external_id").over(own)).withColumn("_e", F.row_number().over(other)).withColumn("_for", F.first("internal_id").over(other))
+        if len(done) < rounds:
+            taken = ranked.where("_i = 1 AND _e = 1").select(*cols)
+        else:
+            ranked = staged(ranked, "ranked")
+            taken = ranked.where("_i = 1 AND _e = 1").select(*cols).unionByName(ranked.select(*cols).join(_along_chains(ranked).hint("merge"), ["internal_id", "external_id"], "left_semi").select(*cols))
+        done.append(staged(taken, "taken"))
+        ends = done[-1].select("internal_id", "external_id")
+        old, left = left, staged(left.join(ends.select("internal_id").hint("merge"), "internal_id", "left_anti").join(ends.select("external_id").hint("merge"), "external_id", "left_anti").select(*cols), "pairs")
+        unstage(old)
         if not left.limit(1).count():
-            return done
-    # A long chain of ever better neighbours: each round settles at least its best pair.
-    return done.unionByName(assign_one_to_one(left, rounds))
+            return done[0].sparkSession.read.schema(done[0].schema).parquet(*[d._staged_path for d in done])
 
 
 def confirmed(threshold: float) -> Column:
