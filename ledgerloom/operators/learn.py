@@ -39,12 +39,26 @@ def class_weights(samples: DataFrame, label: str = "category") -> DataFrame:
 
 
 def stratified_split(samples: DataFrame, label: str = "category", share: float = 0.25, key: str = "id") -> DataFrame:
-    """`held_out`: the share of each class with the least hash; of the whole where a class has one row only."""
-    few = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg((F.min("n") < 2).alias("few"))
-    h = F.crc32(F.col(key).cast("binary"))
-    own = F.percent_rank().over(Window.partitionBy(label).orderBy(h, key))
-    rows = samples.withColumn("_h", h / F.lit(float(1 << 32))).withColumn("_own", own).join(F.broadcast(few))
-    return rows.withColumn("held_out", F.when(F.col("few"), F.col("_h") < share).otherwise(F.col("_own") < share)).drop("_h", "_own", "few")
+    """`held_out`: the share of each class with the least hash (of equal ones, the least key); of the whole where a class has one row only.
+
+    A class is counted by bins of its hash, so whole bins are in or out; only the rows of the one bin where the share ends are
+    ranked, a few thousandths of a class.
+    """
+    h = F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(-1))
+    # As text, so that a missing class is one of its own.
+    rows = samples.withColumns({"_class": F.to_json(F.struct(label)), "_h": h}).withColumn("_bin", F.floor(F.col("_h") / (1 << 20)))
+    bins = rows.groupBy("_class", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("_class")
+    bins = bins.withColumns({"_all": F.sum("_n").over(own), "_upto": F.sum("_n").over(own.orderBy("_bin"))})
+    few = bins.agg((F.min("_all") < 2).alias("_few"))
+    # Held out are the rows whose rank, from 0, is under this.
+    end = F.lit(share) * (F.col("_all") - 1)
+    side = F.when(F.col("_upto") - 1 < end, True).when(F.col("_upto") - F.col("_n") >= end, False)
+    placed = rows.join(bins.withColumn("_in", side).hint("merge"), ["_class", "_bin"]).join(F.broadcast(few))
+    by_class = F.coalesce("_in", F.rank().over(Window.partitionBy("_class", "_in").orderBy("_h", key)) + F.col("_upto") - F.col("_n") - 1 < end)
+    whole, ranked = placed.where(F.col("_in").isNotNull()).withColumn("_held", F.col("_in")), placed.where(F.col("_in").isNull()).withColumn("_held", by_class)
+    out = whole.unionByName(ranked).withColumn("held_out", F.when(F.col("_few"), F.col("_h") < share * (1 << 32)).otherwise(F.col("_held")))
+    return out.select(*samples.columns, "held_out")
 
 
 def train_forest(samples: DataFrame, trees: int = 200, seed: int = 42) -> PipelineModel | None:

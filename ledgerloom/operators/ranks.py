@@ -39,3 +39,32 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], often: DataF
     if often is None:
         return out
     return out.unionByName(running_sum(rows.join(often.hint("merge"), keys, "left_semi"), keys, order, F.lit(1), name))
+
+
+def exact_percentile(rows: DataFrame, value: Column, share: float, bins: int = 1024) -> float | None:
+    """The value below which `share` of all values lie, between two values in proportion; null values do not count, and without any it is None.
+
+    The range around each of the two is counted by bins and narrowed to the one that holds it, down to one value. What comes to the
+    driver is one count for each bin.
+    """
+    values = rows.select(value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    all_ = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not all_.n:
+        return None
+
+    def at(rank: int) -> float:
+        low, high, below = all_.low, all_.high, 0
+        while low < high:
+            # In halves, so that the width of a range of very large values stays a number.
+            place = F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * bins)
+            counts = values.where(F.col("v").between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+            for c in sorted(counts, key=lambda c: c.low):
+                if below + c.n > rank:
+                    low, high = c.low, c.high
+                    break
+                below += c.n
+        return low
+
+    place = share * (all_.n - 1)
+    first = at(int(place))
+    return first if place == int(place) else first + (at(int(place) + 1) - first) * (place - int(place))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranks import exact_percentile
 from ledgerloom.operators.triage import CATEGORIES
 
 
@@ -55,8 +56,9 @@ def kpi_validation(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 def kpi_runs(runs: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("id", "status", "started_at"), F.struct("started_at", "id"))
-    return runs.agg(last.alias("last"), F.avg(F.when(F.col("status") == "COMPLETED", F.col("duration_ms").cast("double"))).alias("a"), F.percentile(F.when(F.col("status") == "COMPLETED", F.col("duration_ms").cast("double")), 0.95).alias("p"), F.count_if(F.col("status") == "FAILED").alias("failed")).select(
-        F.col("last.id").alias("last_run"), F.col("last.status").alias("last_status"), F.col("last.started_at").alias("last_started_at"), F.round("a", 4).alias("avg_duration_ms"), F.round("p", 4).alias("p95_duration_ms"), "failed"
+    p95 = F.lit(exact_percentile(runs.where("status = 'COMPLETED'"), F.col("duration_ms"), 0.95)).cast("double")
+    return runs.agg(last.alias("last"), F.avg(F.when(F.col("status") == "COMPLETED", F.col("duration_ms").cast("double"))).alias("a"), F.count_if(F.col("status") == "FAILED").alias("failed")).select(
+        F.col("last.id").alias("last_run"), F.col("last.status").alias("last_status"), F.col("last.started_at").alias("last_started_at"), F.round("a", 4).alias("avg_duration_ms"), F.round(p95, 4).alias("p95_duration_ms"), "failed"
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import clean_string
@@ -21,8 +23,9 @@ def quarantine_rows(decisions: DataFrame) -> DataFrame:
 
 
 def validation_log_rows(decisions: DataFrame) -> DataFrame:
-    """One row for each decision; passed rows log the last stage, and `copies` where copies were counted."""
-    more = ["copies"] if "copies" in decisions.columns else []
+    """One row for each decision; passed rows log the last stage, and `copies` where copies were counted, or `copy` where they
+    were marked."""
+    more = [c for c in ("copies", "copy") if c in decisions.columns]
     return decisions.select("fingerprint", "status", F.coalesce("stage", F.lit("checksum")).alias("stage"), "violations", *more)
 
 
@@ -63,11 +66,41 @@ def mark_replayed(quarantine: DataFrame, ids: DataFrame, at: str) -> DataFrame:
     return quarantine.join(hit, "id", "left").withColumn("replayed_at", F.coalesce("replayed_at", F.when(F.col("_hit"), F.lit(at).cast("timestamp")))).drop("_hit")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _stored_batches(spark: SparkSession, root: str) -> DataFrame | None:
+    """(batch, attempt) of the batches that are stored as a whole; None before the first."""
+    path = f"{root.rstrip('/')}/manifest"
+    return spark.read.schema("batch long, attempt string").parquet(path) if _exists(spark, path) else None
+
+
 def write_validated(decisions: DataFrame, root: str, batch_id: int) -> None:
-    """One batch's three tables. Each batch overwrites its own folder, so a batch that comes again is stored once."""
+    """One batch's three tables, all or none of them: each attempt writes into folders of its own, and the manifest, written last, names
+    the one that counts. A batch that comes again after that is there already and left alone. Rows that are marked as a `copy`
+    of an earlier record are logged, and stored nowhere else."""
+    spark, root = decisions.sparkSession, root.rstrip("/")
+    known = _stored_batches(spark, root)
+    if known is not None and known.where(F.col("batch") == batch_id).limit(1).count():
+        return
+    attempt = uuid.uuid4().hex
     kept = decisions.persist()
+    new = kept.where("NOT copy") if "copy" in kept.columns else kept
     try:
-        for name, rows in (("transactions", transactions_rows(kept)), ("quarantine", quarantine_rows(kept)), ("validation_log", validation_log_rows(kept))):
-            rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/batch={batch_id}")
+        for name, rows in (("transactions", transactions_rows(new)), ("quarantine", quarantine_rows(new)), ("validation_log", validation_log_rows(kept))):
+            rows.write.parquet(f"{root}/{name}/batch={batch_id}/attempt={attempt}")
     finally:
         kept.unpersist()
+    spark.createDataFrame([(batch_id, attempt)], "batch long, attempt string").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+
+
+def read_validated(spark: SparkSession, root: str, name: str, few: int = 100_000) -> DataFrame:
+    """A table that write_validated() has written: the rows of whole batches, and nothing of one that was broken off."""
+    rows, known = spark.read.option("basePath", f"{root.rstrip('/')}/{name}").parquet(f"{root.rstrip('/')}/{name}"), _stored_batches(spark, root)
+    if known is None:
+        return rows.limit(0).drop("batch", "attempt")
+    # One row for each batch: sent to all tasks while there are few, which also spares the folders of other attempts.
+    known = known.hint("broadcast" if known.count() <= few else "merge")
+    return rows.join(known, ["batch", "attempt"], "left_semi").drop("batch", "attempt")

@@ -38,7 +38,7 @@ def _(s, d):
         sinks.write_validated(decisions, root, 0)
     out = None
     for name in ("transactions", "quarantine", "validation_log"):
-        n = s.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        n = sinks.read_validated(s, root, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -55,13 +55,43 @@ TXN_SQL = f"WITH {RAW_SQL} SELECT id AS external_id, amount, txn_date FROM marke
 
 @q("micro_batch", TXN_SQL)
 def _(s, d):
-    return s.read.parquet(f"{stored(s, d, 1, 1)}/transactions").select("external_id", "amount", "txn_date")
+    return sinks.read_validated(s, stored(s, d, 1, 1), "transactions").select("external_id", "amount", "txn_date")
 
 
 # Three runs over the same files, from one checkpoint: what was stored is not stored again.
 @q("at_least_once", f"WITH {RAW_SQL} SELECT stage, count(*) AS n FROM marked WHERE stage IS NOT NULL GROUP BY 1")
 def _(s, d):
-    return s.read.parquet(f"{stored(s, d, 3, 1)}/quarantine").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.read_validated(s, stored(s, d, 3, 1), "quarantine").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The feed comes three times, in three batches: copies are stored once and logged each time; what is no record is no copy.
+@q("copies_across_batches", f"""WITH {RAW_SQL}, t AS (SELECT *, CASE WHEN defect = 'not_an_object' THEN 3 ELSE 1 END AS times FROM marked)
+SELECT 'transactions' AS name, sum(times)::BIGINT AS rows, 0::BIGINT AS copies FROM t WHERE stage IS NULL UNION ALL SELECT 'quarantine', sum(times)::BIGINT, 0::BIGINT FROM t WHERE stage IS NOT NULL
+UNION ALL SELECT 'validation_log', 3 * count(*), sum(3 - times)::BIGINT FROM t""")
+def _(s, d):
+    root, place, path = work_dir(s, "stored"), work_dir(s, "stream"), work_dir(s, "feed")
+    for _ in range(3):
+        raw_feed(s, d).select("value").write.mode("append").text(path)
+        S.start_validation(s.readStream.text(path), root, place, AS_OF, once=True).awaitTermination()
+    out = None
+    for name in ("transactions", "quarantine", "validation_log"):
+        rows = sinks.read_validated(s, root, name)
+        copies = F.count_if("copy") if "copy" in rows.columns else F.lit(0).cast("long")
+        n = rows.agg(F.count(F.lit(1)).alias("rows"), copies.alias("copies")).select(F.lit(name).alias("name"), "rows", "copies")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+# Records as Kafka has them, as files: through the same decoding, so many files a batch. A record without a value is a deletion.
+@q("read_kafka", f"WITH {RAW_SQL} SELECT coalesce(stage, 'passed') AS stage, count(*) AS n, count(DISTINCT k) AS keys FROM marked GROUP BY 1")
+def _(s, d):
+    path, out = work_dir(s, "topic"), work_dir(s, "kafka")
+    rows = raw_feed(s, d).select(F.col("k").cast("string").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("raw_transactions").alias("topic"), F.pmod("k", F.lit(4)).cast("int").alias("partition"), F.col("k").cast("long").alias("offset"), F.lit(AS_OF).cast("timestamp").alias("timestamp"))
+    rows = rows.unionByName(rows.where("offset % 10 = 0").withColumn("value", F.lit(None).cast("binary")))
+    rows.repartition(4).write.parquet(path)
+    messages = feeds.kafka_messages(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    S.validated_stream(messages, AS_OF).select("key", F.coalesce("stage", F.lit("passed")).alias("stage")).writeStream.format("parquet").option("path", out).option("checkpointLocation", work_dir(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
 
 
 # Each message twice; what is no record is never taken for a copy.

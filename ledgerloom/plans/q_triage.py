@@ -185,7 +185,9 @@ def _(s, d):
     return learn.class_weights(learn.training_set(simple_settled(s, d)))
 
 
-@q("stratified_split")
+@q("stratified_split", f"""WITH {SETTLED_SQL}, t AS (SELECT id, category, ('0x' || substr(md5(id), 1, 8))::BIGINT AS h FROM st WHERE {USABLE}),
+r AS (SELECT *, percent_rank() OVER (PARTITION BY category ORDER BY h, id) AS p, count(*) OVER (PARTITION BY category) AS n FROM t)
+SELECT id, category, CASE WHEN min(n) OVER () < 2 THEN h / 4294967296 < 0.25 ELSE p < 0.25 END AS held_out FROM r""")
 def _(s, d):
     return learn.stratified_split(learn.training_set(simple_settled(s, d))).select("id", "category", "held_out")
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECORD = "map<string,string>"
-#: A CSV record: what lies between line ends outside quotes. A quote that nothing closes is a character like any other.
-CSV_RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"|")++'
+
+
+def csv_record(sep: str = ",") -> str:
+    """A pattern of a CSV record: fields up to a line end. A quote opens only at the start of a field; one inside a field, or one
+    that nothing closes, is a character like any other."""
+    s = re.escape(sep)
+    field = rf'(?:"(?:[^"]++|"")*+")?[^{s}\r\n]*+'
+    return f"{field}(?:{s}{field})*+"
 
 
 def decode_bytes(c: Column) -> Column:
@@ -37,9 +45,9 @@ def read_json_feed(messages: DataFrame, value: str = "value") -> DataFrame:
 
 def read_csv_feed(messages: DataFrame, header: list[str], value: str = "value", sep: str = ",") -> DataFrame:
     """A row for each record but the first of each CSV message, `record` holding its fields by header name, as strings.
-    Records end at line ends outside quotes, so a quoted field may hold some; a quote inside quotes is written twice."""
+    Records end at line ends outside quoted fields, which may hold some; a quote inside quotes is written twice."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    lines = F.regexp_extract_all(F.col(value), F.lit(CSV_RECORD), F.lit(0))
+    lines = F.regexp_extract_all(F.col(value), F.lit(csv_record(sep)), F.lit(0))
     lines = F.filter(lines, lambda x: F.btrim(x) != "")
     rows = messages.withColumn("_line", F.explode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))))
     parsed = F.from_csv("_line", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "escape": '"'})
@@ -53,7 +61,13 @@ def read_csv_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, inferSchema=False)
 
 
+def kafka_messages(records: DataFrame) -> DataFrame:
+    """Text messages of Kafka's records (key, value, topic, partition, offset, timestamp), with where each was. A record without a
+    value is a deletion and no message."""
+    return records.where("value IS NOT NULL").select(decode_bytes(F.col("key")).alias("key"), decode_bytes(F.col("value")).alias("value"), "topic", "partition", "offset", "timestamp")
+
+
 def read_kafka(spark: SparkSession, brokers: str, topic: str = "raw_transactions", per_batch: int = 500) -> DataFrame:
-    """The topic from its beginning as a stream of (value, timestamp)."""
+    """The topic from its beginning as a stream of messages, so many in a batch at most."""
     stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", per_batch).load()
-    return stream.select(decode_bytes(F.col("value")).alias("value"), F.col("timestamp"))
+    return kafka_messages(stream)

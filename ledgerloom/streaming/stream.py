@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ledgerloom.operators.sinks import write_validated
 from ledgerloom.operators.validate import validate
@@ -12,6 +15,12 @@ from ledgerloom.sources.feeds import read_json_feed
 
 #: A batch closes after so long; how many records it may hold is set at the source.
 EVERY = "5 seconds"
+#: How long a record is known after it was first seen, in milliseconds.
+TTL_MS = 3_600_000
+#: How a query keeps such state: in RocksDB, and without batches that have no data, which would come without end.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+#: Times go through JSON whole.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
 def validated_stream(messages: DataFrame, as_of: str) -> DataFrame:
@@ -39,16 +48,60 @@ def duplicate_count(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("fingerprint").alias("distinct")).withColumn("duplicates", F.col("records") - F.col("distinct"))
 
 
-def start_validation(messages: DataFrame, root: str, checkpoint: str, as_of: str, every: str = EVERY, once: bool = False) -> StreamingQuery:
-    """Validate and store a stream. Offsets are committed after a batch is stored; a batch that comes again replaces itself.
-    Of the copies of a record in a batch one is stored, and how many there were is counted."""
+class FirstSight(StatefulProcessor):
+    """Which row of a fingerprint is the first. What is known of a fingerprint ends a time after its first sight, which copies
+    do not put off."""
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        write_validated(once_each(batch), root, batch_id)
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "rows long", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.seen.exists()
+        for batch in rows:
+            copy = []
+            for junk in batch["junk"]:
+                # What could not be read as a record is never a copy.
+                copy.append(bool(known and not junk))
+                if not junk and not known:
+                    known = True
+                    self.seen.update((1,))
+            yield batch[["fingerprint", "decision"]].assign(copy=copy)
+
+    def close(self) -> None:
+        pass
 
-    writer = validated_stream(messages, as_of).writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
-    return writer.start()
+
+def mark_copies(decisions: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """`decisions` of a stream with `copy`: whether the record was seen before, in this batch or an earlier one, within the time to
+    live. The state is one small row for each fingerprint, in RocksDB and in the query's checkpoint."""
+    rows = decisions.select("fingerprint", F.col("error").isNotNull().alias("junk"), F.to_json(F.struct(*[c for c in decisions.columns if c != "fingerprint"]), TIMES).alias("decision"))
+    kind = "fingerprint string, decision string, copy boolean"
+    marked = rows.groupBy("fingerprint").transformWithStateInPandas(FirstSight(ttl_ms), kind, "Append", "ProcessingTime")
+    schema = decisions.drop("fingerprint").schema
+    return marked.select("fingerprint", "copy", F.from_json("decision", schema, TIMES).alias("d")).select("d.*", "fingerprint", "copy")
+
+
+def start_validation(messages: DataFrame, root: str, checkpoint: str, as_of: str, every: str = EVERY, once: bool = False, ttl_ms: int = TTL_MS) -> StreamingQuery:
+    """Validate and store a stream. Offsets are committed after a batch is stored as a whole; a batch that comes again is not stored again.
+    Of the copies of a record one is stored, in whatever batches they come within the time to live; each copy is logged."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_validated(batch, root, batch_id)
+
+    conf = messages.sparkSession.conf
+    before = {k: conf.get(k) for k in STATE}
+    for k, v in STATE.items():
+        conf.set(k, v)
+    try:
+        writer = mark_copies(validated_stream(messages, as_of), ttl_ms).writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def sweep(queue_changes: DataFrame, triage, checkpoint: str, every: str = "120 seconds", once: bool = False) -> StreamingQuery:
