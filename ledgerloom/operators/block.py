@@ -102,18 +102,21 @@ def nearest_days(i: DataFrame, e: DataFrame, low: float, high: float, days: int,
     while reach <= days:
         rings.append([s * k for k in range(reach, min(days, 2 * reach - 1) + 1) for s in (-1, 1)])
         reach *= 2
-    left, parts = staged(i, "left"), []
+    left, parts, crowded = staged(i, "left"), [], bool(crowd.limit(1).count())
     for ring in rings:
         at = left.withColumn("off", F.explode(F.array(*map(F.lit, ring)))).withColumn("day", F.col("day") + F.col("off"))
         at = at.join(seen.hint("merge"), ["block", "day"]).where((F.col("most") >= F.col("ia") * low) & (F.col("least") <= F.col("ia") * high))
         at = at.select("block", "day", "internal_id", "ia", F.abs("off").alias("gap"), "n")
         some = at.where(F.col("n") <= light).join(e.hint("merge"), ["block", "day"]).where(band)
+        cols = ["internal_id", "external_id", "gap"]
+        made = some.select(*cols)
         many = at.where(F.col("n") > light).withColumn("f0", fine(F.col("ia") * low)).withColumn("f1", fine(F.col("ia") * high))
         inner = many.withColumn("c", F.explode(F.expr(_cells("f0 + 1", "f1", levels)))).select("block", "day", "internal_id", "gap", "c.level", "c.x")
         inner = inner.join(cells.hint("merge"), ["block", "day", "level", "x"])
         edge = many.withColumn("f", F.explode(F.array_distinct(F.array("f0", "f1")))).join(crowd.hint("merge"), ["block", "day", "f"]).where(band)
-        cols = ["internal_id", "external_id", "gap"]
-        parts.append(staged(some.select(*cols).unionByName(inner.select(*cols)).unionByName(edge.select(*cols)).distinct(), "ring"))
+        if crowded:
+            made = made.unionByName(inner.select(*cols)).unionByName(edge.select(*cols))
+        parts.append(staged(made.distinct(), "ring"))
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)

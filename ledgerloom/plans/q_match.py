@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
 from ledgerloom.operators import block, grade, match_rule, reconcile as R, score, sinks, text
-from ledgerloom.operators.frames import work_dir
+from ledgerloom.operators.frames import staged, work_dir
 from ledgerloom.operators.validate import pair_invariants
 from ledgerloom.plans.fixtures import LEDGER_SQL, QUEUE_SQL, ledger, queue, statement, transactions
 from ledgerloom.sources import tables
@@ -38,8 +38,10 @@ def pairs_by_rule(s, d):
 
 
 def residuals(s, d):
-    p = pairs_by_rule(s, d)
-    return match_rule.residual(ledger(s, d), p, "internal_id"), match_rule.residual(statement(s, d), p, "external_id")
+    """What the rules leave of both sides, written down: the operators after them read it more than once."""
+    i, e = staged(ledger(s, d), "ledger"), staged(statement(s, d), "statement")
+    p = staged(match_rule.rule_match(i, e), "pairs")
+    return staged(match_rule.residual(i, p, "internal_id"), "rest"), staged(match_rule.residual(e, p, "external_id"), "rest")
 
 
 @q("split_sides", f"WITH {LEDGER_SQL} SELECT (SELECT count(*) FROM ledger) AS internal, (SELECT count(*) FROM statement) AS external")
@@ -135,7 +137,9 @@ def _(s, d):
 
 @q("isolated_ids")
 def _(s, d):
-    return text.isolated_ids(text.cluster_texts(rest(s, d)), text.flag_outliers(rest(s, d)))
+    t = rest(s, d)
+    known = text.distinct_texts(t)
+    return text.isolated_ids(text.cluster_texts(t, known=known), text.flag_outliers(t, known=known))
 
 
 # All texts: SQL would join every two that share a word, so the tests hold it against brute force.
@@ -328,6 +332,12 @@ def _(s, d):
     return R.reconcile(ledger(s, d)).unmatched.select("id", "reason")
 
 
+# Rows alone in their cluster and far from all texts are told apart, on both sides: the pass's own reasons, counted.
+@q("reconcile_reasons")
+def _(s, d):
+    return R.reconcile(transactions(s, d)).unmatched.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @q("reconcile_whole_summary")
 def _(s, d):
     return R.reconcile_summary(transactions(s, d), R.reconcile(transactions(s, d)).pairs)
