@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
@@ -317,9 +319,24 @@ def _(s, d):
     return R.reconcile_summary(transactions(s, d), pairs_by_rule(s, d))
 
 
+# The whole pass, with its pairs of both layers and the time it took.
 @q("run_row")
 def _(s, d):
-    return sinks.run_row(R.reconcile_summary(transactions(s, d), pairs_by_rule(s, d)), THRESHOLD, 0.0)
+    began = time.monotonic()
+    t = transactions(s, d)
+    pairs = staged(R.reconcile(t, THRESHOLD).pairs, "pairs")
+    return sinks.run_row(R.reconcile_summary(t, pairs), THRESHOLD, time.monotonic() - began)
+
+
+# Receipts that several obligations claim, and wrong pairs among them: the sweep over what the pass itself assigned.
+@q("threshold_sweep_of_pass")
+def _(s, d):
+    return score.threshold_sweep(R.reconcile(transactions(s, d), THRESHOLD).assigned, same_key(s, d), [0.5, 0.7, 0.85, 0.95])
+
+
+@q("grade_pairs_of_pass")
+def _(s, d):
+    return grade.grade_pairs(R.reconcile(transactions(s, d), THRESHOLD).pairs, same_key(s, d))
 
 
 @q("reconcile_unmatched")

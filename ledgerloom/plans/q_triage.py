@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import grade, learn, triage as T
-from ledgerloom.operators.frames import cut_lineage, work_dir
+from ledgerloom.operators.frames import cut_lineage, staged, work_dir
+from ledgerloom.operators.reconcile import reconcile
 from ledgerloom.plans.fixtures import AS_OF, LEDGER_SQL, QUEUE_SQL, ledger, queue, statement, transactions
 from ledgerloom.plans.q_match import JACCARD
 
@@ -122,6 +123,21 @@ def _(s, d):
     return T.apply_suggestions(open_queue(s, d), suggested(s, d)).select("id", "state", "category", F.col("category_confidence").alias("confidence"))
 
 
+def left_by_matching(s, d):
+    """The exceptions that a whole pass opens: its unmatched rows with their nearest misses and co-settling candidates."""
+    left = reconcile(transactions(s, d)).unmatched
+    own = ("best_counterpart_id", "candidate_ids", "best_confidence")
+    return staged(left.select(F.concat(F.lit("EXC-"), "id").alias("id"), F.col("id").alias("transaction_id"), F.lit("OPEN").alias("state"), F.lit(AS_OF).cast("timestamp").alias("created_at"), *own, F.lit(None).cast("string").alias("category")), "queue")
+
+
+# Triage over what matching really left, instead of what the fixture says it should.
+@q("triage_of_unmatched")
+def _(s, d):
+    opened_ = left_by_matching(s, d)
+    found = T.suggest_resolution(T.classify_rules(T.exception_features(T.load_open_exceptions(opened_, transactions(s, d)))), AS_OF)
+    return T.apply_suggestions(opened_, found).select("id", "state", "category", F.col("category_confidence").alias("confidence"))
+
+
 ARCHETYPE = "CASE WHEN b < 76 THEN 'noisy_description' WHEN b < 85 THEN 'timing_difference' WHEN b < 91 THEN 'missing_reference' WHEN b < 97 THEN 'partial_payment' WHEN b < 100 THEN 'split_settlement' ELSE 'decoy' END"
 EXPECTED = "CASE WHEN b < 76 THEN 'MISSING_REFERENCE_CODE' WHEN b < 85 THEN 'TIMING_DIFFERENCE' WHEN b < 91 THEN 'MISSING_REFERENCE_CODE' WHEN b < 97 THEN 'PARTIAL_PAYMENT' WHEN b < 100 THEN 'SPLIT_SETTLEMENT' ELSE 'MISSING_REFERENCE_CODE' END"
 

@@ -120,3 +120,20 @@ def test_shares_against_brute_force(spark):
         best = sorted(shared or band, key=lambda e: (abs(i[3] - e[3]), e[0]))[:3]
         want |= {(i[0], e[0]) for e in best if abs(i[3] - e[3]) <= 6}
     assert got == want
+
+
+def test_sweep_grades_and_triage_of_a_whole_pass(spark, monkeypatch):
+    """Over the pass's own assignments and leftovers, not those that the fixture would have. The pass is made once."""
+    from ledgerloom.plans import q_match, q_triage
+
+    sf = "/root/testdata/sf0.001"
+    whole = reconcile.reconcile(transactions(spark, sf))
+    monkeypatch.setattr(reconcile, "reconcile", lambda *a: whole)
+    monkeypatch.setattr(q_triage, "reconcile", lambda *a: whole)
+    q = {n: f for m in (q_match, q_triage) for n, (f, _) in m.Q.items()}
+    sweep = sorted(tuple(r) for r in q["threshold_sweep_of_pass"](spark, sf).collect())
+    assert all(c == right + wrong for _, c, right, wrong in sweep) and [c for _, c, _, _ in sweep] == sorted((c for _, c, _, _ in sweep), reverse=True)
+    run = q["run_row"](spark, sf).first()
+    assert run.ml > 0 and run.duration_ms > 0 and run.pairs == run.rule + run.ml and run.rows == run.unmatched + 2 * run.pairs
+    found = q["triage_of_unmatched"](spark, sf).collect()
+    assert len(found) == run.unmatched == len({r.id for r in found}) and all(r.category and r.state == "SUGGESTED" for r in found)
