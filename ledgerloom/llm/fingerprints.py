@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def subtables(n: Column) -> Column:
     return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), SPARE * 2 * n / LOAD)))).cast("long")
 
 
+def dealt(xs: Column, tables: Column, of: Callable[[Column], Column]) -> Column:
+    """For each of `tables` subtables, a power of two, the elements whose digest (`of`) lies in it. The array is halved by one bit after
+    another, the highest first, so the work grows with n log n and not with n times the subtables."""
+    steps = F.transform(F.sequence(F.lit(1), F.round(F.log2(tables)).cast("int")), lambda j: (tables / F.pow(F.lit(2.0), j)).cast("long"))
+    bit = lambda x, step: F.shiftright(of(x), 8).bitwiseAND(step)
+    half = lambda g, step: F.array(F.filter(g, lambda x: bit(x, step) == 0), F.filter(g, lambda x: bit(x, step) != 0))
+    halved = F.aggregate(steps, F.array(xs), lambda gs, step: F.flatten(F.transform(gs, lambda g: half(g, step))))
+    return F.when(tables == 1, F.array(xs)).otherwise(halved)
+
+
 def together(n: Column, m: Column) -> Column:
     """The number of subtables at which sketches of n and m digests are compared first: the smaller of theirs, unless so many
     digests must differ that they cannot be recovered from it; then what holds all of both."""
@@ -105,10 +117,10 @@ def differing(both: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(-1), lambda d, level: F.when(d >= 0, d).otherwise(tried(v, level)))
 
     def total(tables: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), tables - 1), lambda s: let(F.filter(both, lambda e: F.pmod(F.shiftright(e["x"], 8), tables) == s), of))
+        each = F.transform(dealt(both, tables, lambda e: e["x"]), of)
         return let(each, lambda ds: F.when(F.exists(ds, lambda d: d < 0), -1).otherwise(F.aggregate(ds, F.lit(0), lambda a, d: a + d)))
 
-    return let(F.greatest(F.lit(1), F.ceil(F.size(both) / LOAD)).cast("int"), total)
+    return let(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.size(both) / LOAD)))).cast("long"), total)
 
 
 def _signed(a: Column, b: Column) -> Column:
@@ -171,7 +183,7 @@ def printed(digests: Column) -> Column:
         return F.array_join(F.transform(lookup_table(es, row), cell), "-")
 
     def of(tables: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0).cast("long"), tables - 1), lambda s: let(F.transform(F.filter(digests, lambda x: F.pmod(F.shiftright(x, 8), tables) == s), lambda x: _entry(x, F.lit(1), row, F.lit(0))), table))
+        each = F.transform(dealt(digests, tables, lambda x: x), lambda xs: let(F.transform(xs, lambda x: _entry(x, F.lit(1), row, F.lit(0))), table))
         return F.concat(tables.cast("string"), F.lit(":"), F.array_join(each, "-"))
 
     return let(subtables(F.size(digests)), of)

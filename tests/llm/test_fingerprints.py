@@ -115,3 +115,18 @@ def test_against_sets(spark):
     assert {d for (d,) in spark.createDataFrame([([1, 2, 3], [3, 4]), ([7], [7])], "a array<long>, b array<long>").select(differing(_signed(F.col("a"), F.col("b")))).collect()} == {3, 0}
     one = compare_with_edits(df.where("doc_id = 502")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"ono").hexdigest()
+
+
+def test_very_long_texts_take_time_in_step_with_their_length(spark):
+    """300,000 words: some 12,500 paragraphs, alike but for what was edited, and dealt over thousands of subtables."""
+    import time
+
+    r = random.Random(6)
+    text = " ".join(f"{r.randrange(10**6)}" for _ in range(300_000))
+    rows = [(2, text), (1, "other " + text[: len(text) // 2])]
+    began = time.time()
+    out = {x.doc_id: x for x in compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 90
+    for i, n, sha, edited, following in brute(rows):
+        assert (out[i].n_chars, out[i].edited_sha256) == (n, sha) and (out[i].near_edited, out[i].near_next) == pytest.approx((edited, following))
+    assert entries(out[2].fingerprint) == len(units(text)) and out[2].tries_edited in (0, 1)  # recovered from sketches
