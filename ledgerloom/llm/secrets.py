@@ -12,23 +12,35 @@ from ledgerloom.llm.common import doc_bucket, staged
 from ledgerloom.llm.spans import none, placed
 
 # What the names of secrets have in them.
-NAMES = r"(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+NAMES = r"(?i:token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 #: A name that has one of these within its first 40 characters, and what assigns a value to it.
 ASSIGNS = rf"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]{{0,40}}?{NAMES})[A-Za-z0-9_.-]++[\"']?\s{{0,3}}+(?:=>|:=|[=:])\s{{0,3}}+"
 #: The word of a header that a credential follows.
 HEADER = r"(?<![A-Za-z0-9_.-])(?i:bearer|basic)\s++"
-#: A key block, a value that is assigned (in quotes or up to white space) or follows a header word, or a run of
-#: sixteen or more characters that keys are written with, one of them at least a digit. `=` only ends a run.
+#: What stands before the password of a URL: its scheme and the user, who may be missing.
+URL = r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@"'<>]*+:"""
+PASSWORD = r"""[^\s/@"'<>]{3,}+(?=@[A-Za-z0-9\[])"""
+#: A line that gives a pass phrase: such a name, and two to eight words up to the end of the line.
+PHRASE = rf"(?<![^\n])[ \t]*+(?=[A-Za-z0-9_.-]{{0,40}}?(?i:secret|passw|passphrase|pwd)){ASSIGNS}" + r"""[^\s"',;]{2,}+(?:[ \t]++[^\s"',;]{2,}+){1,7}+(?=[ \t\r]*+(?:\n|\z))"""
+BEGIN, END = (rf"-----{word} (?:[A-Z0-9]++ ){{0,4}}?PRIVATE KEY(?: BLOCK)?-----" for word in ("BEGIN", "END"))
+#: Lines of a key block that has lost its end: headers, and runs of sixteen or more; line ends may be written as in JSON.
+LINES = r"(?:(?:\s|\\[nr])++(?:[A-Z][A-Za-z-]{2,20}+: [^\n\\]{1,80}+|[A-Za-z0-9+/]{16,}+={0,2}+))++"
+#: A key block, whole (with what headers it has) or without its end, the password in a URL, a pass phrase, a value that is assigned (in quotes, or up to
+#: white space) or follows a header word, or a run of sixteen or more characters that keys are written with, one of them at
+#: least a digit. `=` only ends a run.
 CANDIDATE = "|".join(
     [
-        r"-----BEGIN (?:[A-Z]++ ){0,3}?PRIVATE KEY-----[^-]*+-----END (?:[A-Z]++ ){0,3}?PRIVATE KEY-----",
+        BEGIN + r"(?:[^-]++|-(?!----))*+" + END,
+        BEGIN + LINES,
+        URL + PASSWORD,
+        PHRASE,
         HEADER + r"[A-Za-z0-9._~+/-]{8,}+=*+",
-        ASSIGNS + r"""(?:"[^"\s]{6,}+"|'[^'\s]{6,}+'|(?!(?i:bearer|basic)\s)[^\s"',;]{6,}+)""",
+        ASSIGNS + rf"(?![\"']?{URL}{PASSWORD})" + r"""(?:"[^"\n]{6,}+"|'[^'\n]{6,}+'|(?!(?i:bearer|basic)\s)[^\s"',;]{6,}+)""",
         r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+",
     ]
 )
 #: What of a candidate stands before its value.
-LEAD = rf"^(?:{HEADER}|{ASSIGNS}[\"']?)"
+LEAD = rf"^(?:{HEADER}|{URL}|[ \t]*+{ASSIGNS}[\"']?)"
 FEATURES = [
     "length",
     "transitions",
@@ -51,8 +63,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, start, value, before, after, named) of every candidate in every whole text. The name that a value is assigned
     to belongs to neither side: before ends in front of it, and `named` says whether there is one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # A text without a long run and without a name has no candidate.
-    at = F.when(text.rlike("[A-Za-z0-9_+/-]{16}") | text.rlike(NAMES) | text.rlike("(?i:bearer|basic)"), placed(text, CANDIDATE)).otherwise(none())
+    # A text without a long run, a name and a URL has no candidate.
+    at = F.when(text.rlike("[A-Za-z0-9_+/-]{16}") | text.rlike(NAMES) | text.rlike("(?i:bearer|basic)") | text.contains("://"), placed(text, CANDIDATE)).otherwise(none())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(at).alias("f"))
     lead = F.regexp_extract("f.m", LEAD, 0)
     value = F.substr("f.m", F.char_length(lead) + 1, F.char_length("f.m"))
@@ -105,12 +117,16 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(rows)
+#: Features of a value that know nothing of where it stands.
+FORM = ["length", "transitions", "digits", "upper", "vowels", "distinct", "hex", "coverage", "slashes"]
 
 
-def train(rows: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: int = 6) -> RandomForestClassificationModel | None:
-    """Fit on at most about max_rows labelled findings of each label, those of least hash. None where only one label is seen."""
+def _assembled(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(rows)
+
+
+def fitted(rows: DataFrame, columns: list[str], max_rows: int, trees: int, depth: int) -> RandomForestClassificationModel | None:
+    """A forest on at most about max_rows labelled findings of each label, those of least hash. None where only one label is seen."""
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -119,10 +135,23 @@ def train(rows: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: int =
     for label, n in counts.items():
         keep = keep | ((F.col("label") == label) & (h < int(min(1.0, max_rows / n) * (1 << 30))))
     weight = F.when(F.col("label") == 1.0, min(counts.values()) / counts[1.0]).otherwise(min(counts.values()) / counts[0.0])
-    sample = _assembled(rows.where(keep).withColumn("weight", weight))
+    sample = _assembled(rows.where(keep).withColumn("weight", weight), columns)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, weightCol="weight").fit(sample)
 
 
+def train(rows: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: int = 6, doubt: float = 0.5) -> RandomForestClassificationModel | None:
+    """Learning from positive and unlabelled findings, in two steps. That a value stands at no name does not say that it is no secret,
+    so a first forest, over the form of the value alone, tells which unnamed values look like named ones (`doubt` or more);
+    these are no examples. The second forest sees all features, and learns from the named values and the unnamed ones that are
+    left. Where none is left it learns from all. None where only one label is seen."""
+    form = fitted(rows, FORM, max_rows, trees, depth)
+    if form is None:
+        return None
+    sure = (F.col("label") == 1.0) | (vector_to_array("probability")[1] < doubt)
+    clear = staged(form.transform(_assembled(rows, FORM)).where(sure).select(*rows.columns), "secret-clear")
+    return fitted(clear, FEATURES, max_rows, trees, depth) or fitted(rows, FEATURES, max_rows, trees, depth)
+
+
 def scored(rows: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
     p: Column = F.col("label")
     if model is not None:
@@ -136,11 +165,16 @@ def scan(docs: DataFrame, sure: float = 0.5) -> DataFrame:
 
     Candidates come from every whole text. There are no reviewed findings, so the corpus labels its own: values that stand
     at a secret's name, after a header word, or in a key block, against all other candidates. The forest learns from those of
-    the documents whose crc32(doc_id as text) mod 5 is not 0; the others are held out. It sees length, character transitions and
+    the documents whose crc32(doc_id as text) mod 5 is not 0; the others are held out. Unnamed values that have the form of named ones
+    are no examples of either (see `train`). It sees length, character transitions and
     classes, how much of the string common words cover, paths, and the words around, but not the name; so a finding
     without one can still be a secret, and a value with one that looks like a word or a path is dropped. A key block is a secret by
     its form.
 
+    Not searched for: values under six characters (three in URLs), passwords in prose of which no name and sign of assignment stands before, pass
+    phrases in the middle of a line without quotes (the first word is found), and keys in runs that other characters break up. Values of a form
+    that stands at a name nowhere in the table are candidates, but the forest has no example to know them by.
+
     Null and empty texts have no rows; long runs are one candidate; repeated rows give repeated
     findings; null ids pass through and are not held out; other columns are ignored; an empty table gives an empty
     result; where no label or only one is seen the label itself decides.

@@ -98,3 +98,71 @@ def test_forest_removes_and_finds(spark):
     assert out[2000][0].secret and not out[2000][0].assigned
     assert not {2002, 2003, 2004} & set(out) and out[None][0].n_chars == 50_001
     assert scan(df.limit(0)).count() == 0
+
+
+B64 = ALNUM + "+/"
+WORDS = ["correct", "horse", "battery", "staple", "orange", "window", "garden"]
+#: Forms that are written down from what such files look like, value first. The end of a value is not always that of the text.
+OTHER = {
+    "encrypted": lambda: (v := "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,1F2E3D4C5B6A7980\n\n" + "\n".join(pick(B64, 64) for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----", v),
+    "openssh": lambda: (v := "-----BEGIN OPENSSH PRIVATE KEY-----\n" + "\n".join(pick(B64, 70) for _ in range(2)) + "\nab-c==\n-----END OPENSSH PRIVATE KEY-----", v),
+    "pgp": lambda: (v := "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n" + pick(B64, 64) + "\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----", v),
+    "truncated": lambda: (v := "-----BEGIN EC PRIVATE KEY-----\n" + "\n".join(pick(B64, 64) for _ in range(2)), v + "\n"),
+    "json_key": lambda: (v := "-----BEGIN PRIVATE KEY-----\\n" + pick(B64, 64) + "\\n" + pick(B64, 30) + "\\n-----END PRIVATE KEY-----", f'"key": "{v}\\n"'),
+    "url": lambda: (v := pick(ALNUM, 5) + "!" + pick(ALNUM, 5), f"postgres://admin:{v}@db.example.org:5432/base"),
+    "url_named": lambda: (v := pick(ALNUM, 12), f"AUTH_URL=redis://:{v}@10.0.0.7/0"),
+    "url_quoted": lambda: (v := pick(ALNUM, 12), f'secret_dsn: "amqp://me:{v}@queue/x"'),
+    "phrase": lambda: (v := " ".join(r.choice(WORDS) for _ in range(4)), f"\npassword: {v}\n"),
+    "phrase_quoted": lambda: (v := " ".join(r.choice(WORDS) for _ in range(5)), f'passphrase = "{v}"'),
+    "windows_lines": lambda: (v := " ".join(r.choice(WORDS) for _ in range(3)), f"\n  db.password={v}\r\n"),
+}
+
+
+def test_key_blocks_urls_and_phrases_are_found_whole(spark):
+    rows, want = [], {}
+    for i in range(220):
+        name = sorted(OTHER)[i % len(OTHER)]
+        value, text = OTHER[name]()
+        rows.append((i, f"some words then {text} and more about it\nnext line"))
+        want[i, rows[-1][1].index(value), value] = name
+    got = {(x.doc_id, x.start, x.value) for x in candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not {want[k] for k in want if k not in got}
+    # One candidate a value: nothing else is found within it or behind its name.
+    assert len(got) == len(want)
+
+
+def test_what_only_looks_like_a_form(spark):
+    mentions = ["-----BEGIN PRIVATE KEY----- is how a key starts", "see https://example.org:8080/x and mail me@example.org", "ratio 3:4@x", "-----BEGIN PRIVATE KEY-----" * 3000, "x" * 200_000 + "://" + "y:" * 50_000]
+    blocks = "-----BEGIN EC PRIVATE KEY-----\nABCDEFGHIJKLMNOP\n-----BEGIN EC PRIVATE KEY-----\nQRSTUVWXYZABCDEF\n-----END EC PRIVATE KEY-----"
+    rows = [*enumerate(mentions), (10, blocks)]
+    got = [(x.doc_id, x.value) for x in candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(10, blocks[:47]), (10, blocks[48:])]
+
+
+#: Values that stand at no name, so that no label says what they are. Such of hex, forge and base64 stand at a name elsewhere; cloud and
+#: chat never do.
+BARE = {
+    "hex": lambda: pick("0123456789abcdef", 40),
+    "cloud": lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + "7",
+    "forge": lambda: "ghp_" + pick(ALNUM, 35) + "0",
+    "chat": lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(ALNUM, 24),
+    "base64": lambda: base64.b64encode(pick(ALNUM + "&!$%", 30).encode()).decode().rstrip("="),
+}
+
+
+def test_canaries_without_a_name_on_held_out_documents(spark):
+    """Over held-out documents: values without a name, of forms that others have at a name, are found. Forms that never stand at a name have no
+    positive example, and are a known limit (README): they are in the corpus, and must not spoil the rest."""
+    rows, _ = corpus(600)
+    canaries = {}
+    for i in range(300):
+        name = sorted(BARE)[i % len(BARE)]
+        rows.append((50_000 + i, f"some words then {BARE[name]()} and more about the page"))
+        canaries[50_000 + i, 16] = name
+    out = [x for x in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.held_out]
+    said = {(x.doc_id, x.start) for x in out if x.secret and not x.assigned}
+    held = {k: name for k, name in canaries.items() if zlib.crc32(str(k[0]).encode()) % 5 == 0}
+    want = {k for k, name in held.items() if name not in ("cloud", "chat")}
+    print({name: (sum(k in said for k in held if held[k] == name), sum(n == name for n in held.values())) for name in sorted(BARE)})
+    assert len(want) > 20 and len(said & want) >= 0.9 * len(want)
+    assert len(said & set(held)) >= 0.9 * len(said)
