@@ -1,4 +1,5 @@
 import bisect
+import json
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import pandas as pd
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.packing import best_fit, encode, pack, sweep
+from ledgerloom.llm.packing import best_fit, byte_level, encode, pack, sweep
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +20,25 @@ def test_ids_are_those_of_tokenizers():
     assert [e.ids for e in hf.encode_batch(texts, add_special_tokens=False)] == [encode(PATH, t) for t in texts]
 
 
+def test_files_of_other_kinds_go_through_tokenizers(tmp_path):
+    """Each change makes ids differ from those of the byte-level pattern; the file decides."""
+    spec = json.load(open(PATH, encoding="utf-8"))
+    assert byte_level(spec)
+    changes = {
+        "blank": {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+        "digits": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}},
+        "lower": {"normalizer": {"type": "Lowercase"}},
+        "order": {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}},
+    }
+    text = "The year 2024 and SOME words"
+    for name, change in changes.items():
+        path = str(tmp_path / f"{name}.json")
+        json.dump(spec | change, open(path, "w", encoding="utf-8"))
+        assert not byte_level(spec | change)
+        ids = encode(path, text)
+        assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids != encode(PATH, text), name
+
+
 def check(out: pd.DataFrame, texts: dict, capacity: int):
     hf = Tokenizer.from_file(PATH)
     for doc_id, text in texts.items():
