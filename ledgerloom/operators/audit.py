@@ -10,7 +10,7 @@ def capture_changes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFram
     """A row for each key whose state differs between two versions: old and new state as JSON, who did it."""
     cols = sorted(set(old.columns) & set(new.columns) - {key})
     pack = lambda df, n: df.select(key, F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(n), F.xxhash64(*cols).alias("h_" + n), *([F.col("resolved_by").alias("_by")] if n == "new_state" and "resolved_by" in df.columns else []))
-    rows = pack(old, "old_state").join(pack(new, "new_state"), key).where("h_old_state <> h_new_state")
+    rows = pack(old, "old_state").join(pack(new, "new_state").hint("merge"), key).where("h_old_state <> h_new_state")
     actor = F.coalesce("_by", F.lit("system")) if "_by" in rows.columns else F.lit("system")
     return rows.select(F.lit("exceptionqueue").alias("entity_type"), F.col(key).alias("entity_id"), F.lit("UPDATE").alias("action"), actor.alias("actor"), "old_state", "new_state")
 
@@ -39,9 +39,9 @@ def audit_integrity(queue: DataFrame, trail: DataFrame, sample: int = 25) -> Dat
     how many entries name no person."""
     settled = queue.where("state IN ('RESOLVED', 'REJECTED')").select("id").distinct()
     seen = trail.select(F.col("entity_id").alias("id")).distinct()
-    marked = settled.join(seen.withColumn("seen", F.lit(True)), "id", "left")
+    marked = settled.join(seen.withColumn("seen", F.lit(True)).hint("merge"), "id", "left")
     counts = marked.agg(F.count(F.lit(1)).alias("settled"), F.count_if("seen").alias("audited"))
-    missing = settled.join(seen, "id", "left_anti").orderBy("id").limit(sample).agg(F.array_sort(F.collect_list("id")).alias("sample"))
+    missing = settled.join(seen.hint("merge"), "id", "left_anti").orderBy("id").limit(sample).agg(F.array_sort(F.collect_list("id")).alias("sample"))
     system = trail.agg(F.count_if(F.col("actor") == "system").alias("by_system"))
     share = F.round(F.try_divide(F.col("audited").cast("double"), F.nullif("settled", F.lit(0)).cast("double")), 4)
     return counts.join(F.broadcast(missing)).join(F.broadcast(system)).select("settled", "audited", (F.col("settled") - F.col("audited")).alias("missing"), share.alias("coverage"), "sample", "by_system")

@@ -26,7 +26,7 @@ def _unordered(df: DataFrame) -> DataFrame:
 def grade_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Precision and recall over unordered pairs, each leg a pair."""
     said, true = _unordered(pairs), _unordered(truth)
-    n = said.join(true.withColumn("hit", F.lit(True)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("said"), F.count_if("hit").alias("correct"))
+    n = said.join(true.withColumn("hit", F.lit(True)).hint("merge"), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("said"), F.count_if("hit").alias("correct"))
     return n.join(F.broadcast(true.agg(F.count(F.lit(1)).alias("true")))).select("said", "true", "correct", _share("correct", "said").alias("precision"), _share("correct", "true").alias("recall"))
 
 
@@ -41,7 +41,7 @@ def grade_coverage(truth: DataFrame, pairs: DataFrame, nominated: DataFrame) ->
 
 def grade_triage(triaged: DataFrame, truth: DataFrame) -> DataFrame:
     """Per archetype: rows of the key (transaction_id, archetype, expected), those reached by triage, those right."""
-    rows = truth.join(triaged.select("transaction_id", "category"), "transaction_id", "left")
+    rows = truth.join(triaged.select("transaction_id", "category").hint("merge"), "transaction_id", "left")
     n = rows.groupBy("archetype").agg(F.count(F.lit(1)).alias("in_key"), F.count("category").alias("reached"), F.count_if(F.col("category") == F.col("expected")).alias("correct"))
     return n.withColumn("accuracy", _share("correct", "reached"))
 

@@ -75,7 +75,7 @@ def match_rate_series(txns: DataFrame, pairs: DataFrame, runs: DataFrame, first:
     p = pairs.where(F.col("matched_on").between(first, last)).groupBy(F.col("matched_on").alias("day")).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("match_type") == "RULE").alias("rule"), F.count_if(F.col("match_type") == "ML").alias("ml"))
     r = runs.where("status = 'COMPLETED'").groupBy(F.to_date("started_at").alias("day")).agg(F.round(F.avg(F.col("duration_ms").cast("double")), 4).alias("avg_latency_ms"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    rows = days.join(v, "day", "left").join(p, "day", "left").join(r, "day", "left")
+    rows = days.join(v.hint("merge"), "day", "left").join(p.hint("merge"), "day", "left").join(r.hint("merge"), "day", "left")
     rows = rows.select("day", zero("volume").alias("volume"), zero("pairs").alias("pairs"), zero("rule").alias("rule"), zero("ml").alias("ml"), "avg_latency_ms")
     rows = rows.withColumn("matched", F.least("volume", 2 * F.col("pairs")))
     return rows.select("day", "volume", "matched", (F.col("volume") - F.col("matched")).alias("unmatched"), "rule", "ml", ratio(F.col("matched"), F.col("volume")).alias("rate"), "avg_latency_ms")

@@ -35,7 +35,7 @@ def reference_agreement(a: Column, b: Column) -> Column:
 def score_pairs(pairs: DataFrame, internal: DataFrame, external: DataFrame) -> DataFrame:
     """Pairs (internal_id, external_id, similarity) with their components and confidence, four places."""
     side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p[0]}_{c}") for c in ("amount", "txn_date", "reference_code")])
-    rows = pairs.join(side(internal, "internal"), "internal_id").join(side(external, "external"), "external_id")
+    rows = pairs.join(side(internal, "internal").hint("merge"), "internal_id").join(side(external, "external").hint("merge"), "external_id")
     parts = {
         "c_description": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))),
         "c_amount": amount_proximity(F.col("i_amount"), F.col("e_amount")),
@@ -111,7 +111,7 @@ def best_near_miss(below: DataFrame) -> DataFrame:
 
 def nominations(scored: DataFrame, above: DataFrame) -> DataFrame:
     """(id, other, confidence, rank) of all scored pairs that touch no confirmed row."""
-    free = scored.join(above.select("internal_id"), "internal_id", "left_anti").join(above.select("external_id"), "external_id", "left_anti")
+    free = scored.join(above.select("internal_id").hint("merge"), "internal_id", "left_anti").join(above.select("external_id").hint("merge"), "external_id", "left_anti")
     return _by_side(free).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "other")))
 
 
@@ -148,7 +148,7 @@ def one_sided(rows: DataFrame) -> DataFrame:
 def threshold_sweep(assigned: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, confirmed, correct, wrong) over pairs scored once. The thresholds are a short list of the caller's."""
     spark = assigned.sparkSession
-    marked = assigned.join(truth.withColumn("true", F.lit(True)), ["internal_id", "external_id"], "left")
+    marked = assigned.join(truth.withColumn("true", F.lit(True)).hint("merge"), ["internal_id", "external_id"], "left")
     at = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     grid = marked.withColumn("threshold", at).where(confirmed(F.col("threshold")))
     counts = grid.groupBy("threshold").agg(F.count(F.lit(1)).alias("confirmed"), F.count_if("true").alias("correct"))

@@ -40,7 +40,7 @@ def match_rows(pairs: DataFrame) -> DataFrame:
 def ledger_postings(pairs: DataFrame, txns: DataFrame) -> DataFrame:
     """Debit of the internal amount and credit of the external one for each pair; neither where an amount is missing."""
     amount = lambda n: txns.select(F.col("id").alias(f"{n}_id"), F.col("amount").alias(n))
-    rows = pairs.join(amount("internal"), "internal_id").join(amount("external"), "external_id").where("internal IS NOT NULL AND external IS NOT NULL")
+    rows = pairs.join(amount("internal").hint("merge"), "internal_id").join(amount("external").hint("merge"), "external_id").where("internal IS NOT NULL AND external IS NOT NULL")
     entry = lambda n, kind: F.struct(F.col(f"{n}_id").alias("transaction_id"), F.lit(kind).alias("entry_type"), F.col(n).alias("amount"))
     return rows.select("internal_id", "external_id", F.explode(F.array(entry("internal", "DEBIT"), entry("external", "CREDIT"))).alias("e")).select("internal_id", "external_id", "e.*")
 

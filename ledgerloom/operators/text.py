@@ -161,4 +161,4 @@ def flag_outliers(docs: DataFrame, neighbours: int = 5, cut: float = 1.5, known:
 
 def isolated_ids(clusters: DataFrame, outliers: DataFrame) -> DataFrame:
     """Rows in no cluster that are outliers too."""
-    return clusters.where("cluster = '-1'").join(outliers.where("outlier"), "id", "left_semi").select("id")
+    return clusters.where("cluster = '-1'").join(outliers.where("outlier").hint("merge"), "id", "left_semi").select("id")

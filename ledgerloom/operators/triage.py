@@ -139,7 +139,7 @@ def apply_suggestions(queue: DataFrame, suggested: DataFrame) -> DataFrame:
     """The next version of queue rows that have a suggestion: category, confidence, state SUGGESTED."""
     s = suggested.select("id", F.col("category").alias("_c"), F.col("category_confidence").alias("_p"), "fields")
     hit = F.col("_c").isNotNull() & (F.col("state") == "OPEN")
-    out = queue.drop("category", "fields").join(s, "id", "left")
+    out = queue.drop("category", "fields").join(s.hint("merge"), "id", "left")
     new = {"state": F.when(hit, "SUGGESTED").otherwise(F.col("state")), "category": F.when(hit, F.col("_c")), "category_confidence": F.when(hit, F.col("_p")).cast("decimal(5,4)")}
     return out.withColumns(new).drop("_c", "_p")
 
@@ -151,7 +151,7 @@ def usable_label(decision: Column, category: Column) -> Column:
 def apply_decisions(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decisions (id, decision, actor, decided_at, corrected_category) over the queue: the changed rows, and the
     decisions refused because the row is unknown or settled or the decision is none."""
-    d = decisions.join(queue.select("id", "state", "category"), "id", "left")
+    d = decisions.join(queue.select("id", "state", "category").hint("merge"), "id", "left")
     ok = F.coalesce(F.col("state").isin("OPEN", "SUGGESTED") & F.col("decision").isin("ACCEPT", "REJECT", "EDIT") & ((F.col("decision") != "EDIT") | F.col("corrected_category").isNotNull()), F.lit(False))
     why = F.when(F.col("state").isNull(), "unknown exception").when(~F.col("state").isin("OPEN", "SUGGESTED"), "already settled").otherwise("invalid decision")
     final = F.when(F.col("decision") == "EDIT", F.col("corrected_category")).otherwise(F.col("category"))

@@ -102,7 +102,7 @@ def _(s, d):
 
 def same_key(s, d):
     a, b = ledger(s, d).select("k", F.col("id").alias("internal_id")), statement(s, d).select("k", F.col("id").alias("external_id"))
-    return a.join(b, "k").select("internal_id", "external_id")
+    return a.join(b.hint("merge"), "k").select("internal_id", "external_id")
 
 
 @q("pair_similarity", f"""WITH {LEDGER_SQL}, {TERMS_SQL}, p AS (SELECT l.id AS i, s.id AS e FROM ledger l JOIN statement s USING (k)),
@@ -149,7 +149,7 @@ def _(s, d):
 def _(s, d):
     t = transactions(s, d)
     m = text.tfidf_fit(t)
-    v = text.tfidf_transform(t, m).join(statement(s, d).select("id"), "id", "left_semi")
+    v = text.tfidf_transform(t, m).join(statement(s, d).select("id").hint("merge"), "id", "left_semi")
     return text.similar_texts(v, m, 0.6).select("a", "b", F.round("cos", 5).alias("cos"))
 
 
@@ -214,7 +214,7 @@ scored AS (SELECT internal_id, external_id, round(c_description * 0.40 + c_amoun
 
 def _joined(s, d):
     side = lambda df, p: df.select("k", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "amount", "txn_date", "description", "reference_code")])
-    return side(ledger(s, d), "l").join(side(statement(s, d), "s"), "k")
+    return side(ledger(s, d), "l").join(side(statement(s, d), "s").hint("merge"), "k")
 
 
 @q("amount_proximity", f"WITH {LEDGER_SQL}, {PARTS_SQL} SELECT external_id, round(c_amount, 6) AS v FROM parts")

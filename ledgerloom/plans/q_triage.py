@@ -24,7 +24,7 @@ def q(name, sql=None):
 def open_queue(s, d):
     """Open exceptions of ledger rows that no rule matched, with all receipts of their order as candidates."""
     legs = statement(s, d).groupBy("k").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    rows = ledger(s, d).where("b >= 62").join(legs, "k", "left")
+    rows = ledger(s, d).where("b >= 62").join(legs.hint("merge"), "k", "left")
     return rows.select(
         F.concat(F.lit("EXC-"), "id").alias("id"), F.col("id").alias("transaction_id"), F.lit("OPEN").alias("state"), F.col("txn_date").cast("timestamp").alias("created_at"), F.get("ids", 0).alias("best_counterpart_id"), F.col("ids").alias("candidate_ids"), F.when(F.col("ids").isNotNull(), F.lit(0.5)).alias("best_confidence"), F.lit(None).cast("string").alias("category"), "b"
     )

@@ -136,7 +136,7 @@ def _(s, d):
 SELECT id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) AS j FROM t""")
 def _(s, d):
     a, b = ledger(s, d).select("k", F.col("description").alias("x")), statement(s, d).select("k", "id", F.col("description").alias("y"))
-    return a.join(b, "k").select("id", N.jaccard_tokens(F.col("x"), F.col("y")).alias("j"))
+    return a.join(b.hint("merge"), "k").select("id", N.jaccard_tokens(F.col("x"), F.col("y")).alias("j"))
 
 
 @q("format_values", f"WITH {LEDGER_SQL} SELECT id, CASE WHEN k % 5 = 0 THEN '—' ELSE currency || ' ' || format('{{:,.2f}}', CAST(amount AS DOUBLE)) END AS money FROM ledger")

@@ -11,7 +11,7 @@ def load_backlog(txns: DataFrame, matched: DataFrame, queue: DataFrame, limit: i
     used = matched.select(F.explode(F.array("internal_id", "external_id")).alias("id")).distinct()
     rows = txns.join(used.hint("merge"), "id", "left_anti")
     if not include_open:
-        rows = rows.join(queue.where("state IN ('OPEN', 'SUGGESTED')").select(F.col("transaction_id").alias("id")), "id", "left_anti")
+        rows = rows.join(queue.where("state IN ('OPEN', 'SUGGESTED')").select(F.col("transaction_id").alias("id")).hint("merge"), "id", "left_anti")
     rows = rows.orderBy("txn_date", "id")
     return rows.limit(limit) if limit else rows
 
@@ -20,9 +20,9 @@ def load_quarantined(quarantine: DataFrame, ids: DataFrame | None = None, finger
     """Payloads not replayed yet, by id or fingerprint where given, oldest first."""
     rows = quarantine.where("replayed_at IS NULL")
     if ids is not None:
-        rows = rows.join(ids.select("id"), "id", "left_semi")
+        rows = rows.join(ids.select("id").hint("merge"), "id", "left_semi")
     if fingerprints is not None:
-        rows = rows.join(fingerprints.select("fingerprint"), "fingerprint", "left_semi")
+        rows = rows.join(fingerprints.select("fingerprint").hint("merge"), "fingerprint", "left_semi")
     rows = rows.orderBy("quarantined_at", "id")
     return rows.limit(limit) if limit else rows
 
