@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import staged, unstage
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Words of the stretches whose length-normalised likelihoods are compared.
@@ -24,6 +24,8 @@ STEM = 5
 TIMES = 3.0
 #: Counts that a task holds before it hands them on: bounded memory, the same sums.
 FLUSH = 200_000
+#: Words, or pairs of them, that a model may have: some 200 MB in the driver and in every worker.
+MOST = 2_000_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -59,6 +61,16 @@ def telling(n0: Column, n1: Column, share: float, words: int) -> Column:
     return (2 * (part(n0, 1 - share) + part(n1, share)) > 2 * float(np.log(max(words, 3)))) & (F.greatest(times, 1 / times) >= TIMES)
 
 
+def _gathered(table: DataFrame, what: str, most: int) -> pd.DataFrame:
+    """A staged table of a model, in the driver, after a look at its size. No entry is left out: a larger one is an error."""
+    n = table.count()
+    if n > most:
+        raise ValueError(f"the toxicity model has {n} {what}, more than the {most} that may be sent to every worker (`most`)")
+    out = table.toPandas()
+    unstage(table)
+    return out
+
+
 class KneserNey:
     """Interpolated Kneser-Ney bigram models of toxic and of ordinary text over one vocabulary.
 
@@ -108,8 +120,9 @@ class KneserNey:
         self._estimate(into, keys, counts)
 
     @classmethod
-    def counted(cls, rows: DataFrame, least: int = 5) -> KneserNey:
-        """The same model of (text, y), y = 1 for toxic text, of different texts, with all counting done by Spark."""
+    def counted(cls, rows: DataFrame, least: int = 5, most: int = MOST) -> KneserNey:
+        """The same model of (text, y), y = 1 for toxic text, of different texts, with all counting done by Spark. Only the chosen
+        words and their pairs come to the driver, at most `most` of each (checked before)."""
         self = cls.__new__(cls)
         seen = rows.select("text", "y").mapInPandas(_documents, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         seen = staged(seen, "toxicity-words")
@@ -120,7 +133,8 @@ class KneserNey:
         ok = telling(F.col("n0"), F.col("n1"), share, words) & (F.col("n0") + F.col("n1") >= least)
         marked = seen.withColumn("ok", ok)
         stems = marked.where("NOT ok").groupBy(F.concat(F.substring("w", 1, STEM), F.lit("*")).alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(ok)
-        self._index(set(marked.where("ok").select("w").unionByName(stems.select("w")).toPandas()["w"]))
+        self._index(set(_gathered(staged(marked.where("ok").select("w").unionByName(stems.select("w")), "toxicity-chosen"), "words", most)["w"]))
+        unstage(seen)
         index = rows.sparkSession.sparkContext.broadcast(self)
 
         def before(keys_of: Callable, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +160,8 @@ class KneserNey:
 
         def counts(keys_of: Callable, name: str) -> pd.DataFrame:
             found = rows.select("text", "y").mapInPandas(partial(before, keys_of), "y int, a string, key long").distinct()
-            return staged(found.groupBy("key").agg(*[F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)]), name).toPandas().sort_values("key")
+            found = staged(found.groupBy("key").agg(*[F.count_if(F.col("y") == c).alias(f"n{c}") for c in (0, 1)]), name)
+            return _gathered(found, "keys", most).sort_values("key")
 
         # One after the other and staged, so that the shuffle files of each are gone before the next.
         words, pairs = counts(of_words, "toxicity-into"), counts(of_pairs, "toxicity-pairs")
@@ -284,17 +299,18 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column | None, max_toxic
     keys = texts.select("doc_id", F.col("h1").alias("_h1"), "y", held.alias("held"))
     rows = docs.join(keys.hint("merge"), "doc_id").where(F.xxhash64(h) == F.col("_h1"))
     rows = staged(rows.select("text", "y", "held"), "toxicity-texts")
+    unstage(texts)
     return rows.where("NOT held").select("text", "y"), rows.where("held").select("text", "y"), counts
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_toxic: int = 1500, max_ordinary: int = 2500) -> Toxicity | None:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_toxic: int = 1500, max_ordinary: int = 2500, most: int = MOST) -> Toxicity | None:
     """The n-gram counts come from all labelled texts but those of a bounded sample (see `labelled`). On these, which the counts
     have not seen, the weights of the ratios are fitted; a row weighs as many texts of its label as it stands for, so both
     classes have their share among the labels at every size. Of the sample only the features come to the driver."""
     counted, sample, counts = labelled(docs, labels, learn, max_toxic, max_ordinary)
     if {r.y for r in counted.select("y").distinct().collect()} != {0, 1}:
         return None
-    lm = KneserNey.counted(counted)
+    lm = KneserNey.counted(counted, most=most)
     shared = docs.sparkSession.sparkContext.broadcast(lm)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,7 +337,8 @@ def score(docs: DataFrame, model: Toxicity | None, threshold: float = 0.3) -> Da
     Null and empty texts get the score of a text without words; where nothing could be learned
     every score is 0. Repeated rows return as often as they come, null ids pass through, other
     columns are never looked at, an empty table gives an empty result. The model is broadcast; it has the words, and the
-    pairs of them, that set the two classes apart (see KneserNey), not the vocabulary.
+    pairs of them, that set the two classes apart (see KneserNey), not the vocabulary; `train` checks that they are at most
+    MOST of each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from ledgerloom.llm import toxicity
 from ledgerloom.llm.toxicity import KneserNey, tokens
@@ -31,6 +32,24 @@ def test_spark_counts_are_those_of_one_process(spark):
             assert np.allclose(getattr(got, name)[c], getattr(want, name)[c])
 
 
+def test_size_of_the_model_is_checked(spark):
+    rows = [(i, f"{'vile wretched' if i % 3 == 0 else 'nice day'} {chr(97 + i % 26)}x", int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    assert len(KneserNey.counted(df, most=1000).vocab) >= 4
+    with pytest.raises(ValueError, match="words, more than the 1 "):
+        KneserNey.counted(df, most=1)
+
+
+def test_score_over_empty_and_repeated_rows(spark):
+    rows = corpus(600)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df)
+    assert toxicity.score(df.limit(0), model).count() == 0
+    twice = spark.createDataFrame([(5, "wab wac", 1), (5, "wab wac", 1), (None, "wab wac", 1)], "doc_id long, text string, score int")
+    got = toxicity.score(twice, model).collect()
+    assert len(got) == 3 and len({r.score for r in got}) == 1 and [r.doc_id for r in got].count(5) == 2
+
+
 def test_caps_leave_counts_and_intercept(spark):
     rows = corpus(3000)
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
