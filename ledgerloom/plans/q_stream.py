@@ -88,8 +88,10 @@ def _(s, d):
     path, out = work_dir(s, "topic"), work_dir(s, "kafka")
     rows = raw_feed(s, d).select(F.col("k").cast("string").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("raw_transactions").alias("topic"), F.pmod("k", F.lit(4)).cast("int").alias("partition"), F.col("k").cast("long").alias("offset"), F.lit(AS_OF).cast("timestamp").alias("timestamp"))
     rows = rows.unionByName(rows.where("offset % 10 = 0").withColumn("value", F.lit(None).cast("binary")))
-    rows.repartition(4).write.parquet(path)
-    messages = feeds.kafka_messages(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    # Four batches, each of as many files as there are cores.
+    cores = s.sparkContext.defaultParallelism
+    rows.repartition(4 * cores).write.parquet(path)
+    messages = feeds.kafka_messages(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", cores).parquet(path))
     S.validated_stream(messages, AS_OF).select("key", F.coalesce("stage", F.lit("passed")).alias("stage")).writeStream.format("parquet").option("path", out).option("checkpointLocation", work_dir(s, "stream")).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(out).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
 

@@ -128,3 +128,49 @@ def test_split_takes_an_exact_share_of_each_class(spark, sizes):
     own = F.percent_rank().over(Window.partitionBy("category").orderBy(h, "id")) < 0.25
     want = rows.withColumn("held", h < 2**30 if min(sizes) < 2 else own).collect()
     assert got == {r.id: r.held for r in want}
+
+
+def test_state_has_a_key_for_each_bucket_and_not_for_each_record(spark, tmp_path):
+    from ledgerloom.streaming import stream as S
+
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    before = {k: spark.conf.get(k) for k in S.STATE}
+    for k, v in S.STATE.items():
+        spark.conf.set(k, v)
+    seen = []
+    try:
+        for lot in (range(0, 200), range(150, 300)):  # fifty copies in the second batch
+            write_feed(feed, [record(i) for i in lot] + [record(lot[0]), "no object"])
+            marked = S.mark_copies(validated_stream(spark.readStream.text(str(feed)), "2026-01-31"), buckets=3)
+            q = marked.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: seen.extend(b.select("external_id", "copy").collect())).trigger(availableNow=True).start()
+            q.awaitTermination()
+            # The buckets and what keeps their time to live.
+            assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < 30
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(not r["copy"] for r in seen if r["external_id"]) == 300 and sum(r["copy"] for r in seen) == 52
+    assert [r["copy"] for r in seen if not r["external_id"]] == [False, False]
+
+
+def test_dedupe_reads_the_stream_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    feed = tmp_path / "feed"
+    write_feed(feed, [record(1), record(1), "no object", "no object"])
+    s = validated_stream(spark.readStream.text(str(feed)).withColumn("ingested_at", F.current_timestamp()), "2026-01-31")
+    q = dedupe_by_fingerprint(s).select("fingerprint").writeStream.format("memory").queryName("read_once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("read_once").count() == 3 and sum(p["numInputRows"] for p in q.recentProgress) == 4
+
+
+def test_a_topic_is_read_by_all_cores(spark):
+    from pathlib import Path
+
+    from ledgerloom.operators.frames import shared_dir
+    from ledgerloom.plans.registry import queries
+
+    queries()["read_kafka"](spark, "/root/testdata/sf0.001").collect()
+    topic = max(Path(shared_dir(spark).removeprefix("file:")).glob("topic-*"), key=lambda p: p.stat().st_mtime)
+    assert len(list(topic.glob("part-*"))) == 4 * spark.sparkContext.defaultParallelism
