@@ -124,3 +124,25 @@ def test_a_chain_of_5000_links_and_stars(spark, monkeypatch):
     rows = list({(a, b): (a, b, c) for a, b, c in rows}.values())
     assert assigned(spark, rows) == one_by_one(rows)
     assert staged.count("taken") < 30
+
+
+def test_amounts_meet_only_the_places_around_them(spark, monkeypatch):
+    import random
+    from datetime import date
+
+    from ledgerloom.operators import block
+
+    r, day, made = random.Random(5), date(2026, 1, 1), {}
+    monkeypatch.setattr(block, "staged", lambda df, name, f=block.staged: made.setdefault(name, f(df, name)))
+    # Few amounts, so that many rows tie, on both sides of an amount and on it, and more below zero.
+    amount = lambda: float(r.choice([-1, 1]) * r.randint(90, 110) * r.choice([1, 1, 1, 0.5]))
+    i = [(f"I{k:03}", amount(), day) for k in range(120)]
+    e = [(f"E{k:03}", amount(), day) for k in r.sample(range(900), 900)]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, amount double, txn_date date")
+    got = {(x.internal_id, x.external_id) for x in block.candidates_by_amount(frame(i), frame(e)).collect()}
+    want = set()
+    for a, x, _ in i:
+        near = sorted((abs(y - x), b) for b, y, _ in e if abs(y - x) <= 0.2 * abs(x))
+        want |= {(a, b) for _, b in near[:10]}
+    assert got == want
+    assert max(len(x.rows) for x in made["around"].collect()) <= 64 + 3 * 10
