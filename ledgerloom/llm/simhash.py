@@ -323,7 +323,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ban
     pair meets in one of twelve with a chance of 0.998. In a bucket the fingerprints are compared bit-sliced within `radius` (at
     0.8 they differ in about ten of 64 bits, over 22 one time in ten thousand), and of the links the two nearest of each member
     and a tree of the least distances go on. Their likeness is then computed from the shingles, so no link is
-    below `similarity`; a link is missed only where other, nearer ones took its place and failed.
+    below `similarity`. All other links of a bucket between texts that these do not join are computed after that, so none within the
+    radius is left out.
 
     Texts without a word are alike; shorter ones than `words` are one shingle; null text is empty; an empty table gives an
     empty result.
@@ -351,11 +352,36 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ban
 
     side = lambda name, to: known.select(F.col("rid").alias(name), F.col("shingles").alias(to))
     pairs = links.join(side("u", "a").hint("merge"), "u").join(side("v", "b").hint("merge"), "v")
-    roots = staged(components(pairs.mapInPandas(alike, "u long, v long"), "similar"), "similar-roots")
+    held = staged(pairs.mapInPandas(alike, "u long, v long"), "similar-held")
+    roots = staged(components(held, "similar"), "similar-roots")
+    # What the nearest and the trees left out can only matter between texts that are not joined yet: in buckets that still hold several
+    # roots every link within the radius between two of them is computed too, unless it was before.
+    rooted = rows.join(roots.select(F.col("node").alias("rid"), "root").hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    several = rooted.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # Of three members each has both others among its two nearest.
+    open_ = staged(rooted.join(several.where("n > 3 AND low < high").select("k", "key").hint("merge"), ["k", "key"], "left_semi"), "similar-open")
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        rid, root = pdf["rid"].to_numpy(dtype=np.int64), pdf["root"].to_numpy(dtype=np.int64)
+        i, j = _links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64).copy(), pdf["task"].to_numpy(), radius)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        return pd.DataFrame({"u": np.minimum(rid[i], rid[j]), "v": np.maximum(rid[i], rid[j])})
+
+    more = in_buckets(open_, ["k", "key"], ["rid"], ["rid", "fp", "root"], between, "u long, v long").distinct()
+    more = staged(more.join(links.hint("merge"), ["u", "v"], "left_anti"), "similar-more")
+    pairs = more.join(side("u", "a").hint("merge"), "u").join(side("v", "b").hint("merge"), "v")
+    late = staged(pairs.mapInPandas(alike, "u long, v long"), "similar-late")
+    first = roots
+    if late.limit(1).count():
+        roots = staged(components(held.unionByName(late), "similar"), "similar-roots")
+        unstage(first)
+    unstage(open_)
+    unstage(more)
     named = kinds.join(roots.hint("merge"), kinds.rep == roots.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     named = staged(named, "similar-named")
     out = staged(known.select("rid", "d1", "d2").join(named.hint("merge"), ["d1", "d2"]).select("rid", "root"), "similar-groups")
     # The sets of shingles are the largest of all that was written down; nothing reads them any more.
-    for done in (known, kinds, links, roots, named):
+    for done in (known, kinds, links, held, late, roots, named):
         unstage(done)
     return out

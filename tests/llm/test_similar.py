@@ -121,3 +121,25 @@ def test_every_stage_keeps_columns_and_edges(spark, odd):
             assert sorted(r.source for r in rows if r.source not in ("s3", "s4")) == ["s0", "s1", "s7", "s8", "s9"] and len(rows) == 6
         if name == "PII":
             assert len(rows) == odd.count() and {r.text for r in rows if r.source in ("s0", "s2")} == {"beta mail [EMAIL]", "BETA mail [EMAIL]"}
+
+
+def test_no_link_of_a_bucket_gives_way_to_nearer_ones_that_fail(spark):
+    from ledgerloom.llm import simhash as S
+
+    # 90 edited versions of one text, of which many are nearer in their fingerprints than in their shingles.
+    r, similarity = random.Random(1), 0.8
+    base = [f"w{r.randrange(900)}" for _ in range(60)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for p in r.sample(range(60), r.choice([1, 2, 3])):
+            w[p] = f"x{r.randrange(900)}"
+        texts.append(" ".join(w))
+    hashes = [np.unique(S.shingle_hashes(t, 5)) for t in texts]
+    keys = [S.least_shingles(h, 12, 4) for h in hashes]
+    fps = [S.fingerprint(t, 5) for t in texts]
+    sets = [set(h.tolist()) for h in hashes]
+    links = [(i, j) for i in range(90) for j in range(i) if (keys[i] == keys[j]).any() and (fps[i] ^ fps[j]).bit_count() <= 22 and like(sets[i], sets[j]) >= similarity]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rid long, text string")
+    root = {x.rid: x.root for x in similar_groups(rows, similarity=similarity).collect()}
+    assert links and not [(i, j) for i, j in links if root[i] != root[j]]
