@@ -315,6 +315,61 @@ def nearest_links(fp: np.ndarray, bucket: np.ndarray, radius: int, nearest: int
     return i[take], j[take]
 
 
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, width: int = 2048) -> np.ndarray:
+    """How many elements the sets i and j of each pair share. Many pairs are counted at once, by products of 0-1 matrices of `width`
+    elements each; elements that one set alone has are left out."""
+    if len(i) < 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count[column] > 1
+    owner, column = owner[common], (np.cumsum(count > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)  # whole numbers under 2^24 are exact
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        start, end = np.searchsorted(column, [low, low + width])
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[owner[start:end], column[start:end] - low] = 1
+        total += part @ part.T
+    return total[i, j].astype(np.int64)
+
+
+def ties_between(fp: np.ndarray, root: np.ndarray, sets: list[np.ndarray], bucket: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ties (u, v) of roots in each bucket (sorted): of all pairs of different roots within the radius those alike by `similarity` count, and each
+    root is tied to the least that these reach, so a bucket gives fewer ties than it has roots."""
+    i, j = _links(fp, bucket, radius)
+    apart = root[i] != root[j]
+    i, j = i[apart], j[apart]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    sizes, u, v = np.array([len(x) for x in sets], dtype=np.int64), [], []
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() + [len(fp)]
+    for low, high in zip(edges, edges[1:]):
+        start, end = np.searchsorted(i, [low, high])
+        if start == end:
+            continue
+        a, b = i[start:end], j[start:end]
+        shared = shared_counts(sets[low:high], a - low, b - low)
+        held = shared >= similarity * (sizes[a] + sizes[b] - shared)
+        names, place = np.unique(np.concatenate([root[a[held]], root[b[held]]]), return_inverse=True)
+        x, y = place[: held.sum()], place[held.sum() :]
+        label = np.arange(len(names))
+        while True:
+            before = label.copy()
+            least = np.minimum(label[x], label[y])
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+            label = label[label]
+            if (label == before).all():
+                break
+        tied = label != np.arange(len(names))
+        u.append(names[label[tied]])
+        v.append(names[tied])
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(u), np.concatenate(v)) if u else (none, none)
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 12, band_rows: int = 4, radius: int = 22) -> DataFrame:
     """(rid, root) of rows (rid, text), rid a unique long: root is the same for rows whose sets of word shingles links of
     `similarity` or more (shared shingles over all of both) connect.
@@ -355,29 +410,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ban
     held = staged(pairs.mapInPandas(alike, "u long, v long"), "similar-held")
     roots = staged(components(held, "similar"), "similar-roots")
     # What the nearest and the trees left out can only matter between texts that are not joined yet: in buckets that still hold several
-    # roots every link within the radius between two of them is computed too, unless it was before.
+    # roots every link within the radius between two of them is computed too, in the task that compares them; no pair leaves it, only ties of roots.
     rooted = rows.join(roots.select(F.col("node").alias("rid"), "root").hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     several = rooted.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     # Of three members each has both others among its two nearest.
     open_ = staged(rooted.join(several.where("n > 3 AND low < high").select("k", "key").hint("merge"), ["k", "key"], "left_semi"), "similar-open")
 
     def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        rid, root = pdf["rid"].to_numpy(dtype=np.int64), pdf["root"].to_numpy(dtype=np.int64)
-        i, j = _links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64).copy(), pdf["task"].to_numpy(), radius)
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-        return pd.DataFrame({"u": np.minimum(rid[i], rid[j]), "v": np.maximum(rid[i], rid[j])})
+        sets = [np.frombuffer(x, dtype="<u4") for x in pdf["shingles"]]
+        u, v = ties_between(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64).copy(), pdf["root"].to_numpy(dtype=np.int64), sets, pdf["task"].to_numpy(), radius, similarity)
+        return pd.DataFrame({"u": u, "v": v})
 
-    more = in_buckets(open_, ["k", "key"], ["rid"], ["rid", "fp", "root"], between, "u long, v long").distinct()
-    more = staged(more.join(links.hint("merge"), ["u", "v"], "left_anti"), "similar-more")
-    pairs = more.join(side("u", "a").hint("merge"), "u").join(side("v", "b").hint("merge"), "v")
-    late = staged(pairs.mapInPandas(alike, "u long, v long"), "similar-late")
+    wide = open_.join(side("rid", "shingles").hint("merge"), "rid")
+    late = staged(in_buckets(wide, ["k", "key"], ["rid"], ["rid", "fp", "root", "shingles"], between, "u long, v long").distinct(), "similar-late")
     first = roots
     if late.limit(1).count():
         roots = staged(components(held.unionByName(late), "similar"), "similar-roots")
         unstage(first)
     unstage(open_)
-    unstage(more)
     named = kinds.join(roots.hint("merge"), kinds.rep == roots.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     named = staged(named, "similar-named")
     out = staged(known.select("rid", "d1", "d2").join(named.hint("merge"), ["d1", "d2"]).select("rid", "root"), "similar-groups")

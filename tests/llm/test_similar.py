@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from ledgerloom.llm import simhash
 from ledgerloom.llm.simhash import nearest_links, similar_groups
 
 SF = "/root/testdata/sf0.001"
@@ -143,3 +144,35 @@ def test_no_link_of_a_bucket_gives_way_to_nearer_ones_that_fail(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rid long, text string")
     root = {x.rid: x.root for x in similar_groups(rows, similarity=similarity).collect()}
     assert links and not [(i, j) for i, j in links if root[i] != root[j]]
+
+
+def test_ties_between_roots_are_few_and_those_of_all_pairs():
+    r = np.random.default_rng(5)
+    common = r.choice(1 << 30, 400, replace=False).astype("<u4")
+    # 240 near copies in 12 roots; half of the roots are too far from all others to be linked.
+    root = np.repeat(np.arange(100, 112), 20)
+    sets = [np.unique(np.concatenate([common[: 400 if g % 2 else 250 + 5 * (g - 100)], r.choice(1 << 30, 20).astype("<u4")])) for g in root]
+    fp, bucket = np.zeros(len(root), dtype=np.uint64), np.zeros(len(root), dtype=np.int64)
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    parent = {int(g): int(g) for g in root}
+
+    def top(g):
+        while parent[g] != g:
+            g = parent[g]
+        return g
+
+    for x in range(len(root)):
+        for y in range(x):
+            if root[x] != root[y] and alike(sets[x], sets[y]):
+                a, b = sorted((top(int(root[x])), top(int(root[y]))))
+                parent[b] = a
+    u, v = simhash.ties_between(fp, root, sets, bucket, 22, 0.8)
+    assert len(u) < 12
+    assert {int(b): int(a) for a, b in zip(u, v)} == {g: top(g) for g in parent if top(g) != g}
+
+
+def test_shared_counts_in_several_columns():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.choice(200, 80).astype("<u4")) for _ in range(30)]
+    i, j = np.triu_indices(30, 1)
+    assert simhash.shared_counts(sets, i, j, width=16).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
