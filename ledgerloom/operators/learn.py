@@ -10,6 +10,7 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.frames import staged
 from ledgerloom.operators.triage import FEATURES, classify_rules, usable_label
 
 LEAST_SAMPLES, TRIGGER = 8, 200
@@ -46,7 +47,7 @@ def stratified_split(samples: DataFrame, label: str = "category", share: float =
     """
     h = F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(-1))
     # As text, so that a missing class is one of its own.
-    rows = samples.withColumns({"_class": F.to_json(F.struct(label)), "_h": h}).withColumn("_bin", F.floor(F.col("_h") / (1 << 20)))
+    rows = staged(samples, "labelled").withColumns({"_class": F.to_json(F.struct(label)), "_h": h}).withColumn("_bin", F.floor(F.col("_h") / (1 << 20)))
     bins = rows.groupBy("_class", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy("_class")
     bins = bins.withColumns({"_all": F.sum("_n").over(own), "_upto": F.sum("_n").over(own.orderBy("_bin"))})
@@ -66,6 +67,8 @@ def train_forest(samples: DataFrame, trees: int = 200, seed: int = 42) -> Pipeli
     counts = samples.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("k")).first()
     if counts.n < LEAST_SAMPLES or counts.k < 2:
         return None
+    # The fit reads its rows once for each level of the trees and more, so they are written down, not made each time.
+    samples = staged(samples.select("category", *FEATURES), "samples")
     weighted = samples.join(F.broadcast(class_weights(samples).select("category", "weight")), "category")
     index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(weighted)
     stages = [index, VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep"), RandomForestClassifier(featuresCol="vector", numTrees=trees, seed=seed, weightCol="weight"), IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)]
@@ -136,7 +139,7 @@ def load_version(spark: SparkSession, root: str, version: int) -> PipelineModel:
 def retrain_if_ready(settled: DataFrame, incumbent_guess: str | None = None, trigger: int = TRIGGER, force: bool = False, trees: int = 200) -> tuple[str, PipelineModel | None]:
     """skipped, failed, rejected or promoted, with the model. The incumbent's guesses are a column of `settled`; both are
     scored on the same held-out rows."""
-    samples = stratified_split(training_set(settled))
+    samples = staged(stratified_split(training_set(settled)), "split")
     if not force and samples.count() < trigger:
         return "skipped", None
     model = train_forest(samples.where("NOT held_out"), trees)
