@@ -58,6 +58,40 @@ def test_a_hot_block_makes_few_pairs(spark, monkeypatch):
     assert sum(made) <= 20 * n  # a pair list of the block would be of n * n / 5 / 2
 
 
+@pytest.mark.parametrize("few,hot", [(0, 10**6), (64, 100), (10**6, 10**6)])
+def test_small_and_hot_blocks_equal_every_pair_ranked(spark, few, hot):
+    r = random.Random(few + hot)
+    blocks = lambda k: {f"b{k % 40}", "all" if k % 3 else f"b{r.randrange(40)}"}
+    dealt = lambda p, n: [(b, *row) for row, bs in [((f"{p}{k:05d}", float(r.randrange(1, 300)), r.randrange(40)), blocks(k)) for k in range(n)] for b in sorted(bs)]
+    rows, own = dealt("e", 400), dealt("i", 120)
+    i, e = spark.createDataFrame(own, "block string, internal_id string, ia double, day int"), spark.createDataFrame(rows, "block string, external_id string, ea double, day int")
+    got = [(x.internal_id, x.external_id, x.gap) for x in block.nearest_days(i, e, 0.05, 0.95, 20, 10, 4, few, hot).collect()]
+    assert len(got) == len(set(got)) and set(got) == by_hand(own, rows, 0.05, 0.95, 20, 10)
+
+
+def test_a_ring_leaves_a_row_no_more_than_it_can_take(spark, monkeypatch):
+    n, made, keep = 4_000, [], block.staged
+    i, e, own, _ = receipts(spark, n, 1, days=4, kinds=4000)
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "ring":
+            made.append(out.groupBy("internal_id").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(block, "staged", counted)
+    block.nearest_days(i, e, 0.05, 0.95, 20, 10)
+    assert made and max(made) <= 10
+
+
+def test_frequent_words_are_gathered_in_no_task(spark):
+    docs = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("common word"), F.col("id")).alias("description"))
+    keys = block.blocking_keys(docs)
+    assert {r.block for r in keys.collect()}.isdisjoint({"common"})
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "strategy=broadcast" in plan
+
+
 def test_ranks_of_a_key_with_half_of_all_rows(spark):
     n = 40_000
     rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("id"))
