@@ -245,8 +245,9 @@ def _(s, d):
 
 @q("duplicate_count", f"WITH {RAW_SQL} SELECT 2 * count(*) AS records, count(*) AS distinct, count(*) AS duplicates FROM marked WHERE defect IS NULL")
 def _(s, d):
+    # Each record comes twice; it is read and validated once.
     one = decisions(s, d).where("defect IS NULL").select("fingerprint")
-    return duplicate_count(one.unionByName(one))
+    return duplicate_count(one.select("fingerprint", F.explode(F.array(F.lit(1), F.lit(2))).alias("time")))
 
 
 @q("load_history_text", f"WITH {LEDGER_SQL} SELECT id, description FROM transactions WHERE description IS NOT NULL ORDER BY txn_date DESC, id LIMIT 2000")

@@ -72,3 +72,13 @@ def test_alias_order_and_keys(spark):
 
     with pytest.raises(ValueError):
         V.load_rules("[]")
+
+
+def test_records_that_come_twice_are_validated_once(spark):
+    from ledgerloom.plans import registry
+
+    df = registry.queries()["duplicate_count"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1
+    row = df.first()
+    assert row.records == 2 * row.distinct == 2 * row.duplicates > 0
