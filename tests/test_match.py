@@ -64,6 +64,28 @@ def test_similar_texts_finds_every_pair(spark):
     assert all(clusters[a] == clusters[b] != "-1" for a, b in want)
 
 
+def test_whole_vectors_are_joined_without_being_put_together_again(spark):
+    from ledgerloom.operators.frames import staged
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(12)] + ["common"] * 6
+    kinds = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 6))) for _ in range(80)} | {"x", "alone here", " ".join(f"long{k} common" for k in range(300))})
+    df = spark.createDataFrame([(f"d{i:03d}", t, t) for i, t in enumerate(kinds)], "id string, t string, description string")
+    m = text.coded(text.tfidf_fit(df))
+    made = text.text_vectors(text._dealt(df.select("id", "t"), "id"), m, "id")
+    v = staged(made, "v")
+    # Texts by key, terms and model by term, terms by key: counting the terms of a text moves nothing.
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+    w = {x.id: {y.term: y.w for y in x.vec} for x in v.collect()}
+    assert len(w) == len(kinds) - 1  # a word of one letter is no term
+    want = {(a, b) for a in w for b in w if a < b and sum(w[a][t] * w[b].get(t, 0) for t in w[a]) >= 0.6}
+    got = text.similar_texts(v, m, 0.6)
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    assert want and {(x.a, x.b) for x in got.collect()} == want
+    rows = text.similar_rows(df.unionByName(df.withColumn("id", text.F.concat("id", text.F.lit("-again")))), m, 0.6).collect()
+    assert {(x.a, x.b) for x in rows if not x.copy} == want and {(x.a, x.b) for x in rows if x.copy} == {(f"d{i:03d}", f"d{i:03d}-again") for i in range(len(kinds))}
+
+
 def test_co_settling_legs(spark):
     n = spark.createDataFrame([("o", "a", 0.8, 1), ("o", "b", 0.79, 2), ("o", "c", 0.78, 3), ("o", "d", 0.3, 4), ("p", "a", 0.8, 1), ("p", "x", 0.8, 2)], "id string, other string, confidence double, rank int")
     a = spark.createDataFrame([("o", 100.0), ("p", 100.0), ("a", 50.0), ("b", 30.0), ("c", 99.0), ("d", 10.0), ("x", 97.0)], "id string, amount double")
