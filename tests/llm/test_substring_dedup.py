@@ -4,7 +4,7 @@ from collections import Counter
 
 import pandas as pd
 
-from ledgerloom.llm.substring_dedup import anchors, remove_repeats
+from ledgerloom.llm.substring_dedup import anchors, cut_repeats, kept_text, remove_repeats
 
 
 def brute(rows, length):
@@ -59,3 +59,37 @@ def test_anchors_deal_every_window():
             assert lo == at and lo + n - 1 <= a and a + 8 <= lo + 50
             at += n
         assert at == 651
+
+
+def test_what_is_left_and_the_spans_are_given(spark):
+    r = random.Random(11)
+    passage = "".join(r.choice("abcdefg") for _ in range(80))
+    rows = [(1, "first " + passage + " end"), (2, "é" + passage + "ü" + passage), (3, "clean"), (4, None)]
+    # Two characters that begin with one byte: a match of bytes ends inside them.
+    half = "z" * 5 + "".join(r.choice("hijk") for _ in range(70))
+    rows += [(5, half + "\u00e9"), (6, half + "\u00e8")]
+    cut = cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 60, 12, 5)
+    got = {r.doc_id: r for r in cut.select("*", kept_text(cut["kept"]).alias("text")).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: "first  end", 2: "éü", 3: "clean", 4: "", 5: "\ufffd", 6: "\ufffd"}
+    assert [tuple(x) for x in got[2].spans] == [(2, 82), (84, 164)] and bytes(got[5].kept) == b"\xa9" and got[3].spans == []
+    for i, t in rows:
+        data = bytearray((t or "").encode())
+        for s in reversed(got[i].spans):
+            del data[s.start : s.end]
+        assert bytes(data) == bytes(got[i].kept) and got[i].n_bytes == len((t or "").encode())
+
+
+def test_the_query_gives_the_text_with_its_digests(spark):
+    from ledgerloom.llm.queries import op3_substring_dedup
+
+    rows = op3_substring_dedup(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts) and any(r.n_removed for r in rows)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        left, at = b"", 0
+        for s in r.spans:
+            left, at = left + data[at : s.start], s.end
+        left += data[at:]
+        assert r.text == left.decode("utf-8", "replace") and r.kept_sha256 == hashlib.sha256(left).hexdigest()
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(data), len(data) - len(left), len(r.spans))
