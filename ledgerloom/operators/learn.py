@@ -62,8 +62,9 @@ def stratified_split(samples: DataFrame, label: str = "category", share: float =
     return out.select(*samples.columns, "held_out")
 
 
-def train_forest(samples: DataFrame, trees: int = 200, seed: int = 42) -> PipelineModel | None:
-    """A forest with balanced weights over the ten features; None with too few rows or classes."""
+def train_forest(samples: DataFrame, trees: int = 200, seed: int = 42, depth: int = 30) -> PipelineModel | None:
+    """A forest with balanced weights over the ten features; None with too few rows or classes. Trees grow until their leaves are of
+    one class; `depth` is the most that Spark allows."""
     counts = samples.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("k")).first()
     if counts.n < LEAST_SAMPLES or counts.k < 2:
         return None
@@ -71,7 +72,7 @@ def train_forest(samples: DataFrame, trees: int = 200, seed: int = 42) -> Pipeli
     samples = staged(samples.select("category", *FEATURES), "samples")
     weighted = samples.join(F.broadcast(class_weights(samples).select("category", "weight")), "category")
     index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(weighted)
-    stages = [index, VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep"), RandomForestClassifier(featuresCol="vector", numTrees=trees, seed=seed, weightCol="weight"), IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)]
+    stages = [index, VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep"), RandomForestClassifier(featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight"), IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)]
     return Pipeline(stages=stages).fit(weighted)
 
 

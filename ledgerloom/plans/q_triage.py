@@ -221,13 +221,13 @@ def _(s, d):
 @q("train_forest")
 def _(s, d):
     rows = staged(learn.stratified_split(learn.training_set(settled(s, d))), "split")
-    model = learn.train_forest(rows.where("NOT held_out"), trees=20)
+    model = learn.train_forest(rows.where("NOT held_out"))
     return learn.classify_forest(model, rows.where("held_out")).select("id", "category", "predicted", F.round("probability", 4).alias("probability"))
 
 
 def forest(s, d):
     rows = cut_lineage(learn.stratified_split(learn.training_set(settled(s, d))))
-    return rows, learn.train_forest(rows.where("NOT held_out"), trees=20)
+    return rows, learn.train_forest(rows.where("NOT held_out"))
 
 
 @q("promotion_guard")
@@ -268,7 +268,7 @@ def _(s, d):
 @q("retrain_if_ready")
 def _(s, d):
     ready = cut_lineage(settled(s, d))
-    outcomes = [("enough", learn.retrain_if_ready(ready, trigger=20, trees=20)[0]), ("too few", learn.retrain_if_ready(ready, trigger=10**9)[0]), ("no rows", learn.retrain_if_ready(ready.limit(0), force=True)[0])]
+    outcomes = [("enough", learn.retrain_if_ready(ready, trigger=20)[0]), ("too few", learn.retrain_if_ready(ready, trigger=10**9)[0]), ("no rows", learn.retrain_if_ready(ready.limit(0), force=True)[0])]
     return s.createDataFrame(outcomes, "labels string, outcome string")
 
 
